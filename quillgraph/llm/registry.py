@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, url_filters, warc
+from . import chat, language_id, mixing, telephony, url_filters, warc
 
 QUERIES = {
+    "op2_telephony": telephony.op2_telephony,
     "op4_warc_archive": warc.op4_warc_archive,
     "op6_chat_format": chat.op6_chat_format,
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {

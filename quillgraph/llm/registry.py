@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, telephony, url_filters, warc
+from . import chat, language_id, mixing, telephony, toxicity, url_filters, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_telephony": telephony.op2_telephony,
     "op4_warc_archive": warc.op4_warc_archive,
     "op6_chat_format": chat.op6_chat_format,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, telephony, toxicity, url_filters, warc
+from . import chat, decontaminate, language_id, mixing, telephony, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_telephony": telephony.op2_telephony,
     "op4_warc_archive": warc.op4_warc_archive,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat.op6_chat_format,
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,

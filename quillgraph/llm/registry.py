@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, mixing, telephony, toxicity, url_filters, warc
+from . import chat, decontaminate, language_id, mixing, near_dup, telephony, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat.op6_chat_format,
+    "op7_near_dup": near_dup.op7_near_dup,
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": language_id.op10_language_id,

@@ -5,8 +5,8 @@ keeps its least hash as leading-zero count (6 bits) and mantissa (10 bits). Band
 candidates' keys. Links are confirmed on the full sets:
 
 1. equal sets are one class (by 128-bit digest), represented by the smallest id;
-2. buckets of a few classes give their pairs; in a larger bucket each class is paired with the bucket's smallest
-   one, of which the hub with most shared bands is kept. Pairs whose collision-corrected estimate may reach the
+2. buckets of a few classes give their pairs; in a larger bucket each class is paired with a few hubs, of which
+   those with most shared bands are kept. Pairs whose collision-corrected estimate may reach the
    threshold are verified on the full sets and make components: groups of copies collapse here, without all pairs;
 3. larger buckets that still hold several components are compared in blocks, first by sketches, then, for the
    classes with a plausible partner, on the full sets. Only real links leave the block, and none is left out.
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, release_shuffles, table
@@ -38,6 +38,8 @@ MANTISSA = 10
 EMPTY = np.uint16(0xFFFF)
 #: Buckets up to this size give their pairs; larger ones are compared in blocks of so many classes.
 SMALL, BLOCK = 8, 1024
+#: Members of a larger bucket, chosen by hash, that every other one is paired with first.
+HUBS = 8
 #: Chance that registers of different hashes agree: equal zeros (1/3) and equal mantissa.
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard deviations that an estimate may lie under the threshold.
@@ -224,10 +226,21 @@ def plausible_members(members: DataFrame, percent: int, kind: str) -> DataFrame:
                 ids, comps, reg = np.asarray(ids), np.asarray(comps), matrix(value)
                 left, right = _sides(np.asarray(side))
                 hit = np.zeros(len(ids), dtype=bool)
-                fits = plausible(*compared(reg[left], reg[right]), percent / 100)
-                fits &= (comps[left][:, None] != comps[right][None, :]) & (ids[left][:, None] != ids[right][None, :])
-                i, j = np.nonzero(fits)
-                i, j = left[i], right[j]
+                # every pair of different components has a member outside of the largest one
+                names, sizes = np.unique(comps, return_counts=True)
+                main = comps == names[sizes.argmax()]
+                small = left[~main[left]]
+                pieces = [(small, right)]
+                if (np.asarray(side) != 1).any():
+                    pieces.append((left[main[left]], right[~main[right]]))
+                i, j = [], []
+                for one, two in pieces:
+                    if len(one) and len(two):
+                        fits = plausible(*compared(reg[one], reg[two]), percent / 100)
+                        fits &= (comps[one][:, None] != comps[two][None, :]) & (ids[one][:, None] != ids[two][None, :])
+                        x, y = np.nonzero(fits)
+                        i.append(one[x]), j.append(two[y])
+                i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (i, j))
                 for at in range(0, len(i), 1 << 14):
                     x, y = reg[i[at : at + (1 << 14)]], reg[j[at : at + (1 << 14)]]
                     equal = (x == y).reshape(-1, B, R).all(2) & (x != EMPTY).reshape(-1, B, R).any(2)
@@ -293,30 +306,37 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select("doc_id", "sketch", "keys"), "near-reps")
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(rows.join(hubs, "key"), "near-buckets")
-    few, many = shared.where(F.col("size") <= SMALL), shared.where(F.col("size") > SMALL)
+    pick = [F.min_by("id", F.xxhash64("id", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)]
+    hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *pick).where("size > 1")
+    shared = materialize(rows.join(hubs.select("key", "size", F.array(*[f"hub{h}" for h in range(HUBS)]).alias("hubs")), "key"), "near-buckets")
+    few, many = shared.where(F.col("size") <= SMALL).select("key", "id"), shared.where(F.col("size") > SMALL)
     met = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     met = met.select(F.posexplode("ids").alias("n", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("n") + 2, F.size("ids"))).alias("b"))
-    stars = many.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
-    stars = stars.groupBy(F.col("id").alias("b")).agg(F.max_by("hub", F.struct("bands", "hub")).alias("a")).select("a", "b")
+    stars = many.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), "hub"))
+    stars = stars.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = materialize(plausible_pairs(met.union(stars).where("a <> b").distinct(), reps, percent), "near-pairs")
     release_shuffles(spark)
-    hot = many.join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id").withColumn("comp", F.col("id"))
-    hot = materialize(plausible_members(hot.select("key", "size", "id", "comp", "sketch"), percent, kind), "near-members")
-    release_shuffles(spark)
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct()
-    sets = materialize(shingle_sets(docs, wanted, k), "near-sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    links = materialize(verified(pairs, materialize(shingle_sets(docs, ids, k), "near-sets"), percent), "near-links")
     release_shuffles(spark)
-    links = materialize(verified(pairs, sets, percent), "near-links")
     first = components(links)
-    labelled = hot.join(first.withColumnRenamed("comp", "c"), "id", "left").select("key", "id", F.coalesce("c", "id").alias("comp"))
+    # what is left: buckets of several components
+    labelled = many.select("key", "id", "size").join(first.withColumnRenamed("comp", "c"), "id", "left").select("key", "id", "size", F.coalesce("c", "id").alias("comp"))
     labelled = materialize(labelled, "near-labelled")
-    still = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    left = labelled.join(still, "key").join(sets, "id").select("key", "size", "id", "comp", "shingles")
-    more = materialize(block_links(left, percent, kind), "near-more")
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    hot = labelled.join(mixed, "key", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
+    hot = materialize(plausible_members(hot.select("key", "size", "id", "comp", "sketch"), percent, kind), "near-members")
     release_shuffles(spark)
-    whole = first if more.isEmpty() else components(links.union(more))
+    whole = first
+    if not hot.isEmpty():
+        sets = materialize(shingle_sets(docs, hot.select("id").distinct(), k), "near-sets")
+        sizes = hot.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        left = hot.join(sizes, "key").join(labelled.select("id", "comp").distinct(), "id").join(sets, "id").select("key", "size", "id", "comp", "shingles")
+        more = materialize(block_links(left, percent, kind), "near-more")
+        release_shuffles(spark)
+        if not more.isEmpty():
+            whole = components(links.union(more))
     found = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class"))
     out = sk.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, mixing, near_dup, telephony, toxicity, url_filters, warc
+from . import chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_telephony": telephony.op2_telephony,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_warc_archive": warc.op4_warc_archive,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_chat_format": chat.op6_chat_format,

@@ -51,8 +51,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
     ranked = ranked.withColumn("full", F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     ranked = ranked.withColumn("open_w", F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing)))
     ranked = ranked.withColumn("lam", (F.sum("source_size").over(all_rows) * F.lit(float(share)) - F.col("full")) / F.col("open_w"))
-    # the sources are filled in order of cap by weight; the first whose share fits under its cap sets lambda
-    ranked = ranked.withColumn("level", F.min(F.when(F.col("lam") <= F.col("ratio"), F.col("lam"))).over(all_rows))
+    # the sources are filled in order of cap by weight; the first whose share fits under its cap sets lambda, and from
+    # there on lam only falls: it is the greatest of those that fit
+    ranked = ranked.withColumn("level", F.max(F.when(F.col("lam") <= F.col("ratio"), F.col("lam"))).over(all_rows))
     target = F.when(F.col("level").isNull() | (F.col("level") * F.col("w") > F.col("cap")), F.col("cap")).otherwise(F.col("level") * F.col("w"))
     return ranked.select("source", "source_size", target.alias("target"))
 
@@ -129,7 +130,7 @@ f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS B
         (sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open_w,
         (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS budget FROM r),
 l AS (SELECT *, (budget - filled) / open_w AS lam FROM f),
-v AS (SELECT *, min(CASE WHEN lam <= ratio THEN lam END) OVER () AS level FROM l),
+v AS (SELECT *, max(CASE WHEN lam <= ratio THEN lam END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, CASE WHEN level IS NULL OR level * w > cap THEN cap ELSE level * w END AS target FROM v),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM t),
 j AS (SELECT d.doc_id, d.size, d.h, c.*,

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm import stages
 from quillgraph.llm.common import materialize, table
 
-STAGES: list = []
+#: In order: language ID, MinHash near-dedup, suffix-array dedup, benchmark decontamination, mixing to weights.
+STAGES = [
+    ("language", stages.language),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeats", stages.repeats),
+    ("benchmark_leaks", stages.benchmark_leaks),
+    ("mixture", stages.mixture),
+]
 
-#: Language scores, sketches and suffix arrays are not SQL: tests hold the stages against brute force.
+#: Compressors, sketches and suffix arrays are not SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

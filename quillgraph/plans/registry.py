@@ -1,6 +1,421 @@
-"""Every query of the engine by name, with the SQL that its result must equal."""
+"""Every query of the engine by name, with the SQL that its result must equal.
+
+Queries run over whole tables. Those without SQL (greedy groups, sequential selections, parsers) are held
+against brute force in the tests.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import annotations as N
+from ..operators import canonical as C
+from ..operators import graph as G
+from ..operators import retrieval as R
+from ..operators import trees
+from ..sources import adapters as A
+from ..sources import dom
+from ..streaming import progress as P
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+TOKENS_SQL = f"""
+d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
+dt AS (SELECT * FROM d WHERE token NOT IN ({STOP})),
+b AS (SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark),
+q AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS token, generate_subscripts(regexp_extract_all(lower(question), '[a-z0-9]+'), 1) AS pos FROM b),
+qt AS (SELECT * FROM q WHERE token NOT IN ({STOP}))
+"""
+SCORES_SQL = f"""{TOKENS_SQL},
+tf AS (SELECT id, token, count(*) AS tf FROM dt GROUP BY ALL),
+df AS (SELECT token, count(*) AS df FROM tf GROUP BY ALL),
+asked AS (SELECT question_id, token, count(*) AS times FROM qt GROUP BY ALL),
+nn AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT question_id, id, sum(times * tf * (ln((n + 1.0::DOUBLE) / (df + 1)) + 1)) AS score FROM tf JOIN asked USING (token) JOIN df USING (token), nn GROUP BY ALL),
+ph AS (SELECT question_id, string_agg(token, ' ' ORDER BY pos) AS phrase FROM qt GROUP BY ALL),
+dj AS (SELECT id, string_agg(token, ' ' ORDER BY pos) AS joined FROM dt GROUP BY ALL),
+scored AS (SELECT question_id, id, score + CASE WHEN contains(joined, phrase) THEN 1.5 ELSE 0.0 END AS score FROM s JOIN ph USING (question_id) JOIN dj USING (id)),
+every AS (SELECT question_id, id, score FROM scored UNION ALL
+  SELECT question_id, f.id, 0.0 FROM b, (SELECT doc_id AS id FROM documents ORDER BY doc_id LIMIT 2) f WHERE NOT EXISTS (SELECT 1 FROM scored z WHERE z.question_id = b.question_id AND z.id = f.id)),
+topk AS (SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank, id, score FROM every)
+"""
+
+
+@query(f"WITH {SCORES_SQL} SELECT question_id, rank::INT AS rank, id, round(score, 6) AS score FROM topk WHERE rank <= 2")
+def passage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.passage_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir))
+
+
+@query(f"""WITH {SCORES_SQL}, found AS (SELECT question_id, id FROM topk WHERE rank <= 2),
+ex AS (SELECT DISTINCT item_id AS question_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+e AS (SELECT question_id, count(*) AS w FROM ex GROUP BY ALL), g AS (SELECT question_id, count(*) AS g FROM found GROUP BY ALL),
+h AS (SELECT question_id, count(*) AS h FROM found JOIN ex USING (question_id, id) GROUP BY ALL)
+SELECT question_id, round(CASE WHEN coalesce(w, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / w::DOUBLE END, 6) AS recall, round(CASE WHEN coalesce(g, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / g::DOUBLE END, 6) AS faithfulness
+FROM e FULL JOIN g USING (question_id) LEFT JOIN h USING (question_id)""")
+def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.passage_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir))
+    docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = A.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("item"))
+    # an item's first three tokens meet a document's before containment is tested: no pair of all with all
+    key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 3), " ")
+    words = F.split("text", " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
+    near = docs.select("id", F.explode(F.array_distinct(grams)).alias("key")).join(items.select("question_id", key("item").alias("key")), "key").select("id", "question_id")
+    expected = near.join(docs, "id").join(items, "question_id").where(F.contains("text", F.col("item"))).select("question_id", "id")
+    return R.evaluate(found, expected)
+
+
+@query(f"WITH {TOKENS_SQL} SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM dt GROUP BY ALL")
+def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.term_stats(A.corpus(spark, sf_dir))
+
+
+@query(f"""WITH {TOKENS_SQL}, {A.OBSERVATIONS_SQL},
+l AS (SELECT DISTINCT label AS id, label FROM observations),
+s AS (SELECT DISTINCT question_id, id, label FROM qt JOIN l ON token = label),
+w AS (SELECT question_id, string_agg(token, ' ' ORDER BY pos) AS whole FROM qt GROUP BY ALL),
+z AS (SELECT question_id, id, CASE WHEN contains(whole, label) THEN 2.0 ELSE 1.0 END AS score FROM s JOIN w USING (question_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM z)
+SELECT question_id, rank::INT AS rank, id, round(score, 6)::DOUBLE AS score FROM r WHERE rank <= 3""")
+def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = A.observations(spark, sf_dir).select(F.col("label").alias("id"), "label").distinct()
+    return R.entity_link(A.questions(spark, sf_dir), labels)
+
+
+STAR = A.STAR_SQL
+DEGREE_SQL = f"""{STAR},
+ends AS (SELECT paper_id, source_id AS id FROM relations UNION ALL SELECT paper_id, target_id FROM relations),
+deg AS (SELECT paper_id, id, count(*) AS degree FROM ends GROUP BY ALL)"""
+
+
+def rank_sql(penalty: float) -> str:
+    return f"""{DEGREE_SQL}, most AS (SELECT paper_id, max(degree) AS most FROM deg GROUP BY ALL),
+ranked AS (SELECT o.*, coalesce(degree, 0) AS degree, round(greatest(0.0::DOUBLE, 0.35::DOUBLE * contribution + 0.2::DOUBLE * prominence + 0.15::DOUBLE * recurrence + 0.15::DOUBLE * confidence
+  + 0.15::DOUBLE * coalesce(degree, 0) / greatest(coalesce(most, 1), 1) - CASE WHEN contribution >= 0.8 THEN 0.0::DOUBLE ELSE {penalty}::DOUBLE END * familiarity), 6) AS rank
+  FROM objects o LEFT JOIN deg USING (paper_id, id) LEFT JOIN most USING (paper_id))"""
+
+
+INFO = "CASE type WHEN 'depends_on' THEN 0.9 WHEN 'part_of' THEN 0.7 ELSE 0 END"
+
+
+def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return A.star_objects(spark, sf_dir), A.star_relations(spark, sf_dir)
+
+
+@query(f"WITH {DEGREE_SQL} SELECT * FROM deg")
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degree(A.star_relations(spark, sf_dir))
+
+
+@query(f"WITH {rank_sql(0.25)} SELECT paper_id, id, degree, rank FROM ranked WHERE NOT (familiarity >= 0.8 AND contribution < 0.8) AND rank >= 0.2")
+def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.expert_view(G.ranked(*graph(spark, sf_dir), "expert"), min_importance=0.2).select("paper_id", "id", "degree", "rank")
+
+
+@query(f"""WITH {rank_sql(0.1)}, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rank DESC, lower(label), id) AS place FROM ranked)
+SELECT paper_id, place::INT AS place, id, rank FROM p WHERE place <= 20""")
+def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.top(G.ranked(*graph(spark, sf_dir))).select("paper_id", "place", "id", "rank")
+
+
+@query(f"""WITH {STAR}, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY {INFO} DESC, confidence DESC, evidence DESC, id) AS place FROM relations)
+SELECT paper_id, place::INT AS place, id FROM p WHERE place <= 100""")
+def relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.ordered_relations(A.star_relations(spark, sf_dir), 100).select("paper_id", "place", "id")
+
+
+@query(f"""WITH {rank_sql(0.1)}, h AS (SELECT paper_id, id, label, round(CASE WHEN lower(label) = 'customer#00' THEN 1.0 WHEN starts_with(lower(label), 'customer#00') THEN 0.8 ELSE 0.6 END::DOUBLE + 0.2::DOUBLE * rank, 6) AS score
+  FROM ranked WHERE contains(lower(label), 'customer#00')),
+p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, lower(label), id) AS place FROM h)
+SELECT paper_id, place::INT AS place, id, score FROM p WHERE place <= 20""")
+def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.search(*graph(spark, sf_dir), "Customer#00")
+
+
+SEEDS_SQL = """seeds AS (SELECT paper_id, id FROM objects WHERE kind = 'topic' AND id LIKE 'n%'),
+near AS (SELECT DISTINCT paper_id, to_id AS id FROM (SELECT paper_id, source_id AS id, target_id AS to_id FROM relations UNION ALL SELECT paper_id, target_id, source_id FROM relations) JOIN seeds USING (paper_id, id)),
+both_ AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM seeds s WHERE s.paper_id = r.paper_id AND s.id = r.id) THEN 0 ELSE 1 END AS role FROM ranked r
+  WHERE EXISTS (SELECT 1 FROM seeds s WHERE s.paper_id = r.paper_id AND s.id = r.id) OR EXISTS (SELECT 1 FROM near s WHERE s.paper_id = r.paper_id AND s.id = r.id)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY role, rank DESC, id) AS place FROM both_),
+nodes AS (SELECT paper_id, id, role FROM placed WHERE place <= 20),
+edges AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY """ + INFO + """ DESC, confidence DESC, evidence DESC, id) AS place FROM relations r
+  WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.paper_id = r.paper_id AND n.id = r.source_id) AND EXISTS (SELECT 1 FROM nodes n WHERE n.paper_id = r.paper_id AND n.id = r.target_id))"""
+
+
+def focus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    objects, relations = graph(spark, sf_dir)
+    seeds = objects.where("kind = 'topic' and id like 'n%'").select("paper_id", "id")
+    return objects, relations, G.focus_nodes(objects, relations, seeds)
+
+
+@query(f"WITH {rank_sql(0.1)}, {SEEDS_SQL} SELECT paper_id, id, CASE role WHEN 0 THEN 'seed' ELSE 'neighbour' END AS role FROM nodes")
+def focus_subgraph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return focus(spark, sf_dir)[2]
+
+
+@query(f"WITH {rank_sql(0.1)}, {SEEDS_SQL} SELECT paper_id, place::INT AS place, id FROM edges WHERE place <= 100")
+def focus_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, relations, nodes = focus(spark, sf_dir)
+    return G.induced(relations, nodes).select("paper_id", "place", "id")
+
+
+@query(f"""WITH {rank_sql(0.1)}, {SEEDS_SQL}, shown AS (SELECT * FROM edges WHERE place <= 100),
+seen AS (SELECT paper_id, id, count(*) AS seen FROM (SELECT paper_id, source_id AS id FROM shown UNION ALL SELECT paper_id, target_id FROM shown) GROUP BY ALL)
+SELECT paper_id, id, greatest(0, coalesce(degree, 0) - coalesce(seen, 0))::BIGINT AS omitted FROM nodes LEFT JOIN deg USING (paper_id, id) LEFT JOIN seen USING (paper_id, id)""")
+def omitted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, relations, nodes = focus(spark, sf_dir)
+    return G.omitted(relations, nodes, G.induced(relations, nodes))
+
+
+@query(f"""WITH {STAR}, pair AS (SELECT DISTINCT paper_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM relations),
+near AS (SELECT paper_id, id, count(*) AS k FROM (SELECT paper_id, a AS id FROM pair UNION ALL SELECT paper_id, b FROM pair) GROUP BY ALL),
+per AS (SELECT paper_id, count(*) AS nodes, sum((k IS NULL)::INT)::BIGINT AS isolates, sum(coalesce(k, 0))::BIGINT AS ends FROM objects LEFT JOIN near USING (paper_id, id) GROUP BY ALL),
+e AS (SELECT paper_id, count(*) AS edges FROM relations GROUP BY ALL)
+SELECT paper_id, nodes, coalesce(edges, 0) AS edges, isolates, round(ends / nodes::DOUBLE, 6) AS mean_degree, round(CASE WHEN nodes > 1 THEN ends / 2.0::DOUBLE / (nodes * (nodes - 1) / 2.0::DOUBLE) ELSE 0 END, 9) AS density FROM per LEFT JOIN e USING (paper_id)""")
+def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.connectivity(*graph(spark, sf_dir))
+
+
+@query(f"""WITH {STAR}, p AS (SELECT paper_id, id FROM objects WHERE id LIKE 'r%' OR id LIKE 'n%'),
+t AS (SELECT paper_id, count(*) AS size, 'n' || min(substr(id, 2)) AS component FROM objects WHERE id NOT LIKE 'r%' GROUP BY ALL)
+SELECT paper_id, min(id) AS component, count(*) AS size FROM objects GROUP BY paper_id""")
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = G.components(*graph(spark, sf_dir))
+    return c.groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(f"""WITH RECURSIVE {STAR}, up(paper_id, root, id, depth) AS (SELECT paper_id, id, id, 0 FROM objects WHERE kind = 'procedure'
+  UNION SELECT u.paper_id, u.root, r.target_id, u.depth + 1 FROM up u JOIN relations r ON r.paper_id = u.paper_id AND r.source_id = u.id WHERE u.depth < 10)
+SELECT paper_id, root, id, min(depth) AS depth FROM up GROUP BY ALL""")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations = graph(spark, sf_dir)
+    return G.closure(relations, objects.where("kind = 'procedure'"))
+
+
+@query()
+def overview_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.overview(*graph(spark, sf_dir))
+
+
+@query()
+def overview_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations = graph(spark, sf_dir)
+    return G.backbone(objects, relations, G.overview(objects, relations))
+
+
+@query(f"""WITH RECURSIVE {STAR}, own AS (SELECT id, 1 AS n FROM objects WHERE id LIKE 'c%'), par AS (SELECT source_id AS id, target_id AS parent FROM relations WHERE type = 'part_of'),
+up(id, a) AS (SELECT id, id FROM objects UNION SELECT u.id, p.parent FROM up u JOIN par p ON u.a = p.id)
+SELECT a AS id, sum(n)::BIGINT AS n FROM up JOIN own USING (id) GROUP BY a""")
+def toc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations = graph(spark, sf_dir)
+    parents = relations.where("type = 'part_of'").select(F.col("source_id").alias("id"), F.col("target_id").alias("parent"))
+    nodes = objects.select("id").join(parents, "id", "left")
+    return trees.rollup(nodes, objects.where("id like 'c%'").select("id", F.lit(1).cast("long").alias("n")))
+
+
+@query(f"""WITH {STAR} SELECT paper_id, 'no evidence' AS rule, id AS key FROM relations WHERE evidence < 1
+UNION ALL SELECT paper_id, 'loop', id FROM relations WHERE source_id = target_id
+UNION ALL SELECT paper_id, 'repeated object id', id FROM objects GROUP BY ALL HAVING count(*) > 1""")
+def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.violations(*graph(spark, sf_dir))
+
+
+OBS = A.OBSERVATIONS_SQL
+
+
+@query(f"WITH {OBS} SELECT paper_id, kind, count(*) AS n FROM observations GROUP BY ALL")
+def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.kind_counts(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS} SELECT id, kind || ':' || substr(sha256(kind || '|' || label || '||' || paper_id || ' ' || section_id), 1, 20) AS stable_id FROM observations")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.stable_ids(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS} SELECT paper_id, kind, label, count(*) AS members, min(id) AS first_id, round(avg(confidence), 6) AS confidence, round(least(1.0::DOUBLE, count(*) / 3.0::DOUBLE), 6) AS recurrence FROM observations GROUP BY ALL")
+def entity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.label_groups(A.observations(spark, sf_dir))
+
+
+@query()
+def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.entities(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS} SELECT paper_id, label, count(DISTINCT kind) AS kinds FROM observations GROUP BY ALL HAVING count(DISTINCT kind) > 1")
+def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.label_collisions(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS}, g AS (SELECT paper_id, kind, label, count(*) AS c FROM observations GROUP BY ALL) SELECT paper_id, sum(c - 1)::BIGINT AS duplicates FROM g GROUP BY ALL")
+def notation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.duplicate_signatures(A.observations(spark, sf_dir))
+
+
+PLURAL_SQL = r"""CASE WHEN regexp_matches(subject, '[a-z]') AND length(w) >= 2 THEN head || CASE
+  WHEN w LIKE '%ies' AND length(w) > 3 THEN w[:-4] || 'y' WHEN regexp_matches(w, '(s|x|z|ch|sh)es$') THEN w[:-3]
+  WHEN w LIKE '%s' AND NOT regexp_matches(w, '(ss|is|us)$') THEN w[:-2] WHEN regexp_matches(w, '[^aeiou]y$') THEN w[:-2] || 'ies'
+  WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN w || 'es' ELSE w || 's' END || tail END"""
+SURFACES_SQL = f"""{OBS}, lab AS (SELECT DISTINCT paper_id, label AS subject FROM observations WHERE length(label) >= 2),
+parts AS (SELECT *, regexp_extract(subject, '^(.*?)([a-z]+)([^a-z]*)$', 1) AS head, regexp_extract(subject, '^(.*?)([a-z]+)([^a-z]*)$', 2) AS w, regexp_extract(subject, '^(.*?)([a-z]+)([^a-z]*)$', 3) AS tail FROM lab),
+made AS (SELECT paper_id, subject, {PLURAL_SQL} AS surface FROM parts),
+once AS (SELECT paper_id, surface, min(subject) AS subject FROM made WHERE surface IS NOT NULL AND surface <> subject GROUP BY ALL HAVING count(DISTINCT subject) = 1),
+surf AS (SELECT paper_id, subject, subject AS surface, false AS generated FROM lab UNION ALL
+  SELECT paper_id, subject, surface, true FROM once WHERE NOT EXISTS (SELECT 1 FROM lab WHERE lab.paper_id = once.paper_id AND lab.subject = once.surface))"""
+
+
+@query(f"WITH {SURFACES_SQL} SELECT * FROM surf")
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.surfaces(A.observations(spark, sf_dir))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.read(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("paper_id"), F.col("doc_id").alias("node"), "text")
+
+
+@query(f"""WITH {SURFACES_SQL}, n AS (SELECT source AS paper_id, w AS surface, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY ALL)
+SELECT paper_id, subject, sum(n)::BIGINT AS occurrences FROM n JOIN surf USING (paper_id, surface) GROUP BY ALL""")
+def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.occurrence_counts(texts(spark, sf_dir), C.surfaces(A.observations(spark, sf_dir)))
+
+
+@query()
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.occurrences(texts(spark, sf_dir), C.surfaces(A.observations(spark, sf_dir)))
+
+
+@query(f"WITH {OBS} SELECT paper_id, section_id, label, min(id) AS id FROM observations GROUP BY ALL")
+def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.evidence_dedup(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {OBS} SELECT id, (row_number() OVER (PARTITION BY paper_id ORDER BY section_id NULLS LAST, pos NULLS LAST, id))::INT AS place FROM observations")
+def evidence_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.evidence_order(A.observations(spark, sf_dir))
+
+
+@query(f"WITH {STAR}, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id, source_id, target_id, type ORDER BY id DESC) AS k FROM relations WHERE source_id <> target_id) SELECT paper_id, source_id, target_id, type, id FROM p WHERE k = 1")
+def relation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.relation_dedup(A.star_relations(spark, sf_dir))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_id, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY ALL")
+def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.content_dedup(A.corpus(spark, sf_dir))
+
+
+ANN = A.ANNOTATIONS_SQL
+
+
+@query(f"WITH {ANN} SELECT id, paper_id, dom_node_id FROM annotations WHERE dom_node_id IS NOT NULL AND entity_id IS NULL")
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.comments(A.annotations(spark, sf_dir)).select("id", "paper_id", "dom_node_id")
+
+
+@query(f"WITH {ANN} SELECT CASE WHEN starts_with(entity_id, 'manual_') THEN 'manual' ELSE split_part(entity_id, '_', 1) END AS prefix, count(*) AS n FROM annotations WHERE entity_id IS NOT NULL GROUP BY ALL")
+def glossary_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.glossary_groups(A.annotations(spark, sf_dir))
+
+
+@query(f"WITH {ANN} SELECT paper_id, id, (row_number() OVER (PARTITION BY paper_id ORDER BY is_pinned DESC, coalesce(display_order, 999999), created_at DESC, id))::INT AS place FROM annotations")
+def annotation_priority_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.prioritised(A.annotations(spark, sf_dir), True)
+
+
+@query(f"WITH {ANN} SELECT paper_id, id, (row_number() OVER (PARTITION BY paper_id ORDER BY is_pinned DESC, display_order NULLS LAST, created_at, id))::INT AS place FROM annotations")
+def annotation_priority_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.prioritised(A.annotations(spark, sf_dir), False)
+
+
+@query(f"WITH {ANN} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, min(id) AS first_id FROM annotations GROUP BY ALL")
+def annotation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.by_day(A.annotations(spark, sf_dir))
+
+
+@query(f"""WITH {ANN}, own AS (SELECT *, row_number() OVER (PARTITION BY paper_id, entity_id ORDER BY created_at, id) AS k FROM annotations WHERE entity_id IS NOT NULL),
+u AS (SELECT DISTINCT conv_id AS paper_id, 'assistant_1' AS entity_id, 'note ' || conv_id AS fresh FROM conversations)
+SELECT coalesce(own.paper_id, u.paper_id) AS paper_id, coalesce(own.entity_id, u.entity_id) AS entity_id, coalesce(id, 'new-' || u.paper_id || '-' || u.entity_id) AS id,
+  CASE WHEN k IS NULL OR k = 1 THEN coalesce(fresh, content) ELSE content END AS content FROM own FULL JOIN u ON own.paper_id = u.paper_id AND own.entity_id = u.entity_id""")
+def note_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = A.annotations(spark, sf_dir)
+    new = a.select("paper_id").distinct().select("paper_id", F.lit("assistant_1").alias("entity_id"), F.concat_ws(" ", F.lit("note"), "paper_id").alias("content"))
+    return N.note_upsert(a, new)
+
+
+@query(f"""WITH {ANN}, s AS (SELECT paper_id, 'assistant_' || min(turn_no) AS entity_id, 'x' AS content FROM (SELECT conv_id AS paper_id, turn % 4 AS turn_no FROM conversations WHERE role = 'user') GROUP BY ALL)
+SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM annotations a WHERE a.paper_id = s.paper_id AND a.entity_id = s.entity_id)""")
+def suggestion_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = A.read(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("conv_id").alias("paper_id")).agg(F.min(F.col("turn") % 4).alias("t"))
+    s = c.select("paper_id", F.col("paper_id").alias("id"), F.concat(F.lit("assistant_"), "t").alias("entity_id"), F.lit("x").alias("content"))
+    return N.apply_suggestions(s, A.annotations(spark, sf_dir))
+
+
+def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.read(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.col("event_type").alias("stage"), "ts", "event_id", "value")
+
+
+@query("SELECT user_id AS paper_id, arg_max(event_type, (ts, event_id)) AS stage, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.latest(progress(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id AS paper_id, event_id, event_type AS stage, lag(event_type) OVER w AS before,
+  coalesce(max((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT paper_id, event_id, stage FROM e WHERE ended = 0 AND stage IS DISTINCT FROM before""")
+def progress_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.changes(progress(spark, sf_dir))
+
+
+@query("SELECT user_id AS paper_id, round(sum(least(value, 100.0::DOUBLE)) / (count(*) * 100.0::DOUBLE) * 100, 4) AS percent FROM events GROUP BY ALL")
+def progress_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.percent(progress(spark, sf_dir))
+
+
+@query("SELECT event_type AS stage, count(*) AS calls, round(sum(value), 4) AS wall FROM events GROUP BY ALL")
+def profile_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.profile(progress(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT event_type AS stage, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT stage, value FROM e WHERE k = least(n - 1, floor(n * 0.95))""")
+def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.nearest_rank(progress(spark, sf_dir))
+
+
+@query()
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.page_text(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.page_nodes(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.page_sections(dom.page_nodes(A.read(spark, sf_dir, "pages")))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<(?:section|div|article)[\s>/]'))::BIGINT AS sections, len(regexp_extract_all(html, '(?i)<(?:p)[\s>/]'))::BIGINT AS paragraphs,
+len(regexp_extract_all(html, '(?i)<(?:math)[\s>/]'))::BIGINT AS maths FROM pages""")
+def html_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.tag_counts(A.read(spark, sf_dir, "pages"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words that say nothing in a question.
 STOP_WORDS = ["a", "an", "and", "by", "does", "for", "how", "in", "is", "of", "on", "the", "this", "through", "to", "what", "where", "which", "with"]
@@ -15,14 +16,14 @@ STOP_WORDS = ["a", "an", "and", "by", "does", "for", "how", "in", "is", "of", "o
 GENERIC_WORDS = ["a", "an", "the", "and", "or", "of", "for", "to", "in", "on", "by", "with", "loss", "objective", "function", "equation", "formula", "term", "value", "model", "paper", "method", "training", "optimization"]
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     """NFKC, case-folded; runs of anything but word characters become one space."""
     folded = s.fillna("").map(lambda x: unicodedata.normalize("NFKC", x).casefold())
     return folded.str.replace(r"[^\w]+", " ", regex=True).str.split().str.join(" ")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_math(s: pd.Series) -> pd.Series:
     r"""NFKC, case-folded, without ``$``, ``\left``, ``\right``, white space and braces."""
     folded = s.fillna("").map(lambda x: unicodedata.normalize("NFKC", x).strip("$ ").casefold())

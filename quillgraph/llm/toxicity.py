@@ -132,8 +132,8 @@ def label_model(v: np.ndarray, prior: float = 0.1, rounds: int = 30) -> tuple[np
 
     Each voter has a chance of each of its two votes under either class; no vote is no evidence. EM starts from the
     balance of the votes. After half of the rounds the voters' residual correlation given the posterior is measured;
-    from then on the evidence of a vote is divided by one plus its positive correlations with the other votes on
-    the same row (a composite likelihood), so that voters that say the same thing count about once.
+    from then on the evidence of a vote is divided by one plus its positive correlations with the other votes for the
+    same class on the row (a composite likelihood), so that voters that say the same thing count about once.
     """
     used = np.flatnonzero((v != 0).sum(0) >= 2)
     if not len(used):
@@ -153,7 +153,9 @@ def label_model(v: np.ndarray, prior: float = 0.1, rounds: int = 30) -> tuple[np
             scale = np.sqrt((rest * rest).mean(0)) + 1e-9
             corr = (rest.T @ rest) / len(x) / np.outer(scale, scale)
             np.fill_diagonal(corr, 1)
-            weight = 1 / (1 + fired @ np.where((corr > 0.05) & ~np.eye(len(used), dtype=bool), corr, 0))
+            side = np.sign(x.sum(0, dtype=np.int64))
+            alike = (corr > 0.05) & (side[:, None] == side[None, :]) & ~np.eye(len(used), dtype=bool)
+            weight = 1 / (1 + fired @ np.where(alike, corr, 0))
         evidence = ((no * weight) @ np.log(on[0] / off[0])) + ((yes * weight) @ np.log(on[1] / off[1]))
         q = 1 / (1 + np.exp(-np.clip(np.log(pi / (1 - pi)) + evidence, -30, 30)))
     accuracy = on[1] * pi / (on[1] * pi + off[1] * (1 - pi))

@@ -227,3 +227,26 @@ def backbone(objects: DataFrame, relations: DataFrame, nodes: DataFrame, budget:
         return pd.DataFrame({"paper_id": [p["paper_id"].iloc[0]] * len(out), "place": range(1, len(out) + 1), "id": out})
 
     return r.join(n, "paper_id").groupBy("paper_id").applyInPandas(forest, "paper_id int, place int, id string")
+
+
+def facets(objects: DataFrame, relations: DataFrame) -> DataFrame:
+    """(paper_id, facet, name, n): how many objects of each kind and relations of each type."""
+    count = lambda d, facet, c: d.groupBy("paper_id", F.lit(facet).alias("facet"), F.col(c).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return count(objects, "node", "kind").union(count(relations, "edge", "type"))
+
+
+def glossary_page(objects: DataFrame, query: str, offset: int = 0, limit: int = 50) -> DataFrame:
+    """(paper_id, place, id, tier, total): objects by label: exact 0, prefix 1, substring 2; one page, and how many there are."""
+    q, name = query.lower(), F.lower("label")
+    tier = F.when(name == q, 0).when(F.startswith(name, F.lit(q)), 1).when(F.contains(name, F.lit(q)), 2)
+    hit = objects.select("paper_id", "id", name.alias("name"), tier.alias("tier")).where("tier is not null")
+    per = Window.partitionBy("paper_id")
+    hit = hit.withColumn("total", F.count(F.lit(1)).over(per)).withColumn("place", F.row_number().over(per.orderBy("tier", "name", "id")))
+    return hit.where((F.col("place") > offset) & (F.col("place") <= offset + max(1, min(limit, 50)))).select("paper_id", "place", "id", "tier", "total")
+
+
+def connections(relations: DataFrame) -> DataFrame:
+    """(paper_id, id, direction, type, n): a node's relations by direction and type."""
+    out = relations.select("paper_id", F.col("source_id").alias("id"), F.lit("outgoing").alias("direction"), "type")
+    in_ = relations.select("paper_id", F.col("target_id").alias("id"), F.lit("incoming").alias("direction"), "type")
+    return out.union(in_).groupBy("paper_id", "id", "direction", "type").agg(F.count(F.lit(1)).alias("n"))

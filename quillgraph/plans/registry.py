@@ -237,6 +237,24 @@ def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.violations(*graph(spark, sf_dir))
 
 
+@query(f"WITH {STAR} SELECT paper_id, 'node' AS facet, kind AS name, count(*) AS n FROM objects GROUP BY ALL UNION ALL SELECT paper_id, 'edge', type, count(*) FROM relations GROUP BY ALL")
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.facets(*graph(spark, sf_dir))
+
+
+@query(f"""WITH {STAR}, h AS (SELECT paper_id, id, lower(label) AS name, CASE WHEN lower(label) = 'a' THEN 0 WHEN starts_with(lower(label), 'a') THEN 1 WHEN contains(lower(label), 'a') THEN 2 END AS tier FROM objects),
+p AS (SELECT paper_id, id, tier, count(*) OVER (PARTITION BY paper_id) AS total, row_number() OVER (PARTITION BY paper_id ORDER BY tier, name, id) AS place FROM h WHERE tier IS NOT NULL)
+SELECT paper_id, place::INT AS place, id, tier, total FROM p WHERE place > 5 AND place <= 25""")
+def glossary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.glossary_page(A.star_objects(spark, sf_dir), "A", 5, 20)
+
+
+@query(f"""WITH {STAR} SELECT paper_id, id, direction, type, count(*) AS n FROM (SELECT paper_id, source_id AS id, 'outgoing' AS direction, type FROM relations
+UNION ALL SELECT paper_id, target_id, 'incoming', type FROM relations) GROUP BY ALL""")
+def node_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.connections(A.star_relations(spark, sf_dir))
+
+
 OBS = A.OBSERVATIONS_SQL
 
 

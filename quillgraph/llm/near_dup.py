@@ -130,7 +130,8 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"id": b["doc_id"].values, "shingles": [cut(t).tobytes() for t in b["text"]]})
 
-    some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    # a plan of one shape at every size: the ids grow with the documents and are never broadcast
+    some = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     return some.mapInPandas(run, f"id {dict(docs.dtypes)['doc_id']}, shingles binary")
 
 
@@ -306,13 +307,15 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps = materialize(reps.select("doc_id", "sketch", "keys"), "near-reps")
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    pick = [F.min_by("id", F.xxhash64("id", F.lit(h))).alias(f"hub{h}") for h in range(HUBS)]
-    hubs = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *pick).where("size > 1")
-    shared = materialize(rows.join(hubs.select("key", "size", F.array(*[f"hub{h}" for h in range(HUBS)]).alias("hubs")), "key"), "near-buckets")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(rows.join(sizes, "key"), "near-buckets")
+    release_shuffles(spark)
     few, many = shared.where(F.col("size") <= SMALL).select("key", "id"), shared.where(F.col("size") > SMALL)
+    pick = [F.min_by("id", F.xxhash64("id", F.lit(h))) for h in range(HUBS)]
+    hubs = many.groupBy("key").agg(F.array(*pick).alias("hubs"))
     met = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     met = met.select(F.posexplode("ids").alias("n", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("n") + 2, F.size("ids"))).alias("b"))
-    stars = many.select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
+    stars = many.join(hubs, "key").select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), "hub"))
     stars = stars.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = materialize(plausible_pairs(met.union(stars).where("a <> b").distinct(), reps, percent), "near-pairs")

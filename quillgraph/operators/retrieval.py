@@ -75,6 +75,31 @@ def entity_link(questions: DataFrame, labels: DataFrame, k: int = 3) -> DataFram
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def hybrid_topk(corpus: DataFrame, questions: DataFrame, labels: DataFrame, evidence: DataFrame, relations: DataFrame, k: int = 3, budget: int = 6) -> DataFrame:
+    """(question_id, rank, id, score): passages by lexical score and by the graph around the entities that a question names.
+
+    At most three named entities are seeds; their neighbours, by the best seed beside them, fill the budget. Each piece of
+    evidence(entity, id) adds 3 and the link score for a seed, 5 for a neighbour; each of relations(source_id, target_id, id)
+    between selected entities, one a seed, adds 4. Passages without any score are left out.
+    """
+    seeds = entity_link(questions, labels, min(3, budget)).select("question_id", F.col("id").alias("entity"), F.col("score").alias("link"))
+    ends = relations.select("source_id", "target_id").distinct()
+    step = ends.union(ends.select("target_id", "source_id")).toDF("entity", "to")
+    near = seeds.join(step, "entity").groupBy("question_id", F.col("to").alias("entity")).agg(F.max("link").alias("link"))
+    near = near.join(seeds.select("question_id", "entity"), ["question_id", "entity"], "left_anti")
+    room = seeds.groupBy("question_id").agg((budget - F.count(F.lit(1))).alias("room"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("link"), "entity")
+    near = near.withColumn("n", F.row_number().over(w)).join(room, "question_id").where(F.col("n") <= F.col("room"))
+    chosen = seeds.select("question_id", "entity", (F.col("link") + 3).alias("boost"), F.lit(True).alias("seed")).union(near.select("question_id", "entity", F.lit(5.0), F.lit(False)))
+    own = chosen.join(evidence, "entity").select("question_id", "id", "boost")
+    a = chosen.select("question_id", F.col("entity").alias("source_id"), F.col("seed").alias("s1"))
+    b = chosen.select("question_id", F.col("entity").alias("target_id"), F.col("seed").alias("s2"))
+    ties = relations.join(a, "source_id").join(b, ["question_id", "target_id"]).where("s1 or s2").select("question_id", "id", F.lit(4.0))
+    total = passage_scores(corpus, questions).union(own).union(ties).groupBy("question_id", "id").agg(F.sum("score").alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 def promotion(recall_a, recall_b, faith_a, faith_b, latency_a, latency_b, tokens_a, tokens_b):
     """Whether b may replace a: recall 0.05 higher, as faithful, at most 1.5 times as slow (or 0.05 ms), at most 1.25 times the tokens."""
     return (recall_b - recall_a >= 0.05) & (faith_b >= faith_a) & (latency_b <= F.greatest(latency_a * 1.5, latency_a + 0.05)) & (tokens_b <= tokens_a * 1.25)

@@ -82,6 +82,30 @@ def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.evaluate(found, expected)
 
 
+@query(f"""WITH {SCORES_SQL}, {A.OBSERVATIONS_SQL},
+ev AS (SELECT label AS entity, section_id AS id FROM observations),
+rel AS (SELECT x.label AS source_id, y.label AS target_id, x.section_id AS id FROM observations x JOIN observations y ON x.section_id = y.section_id AND x.label < y.label),
+l AS (SELECT DISTINCT label FROM observations),
+named AS (SELECT DISTINCT question_id, label, 2.0::DOUBLE AS link FROM qt JOIN l ON token = label),
+seeds AS (SELECT question_id, label AS entity, link FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY label) AS k FROM named) WHERE k <= 3),
+step AS (SELECT DISTINCT source_id AS a, target_id AS b FROM rel UNION SELECT DISTINCT target_id, source_id FROM rel),
+near AS (SELECT question_id, b AS entity, max(link) AS link FROM seeds JOIN step ON entity = a WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.question_id = seeds.question_id AND z.entity = b) GROUP BY ALL),
+room AS (SELECT question_id, 6 - count(*) AS room FROM seeds GROUP BY ALL),
+picked AS (SELECT question_id, entity FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY link DESC, entity) AS k FROM near) JOIN room USING (question_id) WHERE k <= room),
+chosen AS (SELECT question_id, entity, link + 3 AS boost, true AS seed FROM seeds UNION ALL SELECT question_id, entity, 5.0, false FROM picked),
+parts AS (SELECT question_id, id, score FROM scored UNION ALL SELECT question_id, id, boost FROM chosen JOIN ev USING (entity) UNION ALL
+  SELECT c.question_id, rel.id, 4.0 FROM rel JOIN chosen c ON c.entity = source_id JOIN chosen d ON d.entity = target_id AND d.question_id = c.question_id WHERE c.seed OR d.seed),
+total AS (SELECT question_id, id, sum(score) AS score FROM parts GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank FROM total)
+SELECT question_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 3""")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = A.observations(spark, sf_dir).select("label", F.col("section_id").alias("id"))
+    # at most five labels a document: ten pairs
+    pairs = obs.alias("x").join(obs.alias("y"), "id").where("x.label < y.label").select(F.col("x.label").alias("source_id"), F.col("y.label").alias("target_id"), "id")
+    labels = obs.select(F.col("label").alias("id"), "label").distinct()
+    return R.hybrid_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir), labels, obs.select(F.col("label").alias("entity"), "id"), pairs)
+
+
 @query(f"WITH {TOKENS_SQL} SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM dt GROUP BY ALL")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_stats(A.corpus(spark, sf_dir))

@@ -106,11 +106,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBSERVATIONS_SQL = """
-tok AS (SELECT source AS paper_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS label FROM documents),
-tf AS (SELECT paper_id, doc_id, label, count(*) AS tf FROM tok WHERE length(label) >= 4 AND label NOT IN ('a', 'an', 'and', 'by', 'does', 'for', 'how', 'in', 'is', 'of', 'on', 'the', 'this', 'through', 'to', 'what', 'where', 'which', 'with') GROUP BY ALL),
-top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, label) AS pos FROM tf),
+otok AS (SELECT source AS paper_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS label FROM documents),
+otf AS (SELECT paper_id, doc_id, label, count(*) AS tf FROM otok WHERE length(label) >= 4 AND label NOT IN ('a', 'an', 'and', 'by', 'does', 'for', 'how', 'in', 'is', 'of', 'on', 'the', 'this', 'through', 'to', 'what', 'where', 'which', 'with') GROUP BY ALL),
+otop AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, label) AS pos FROM otf),
 observations AS (SELECT paper_id, 'o' || lpad(doc_id::VARCHAR, 12, '0') || '-' || pos AS id, doc_id AS section_id, pos,
-  ['topic', 'claim', 'procedure', 'artifact', 'quantity'][length(label) % 5 + 1] AS kind, label, tf, round(least(1.0::DOUBLE, tf / 10.0::DOUBLE), 6) AS confidence FROM top WHERE pos <= 5)
+  ['topic', 'claim', 'procedure', 'artifact', 'quantity'][length(label) % 5 + 1] AS kind, label, tf, round(least(1.0::DOUBLE, tf / 10.0::DOUBLE), 6) AS confidence FROM otop WHERE pos <= 5)
 """
 
 

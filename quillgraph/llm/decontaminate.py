@@ -195,7 +195,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, edits long, start long, end long"
     out = None
     for k in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect()
+        same = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
+        rows = items.where(F.pmod(same, F.lit(slices)) == k).collect()
         distinct = sorted({(r["item_id"], t) for r in rows if (t := normal(r["text"]))}, key=repr)
         shared = spark.sparkContext.broadcast(distinct)
 

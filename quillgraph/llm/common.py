@@ -33,12 +33,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """``materialize``, and the path, for tables that are dropped when nothing reads them any more."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return written(df, name, codec)[0]
 
 
 def drop_table(spark: SparkSession, df_path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import checkpointed
 
 
 def term_stats(corpus: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def passage_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:
     as often as it occurs; 1.5 more where the joined query tokens lie in the joined passage tokens.
 
     Only the questions' tokens are counted: the passages are filtered by a join on tokens before they are
-    aggregated. A containing passage shares every token, so the phrase is looked for in scored pairs alone.
+    aggregated. A containing passage shares every token but perhaps the first and the last, which may end or begin a
+    longer one; the phrase is looked for in the texts of such pairs alone.
     """
     n = corpus.agg(F.count(F.lit(1)).alias("n"))
     q = questions.select("question_id", T.retrieval_tokens(F.col("question")).alias("tokens"))
@@ -29,12 +31,13 @@ def passage_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:
     tf = t.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n: one row
-    s = tf.join(weight, "token").join(asked, "token").groupBy("question_id", "id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("score"))
-    phrase = q.select("question_id", F.array_join("tokens", " ").alias("phrase"))
+    s = tf.join(weight, "token").join(asked, "token").groupBy("question_id", "id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("score"), F.count(F.lit(1)).alias("shared"))
+    s = checkpointed(s)  # read several times
+    phrase = q.select("question_id", F.array_join("tokens", " ").alias("phrase"), F.size(F.array_distinct("tokens")).alias("of"))
     joined = corpus.select("id", F.array_join(T.retrieval_tokens(F.col("text")), " ").alias("joined"))
-    s = s.join(phrase, "question_id").join(joined, "id")
-    bonus = F.when((F.col("phrase") != "") & F.contains("joined", F.col("phrase")), 1.5).otherwise(0.0)
-    return s.select("question_id", "id", (F.col("score") + bonus).alias("score"))
+    near = s.join(phrase, "question_id").where((F.col("phrase") != "") & (F.col("shared") >= F.col("of") - 2)).select("question_id", "id", "phrase")
+    bonus = near.join(joined, "id").where(F.contains("joined", F.col("phrase"))).select("question_id", "id", F.lit(1.5).alias("bonus"))
+    return s.join(bonus, ["question_id", "id"], "left").select("question_id", "id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
 def passage_topk(corpus: DataFrame, questions: DataFrame, k: int = 2) -> DataFrame:

@@ -28,8 +28,8 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, id, kind, label, contribution, prominence, recurrence, confidence, familiarity).
 
-    A region is a paper. Region and nations are topics, suppliers procedures, customers claims; signals
-    are scaled balances and counts.
+    A region is a paper. Region and nations are topics, suppliers procedures, customers claims, and parts
+    artifacts of each paper that has a supplier of them; signals are scaled balances, prices and counts.
     """
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("paper_id"))
     r = read(spark, sf_dir, "region")
@@ -43,12 +43,28 @@ def star_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}")
         return d.select("paper_id", F.concat(F.lit(p), key).alias("id"), F.lit(kind).alias("kind"), F.col(f"{p}_name").alias("label"), unit(f"{p}_acctbal").alias("contribution"), F.round(F.pmod(key, F.lit(7)) / 7, 6).alias("prominence"), F.round(F.pmod(key, F.lit(3)) / 3, 6).alias("recurrence"), F.lit(0.8).alias("confidence"), F.round(F.pmod(key, F.lit(11)) / 10, 6).alias("familiarity"))
 
-    return regions.union(nations).union(people("supplier", "s", "procedure")).union(people("customer", "c", "claim"))
+    made = produced(spark, sf_dir).groupBy("paper_id", "l_partkey").agg(F.sum("evidence").alias("n"), F.count(F.lit(1)).alias("makers"))
+    span = lambda c, of: F.when(F.col(f"{of}_most") > F.col(f"{of}_least"), F.round((F.col(c) - F.col(f"{of}_least")) / (F.col(f"{of}_most") - F.col(f"{of}_least")), 6)).otherwise(0.0)
+    p = read(spark, sf_dir, "part")
+    prices = p.agg(F.min("p_retailprice").alias("p_least"), F.max("p_retailprice").alias("p_most"))
+    degrees = made.agg(F.min("makers").alias("d_least"), F.max("makers").alias("d_most"))
+    p = made.join(p, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(prices)).join(F.broadcast(degrees))  # one row each
+    parts = p.select("paper_id", F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("artifact").alias("kind"), F.col("p_name").alias("label"), span("p_retailprice", "p").alias("contribution"), span("makers", "d").alias("prominence"), F.round(F.least(one, F.col("n") / 3), 6).alias("recurrence"), F.lit(0.8).alias("confidence"), span("makers", "d").alias("familiarity"))
+    return regions.union(nations).union(people("supplier", "s", "procedure")).union(people("customer", "c", "claim")).union(parts)
+
+
+def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(paper_id, l_suppkey, l_partkey, evidence): the distinct pairs of lineitem, in the supplier's region, and their lines."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("paper_id"))
+    s = read(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("paper_id", "s_suppkey")
+    pairs = read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("evidence"))
+    known = read(spark, sf_dir, "part").select("p_partkey")
+    return pairs.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(known, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("paper_id", "l_suppkey", "l_partkey", "evidence")
 
 
 def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, id, type, source_id, target_id, confidence, evidence): nations are part of regions, suppliers and
-    customers of nations; a customer depends on suppliers of the region that it ordered from."""
+    customers of nations; a supplier produces parts; a customer depends on suppliers of the region that it ordered from."""
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("paper_id"))
     s = read(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("paper_id", "s_suppkey", "s_nationkey")
     c = read(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("paper_id").alias("c_paper"), "c_custkey", "c_nationkey")
@@ -63,6 +79,7 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     deals = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("evidence"))
     deals = deals.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("paper_id") == F.col("c_paper")))
     part.append(deals.select("paper_id", F.lit("depends_on"), key("c", "c_custkey"), key("s", "s_suppkey"), "evidence"))
+    part.append(produced(spark, sf_dir).select("paper_id", F.lit("produces"), key("s", "l_suppkey"), key("p", "l_partkey"), "evidence"))
     out = part[0]
     for p in part[1:]:
         out = out.union(p)

@@ -27,3 +27,21 @@ def test_questions_are_whole_items(spark, tmp_path):
     best = sorted(score, key=lambda i: (-score[i], i))[:2]
     assert got == {i: round(score[i], 6) for i in best} and best == [3, 2]
     assert [r["id"] for r in registry.QUERIES["entity_link"](spark, d).collect()] == ["eight", "five", "four"]
+
+
+def test_star_graph_has_parts_and_who_produces_them(spark, tmp_path):
+    d = tables(
+        spark, tmp_path,
+        region=([(0, "A"), (1, "B")], "r_regionkey int, r_name string"), nation=([(0, "N", 0), (1, "M", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        supplier=([(1, "S1", 0, 10.0), (2, "S2", 1, 10.0), (3, "S3", 0, 10.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        customer=([(1, "C1", 0, 10.0)], "c_custkey long, c_name string, c_nationkey int, c_acctbal double"),
+        part=([(1, "P1", 1.0), (2, "P2", 3.0), (3, "unmade", 2.0)], "p_partkey long, p_name string, p_retailprice double"),
+        orders=([(1, 1)], "o_orderkey long, o_custkey long"),
+        lineitem=([(1, 1, 1), (1, 1, 1), (1, 2, 2), (1, 3, 1), (9, 2, 1)], "l_orderkey long, l_suppkey long, l_partkey long"),
+    )
+    made = A.star_relations(spark, d).where("type = 'produces'")
+    assert sorted((r["paper_id"], r["id"], r["confidence"], r["evidence"]) for r in made.collect()) == [
+        (0, "produces:s1:p1", 0.2, 2), (0, "produces:s3:p1", 0.1, 1), (1, "produces:s2:p1", 0.1, 1), (1, "produces:s2:p2", 0.1, 1)]
+    parts = A.star_objects(spark, d).where("kind = 'artifact'")
+    got = sorted((r["paper_id"], r["id"], r["label"], r["contribution"], r["prominence"], r["recurrence"]) for r in parts.collect())
+    assert got == [(0, "p1", "P1", 0.0, 1.0, 1.0), (1, "p1", "P1", 0.0, 0.0, 0.333333), (1, "p2", "P2", 1.0, 0.0, 0.333333)]

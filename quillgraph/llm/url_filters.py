@@ -6,8 +6,8 @@ url's own rule comes first (the longest that fits); without one, an explicit all
 over a block there; without either, the url is allowed.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, and such urls share no component
-by links; null html has no links; links that aren't absolute are taken relative to the page's host, others
-(``mailto:``) ignored; repeated rows give repeated results; rules of the same host and path: allow wins.
+by links; null html has no links; links that aren't absolute are taken relative to the page's host and path, other
+schemes (``mailto:``) ignored; repeated rows give repeated results; rules of the same host and path: allow wins.
 """
 
 from __future__ import annotations
@@ -36,14 +36,28 @@ def path_of(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+def beside(path: Column, to: Column) -> Column:
+    """The path that a reference without a leading slash means on a page of a path, without dot segments; an empty one means the page."""
+    steps = F.split(F.concat(F.regexp_replace(F.regexp_replace(path, r"[^/]*$", ""), "^/", ""), to), "/")
+    go = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), go)
+    kept = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(to == "", path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(from_host, from_path, to_host, to_path) by the pages' canonical and refresh links."""
-    tag = r"(?is)<(?:link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)|meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b))[^>]*>"
+    tag = r"(?is)<(?:link\b(?=[^>]*\brel\s*=\s*(?:[\"']\s*(?:[^\"'>\s]+\s+)*)?canonical\b)|meta\b(?=[^>]*http-equiv\s*=\s*[\"']?refresh\b))[^>]*>"
     href = r"(?is)(?:\bhref\s*=\s*|;\s*url\s*=\s*)[\"']?\s*([^\"'>\s]+)"
     found = pages.where(F.contains(F.lower("html"), F.lit("canonical")) | F.contains(F.lower("html"), F.lit("refresh")))
     found = found.select(host_of(F.col("url")).alias("from_host"), path_of(F.col("url")).alias("from_path"), F.explode(F.regexp_extract_all("html", F.lit(tag), F.lit(0))).alias("tag"))
     found = found.withColumn("to", F.replace(F.regexp_extract("tag", href, 1), F.lit("&amp;"), F.lit("&")))
-    to = F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).when(F.startswith("to", F.lit("/")), F.concat(F.lit("http://"), F.col("from_host"), F.col("to")))
+    at = F.concat(F.lit("http://"), F.col("from_host"))
+    to = (
+        F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (F.col("to") == ""), None)
+        .when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), F.col("to"))).when(F.startswith("to", F.lit("/")), F.concat(at, F.col("to")))
+        .otherwise(F.concat(at, beside(F.col("from_path"), F.regexp_extract("to", r"^[^?#]*", 0))))
+    )
     found = found.withColumn("to", to).where("to is not null and from_host <> ''")
     return found.select("from_host", "from_path", host_of(F.col("to")).alias("to_host"), path_of(F.col("to")).alias("to_path"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import pandas as pd
@@ -137,13 +138,16 @@ def components(objects: DataFrame, relations: DataFrame, rounds: int = 50) -> Da
     raise RuntimeError("components did not converge")
 
 
-def closure(relations: DataFrame, start: DataFrame, forward: bool = True, rounds: int = 50) -> DataFrame:
-    """(paper_id, root, id, depth): what is reached from start(paper_id, id) along relations, each node once, at its least depth."""
+def closure(relations: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
+    """(paper_id, root, id, depth): what is reached from start(paper_id, id) along relations, each node once, at its least depth.
+
+    As no node comes twice, cycles end too; rounds go on until nothing is new.
+    """
     a, b = ("source_id", "target_id") if forward else ("target_id", "source_id")
     step = relations.select("paper_id", F.col(a).alias("id"), F.col(b).alias("to")).distinct()
     seen = checkpointed(start.select("paper_id", F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
     front = seen
-    for k in range(1, rounds + 1):
+    for k in itertools.count(1):
         new = front.join(step, ["paper_id", "id"]).select("paper_id", "root", F.col("to").alias("id"), F.lit(k).alias("depth")).distinct()
         front = checkpointed(new.join(seen.select("paper_id", "root", "id"), ["paper_id", "root", "id"], "left_anti"))
         if front.isEmpty():

@@ -3,7 +3,11 @@
 import math
 import re
 
+import pytest
+
 from quillgraph.llm import url_filters
+from quillgraph.operators import graph as G
+from quillgraph.operators import trees
 from quillgraph.plans import registry
 from quillgraph.sources import adapters as A
 
@@ -59,3 +63,15 @@ def test_links_relative_to_the_page(spark):
     pages = [(1, "http://a.net/d/e.html", '<link rel=canonical href="../blocked/x">'), (2, "http://a.net/blocked/x", None)]
     told = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "a.net", "/blocked/")])
     assert {r["page_id"]: r["verdict"] for r in told.collect()} == {1: "block", 2: "block"}
+
+
+def test_closure_and_rollup_have_no_depth_limit(spark):
+    chain = spark.createDataFrame([(1, f"x{i}", f"x{i + 1}") for i in range(53)] + [(1, "x53", "x0")], "paper_id int, source_id string, target_id string").coalesce(1)
+    start = spark.createDataFrame([(1, "x0")], "paper_id int, id string")
+    assert sorted(r["depth"] for r in G.closure(chain, start).collect()) == list(range(54))
+    nodes = [(f"t{i}", f"t{i - 1}" if i else None) for i in range(24)]
+    own = spark.createDataFrame([("t23", 5)], "id string, n long")
+    tree = spark.createDataFrame(nodes, "id string, parent string").coalesce(1)
+    assert {tuple(r) for r in trees.rollup(tree, own).collect()} == {(f"t{i}", 5) for i in range(24)}
+    with pytest.raises(ValueError):
+        trees.rollup(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent string"), own)

@@ -39,7 +39,7 @@ STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS_SQL = f"""
 d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
 dt AS (SELECT * FROM d WHERE token NOT IN ({STOP})),
-b AS (SELECT item_id AS question_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS question FROM benchmark),
+b AS (SELECT item_id AS question_id, text AS question FROM benchmark),
 q AS (SELECT question_id, unnest(regexp_extract_all(lower(question), '[a-z0-9]+')) AS token, generate_subscripts(regexp_extract_all(lower(question), '[a-z0-9]+'), 1) AS pos FROM b),
 qt AS (SELECT * FROM q WHERE token NOT IN ({STOP}))
 """
@@ -136,7 +136,7 @@ ranked AS (SELECT o.*, coalesce(degree, 0) AS degree, round(greatest(0.0::DOUBLE
   FROM objects o LEFT JOIN deg USING (paper_id, id) LEFT JOIN most USING (paper_id))"""
 
 
-INFO = "CASE type WHEN 'depends_on' THEN 0.9 WHEN 'part_of' THEN 0.7 ELSE 0 END"
+INFO = "CASE type WHEN 'depends_on' THEN 0.9 WHEN 'produces' THEN 0.85 WHEN 'part_of' THEN 0.7 ELSE 0 END"
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

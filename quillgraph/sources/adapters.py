@@ -89,18 +89,27 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The two above in SQL, as common tables ``objects`` and ``relations``.
 STAR_SQL = """
 n AS (SELECT n_nationkey, n_name, n_regionkey AS paper_id FROM nation),
+made AS (SELECT paper_id, l_suppkey, l_partkey, count(*) AS evidence FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN n ON s_nationkey = n_nationkey
+  WHERE l_partkey IN (SELECT p_partkey FROM part) GROUP BY ALL),
+makers AS (SELECT paper_id, l_partkey, sum(evidence)::BIGINT AS lines, count(*) AS makers FROM made GROUP BY ALL),
+price AS (SELECT min(p_retailprice) AS p_least, max(p_retailprice) AS p_most FROM part),
+many AS (SELECT min(makers) AS d_least, max(makers) AS d_most FROM makers),
+scaled AS (SELECT paper_id, p_partkey, p_name, lines, CASE WHEN p_most > p_least THEN round((p_retailprice - p_least)::DOUBLE / (p_most - p_least)::DOUBLE, 6) ELSE 0.0 END AS cost,
+  CASE WHEN d_most > d_least THEN round((makers - d_least) / (d_most - d_least)::DOUBLE, 6) ELSE 0.0 END AS spread FROM makers JOIN part ON l_partkey = p_partkey, price, many),
 objects AS (
   SELECT r_regionkey AS paper_id, 'r' || r_regionkey AS id, 'topic' AS kind, r_name AS label, 1.0::DOUBLE AS contribution, 0.5::DOUBLE AS prominence, 1.0::DOUBLE AS recurrence, 1.0::DOUBLE AS confidence, 1.0::DOUBLE AS familiarity FROM region
   UNION ALL SELECT paper_id, 'n' || n_nationkey, 'topic', n_name, 0.6, 0.4, 1.0, 1.0, 0.9 FROM n
   UNION ALL SELECT paper_id, 's' || s_suppkey, 'procedure', s_name, round((s_acctbal + 1000) / 11000, 6), round((s_suppkey % 7) / 7.0::DOUBLE, 6), round((s_suppkey % 3) / 3.0::DOUBLE, 6), 0.8, round((s_suppkey % 11) / 10.0::DOUBLE, 6) FROM supplier JOIN n ON s_nationkey = n_nationkey
-  UNION ALL SELECT paper_id, 'c' || c_custkey, 'claim', c_name, round((c_acctbal + 1000) / 11000, 6), round((c_custkey % 7) / 7.0::DOUBLE, 6), round((c_custkey % 3) / 3.0::DOUBLE, 6), 0.8, round((c_custkey % 11) / 10.0::DOUBLE, 6) FROM customer JOIN n ON c_nationkey = n_nationkey),
+  UNION ALL SELECT paper_id, 'c' || c_custkey, 'claim', c_name, round((c_acctbal + 1000) / 11000, 6), round((c_custkey % 7) / 7.0::DOUBLE, 6), round((c_custkey % 3) / 3.0::DOUBLE, 6), 0.8, round((c_custkey % 11) / 10.0::DOUBLE, 6) FROM customer JOIN n ON c_nationkey = n_nationkey
+  UNION ALL SELECT paper_id, 'p' || p_partkey, 'artifact', p_name, cost, spread, round(least(1.0::DOUBLE, lines / 3.0::DOUBLE), 6), 0.8, spread FROM scaled),
 deals AS (SELECT o_custkey, l_suppkey, count(*) AS evidence FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
 links AS (
   SELECT paper_id, 'part_of' AS type, 'n' || n_nationkey AS source_id, 'r' || paper_id AS target_id, 1::BIGINT AS evidence FROM n
   UNION ALL SELECT paper_id, 'part_of', 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier JOIN n ON s_nationkey = n_nationkey
   UNION ALL SELECT paper_id, 'part_of', 'c' || c_custkey, 'n' || c_nationkey, 1 FROM customer JOIN n ON c_nationkey = n_nationkey
   UNION ALL SELECT a.paper_id, 'depends_on', 'c' || c_custkey, 's' || s_suppkey, evidence
-    FROM deals JOIN supplier ON l_suppkey = s_suppkey JOIN n a ON s_nationkey = a.n_nationkey JOIN customer ON o_custkey = c_custkey JOIN n b ON c_nationkey = b.n_nationkey AND a.paper_id = b.paper_id),
+    FROM deals JOIN supplier ON l_suppkey = s_suppkey JOIN n a ON s_nationkey = a.n_nationkey JOIN customer ON o_custkey = c_custkey JOIN n b ON c_nationkey = b.n_nationkey AND a.paper_id = b.paper_id
+  UNION ALL SELECT paper_id, 'produces', 's' || l_suppkey, 'p' || l_partkey, evidence FROM made),
 relations AS (SELECT paper_id, type || ':' || source_id || ':' || target_id AS id, type, source_id, target_id, round(least(1.0::DOUBLE, evidence / 10.0::DOUBLE), 6) AS confidence, evidence FROM links)
 """
 

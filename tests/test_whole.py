@@ -5,7 +5,6 @@ import re
 
 import pytest
 
-from quillgraph.llm import url_filters
 from quillgraph.operators import graph as G
 from quillgraph.operators import trees
 from quillgraph.plans import registry
@@ -52,19 +51,6 @@ def test_star_graph_has_parts_and_who_produces_them(spark, tmp_path):
     assert got == [(0, "p1", "P1", 0.0, 1.0, 1.0), (1, "p1", "P1", 0.0, 0.0, 0.333333), (1, "p2", "P2", 1.0, 0.0, 0.333333)]
 
 
-def test_links_relative_to_the_page(spark):
-    hrefs = ["other.html", "../x", "?p=1", "./", "../../../y/..", "a//b", "/z", "mailto:x@y", "q?u=http://w.org/", "//h.net/k"]
-    pages = [(i, "http://a.net/d/e/f.html?q", f'<link rel="alternate canonical" href="{x}">') for i, x in enumerate(hrefs)]
-    pages += [(90, "http://a.net", '<meta http-equiv="refresh" content="0; url=g">')]
-    edges = url_filters.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    got = sorted((r["to_host"], r["to_path"]) for r in edges)
-    paths = ["/d/e/other.html", "/d/x", "/d/e/f.html", "/d/e/", "/", "/d/e/a//b", "/z", "/d/e/q", "/g"]
-    assert got == sorted([("a.net", x) for x in paths] + [("h.net", "/k")])
-    pages = [(1, "http://a.net/d/e.html", '<link rel=canonical href="../blocked/x">'), (2, "http://a.net/blocked/x", None)]
-    told = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "a.net", "/blocked/")])
-    assert {r["page_id"]: r["verdict"] for r in told.collect()} == {1: "block", 2: "block"}
-
-
 def test_closure_and_rollup_have_no_depth_limit(spark):
     chain = spark.createDataFrame([(1, f"x{i}", f"x{i + 1}") for i in range(53)] + [(1, "x53", "x0")], "paper_id int, source_id string, target_id string").coalesce(1)
     start = spark.createDataFrame([(1, "x0")], "paper_id int, id string")

@@ -17,10 +17,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, one of our own in local mode, an error elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     app = spark.sparkContext.applicationId
     if app not in _own:
         os.makedirs("/tmp/checkpoints", exist_ok=True)
@@ -71,11 +73,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _signature(e: DataFrame) -> tuple:
-    r = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.hash("b").cast("long"))).first()
-    return tuple(r)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(id, comp)``; comp is the smallest id reachable.
 
@@ -86,8 +83,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null and a <> b")
     e = materialize(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    before = _signature(e)
-    if before[0] == 0:
+    if e.isEmpty():
         return e.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     for _ in range(max_rounds):
         sym = e.union(e.select("b", "a"))
@@ -96,11 +92,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        e = materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-        now = _signature(e)
-        if now == before:
+        before, e = e, materialize(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+        # both hold distinct rows: of the same number and none new, they are equal
+        if e.count() == before.count() and e.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError("components did not converge")
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()

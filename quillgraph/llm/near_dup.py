@@ -5,8 +5,8 @@ keeps its least hash as leading-zero count (6 bits) and mantissa (10 bits). Band
 candidates' keys. Links are confirmed on the full sets:
 
 1. equal sets are one class (by 128-bit digest), represented by the smallest id;
-2. buckets of a few classes give their pairs; in a larger bucket each class is paired with a few hubs, of which
-   those with most shared bands are kept. Pairs whose collision-corrected estimate may reach the
+2. buckets of a few classes give their pairs; larger buckets have a few hubs, and a class is paired with the hubs that
+   most of a fixed number of its larger buckets name. Pairs whose collision-corrected estimate may reach the
    threshold are verified on the full sets and make components: groups of copies collapse here, without all pairs;
 3. larger buckets that still hold several components are compared in blocks, first by sketches, then, for the
    classes with a plausible partner, on the full sets. Only real links leave the block, and none is left out.
@@ -14,8 +14,8 @@ candidates' keys. Links are confirmed on the full sets:
 Bands of R = 5 registers, B = 40 of them, miss a pair of similarity 0.8 with a chance of (1 - 0.8^5)^40 = 1e-7.
 
 Defined cases: a document with fewer than k words is one shingle, its whole sequence; one without words is an empty set,
-linked with nothing; rows with the same id are one document, their sets linked; null ids link with nothing,
-their component is null; an empty table gives no rows; other columns are ignored.
+linked with nothing; rows with the same id are one document, the different texts of which are linked and compared each;
+null ids link with nothing, their component is null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, materialize, release_shuffles, table
@@ -40,6 +40,8 @@ EMPTY = np.uint16(0xFFFF)
 SMALL, BLOCK = 8, 1024
 #: Members of a larger bucket, chosen by hash, that every other one is paired with first.
 HUBS = 8
+#: Of a class's larger buckets, so many name the hubs that it is paired with.
+NAMING = 4
 #: Chance that registers of different hashes agree: equal zeros (1/3) and equal mantissa.
 COLLISION = 2.0**-MANTISSA / 3
 #: Standard deviations that an estimate may lie under the threshold.
@@ -296,6 +298,14 @@ def block_links(members: DataFrame, percent: int, kind: str) -> DataFrame:
     return blocks(members, "shingles").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
+def several(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the links between the classes of an id that has several texts: rows(doc_id, digest), classes(digest, rep)."""
+    more = rows.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("doc_id")
+    reps = rows.select("doc_id", "digest").join(more, "doc_id", "left_semi").join(classes, "digest").select("doc_id", "rep").distinct()
+    low = reps.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return reps.join(low, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct()
+
+
 def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
     spark = docs.sparkSession
@@ -304,7 +314,7 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     # a digest may have a third of all rows: aggregates combine before the shuffle, joins split it
     some = sk.where("digest is not null and doc_id is not null")
     classes = materialize(some.groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-classes")
-    reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps = some.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     reps = materialize(reps.select("doc_id", "sketch", "keys"), "near-reps")
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -315,13 +325,17 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     hubs = many.groupBy("key").agg(F.array(*pick).alias("hubs"))
     met = few.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     met = met.select(F.posexplode("ids").alias("n", "a"), "ids").select("a", F.explode(F.slice("ids", F.col("n") + 2, F.size("ids"))).alias("b"))
-    stars = many.join(hubs, "key").select("id", F.explode(F.array_distinct("hubs")).alias("hub")).where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("bands"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("bands"), "hub"))
-    stars = stars.withColumn("rank", rank).where(F.col("rank") <= HUBS).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+    # a few of a class's large buckets, of the lowest hash, name its hubs: rows in proportion to the classes
+    keys = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("key").alias("h"), "key"))), 1, NAMING)
+    named = many.groupBy("id").agg(keys.alias("k")).select("id", F.explode("k.key").alias("key"))
+    stars = named.join(hubs, "key").groupBy("id").agg(F.flatten(F.collect_list("hubs")).alias("hubs"))
+    bands = lambda h: F.size(F.filter("hubs", lambda x: x == h))
+    often = F.transform(F.array_remove(F.array_distinct("hubs"), F.col("id")), lambda h: F.struct((-bands(h)).alias("bands"), h.alias("hub")))
+    stars = stars.select("id", F.explode(F.slice(F.sort_array(often), 1, HUBS)["hub"]).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = materialize(plausible_pairs(met.union(stars).where("a <> b").distinct(), reps, percent), "near-pairs")
     release_shuffles(spark)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    links = materialize(verified(pairs, materialize(shingle_sets(docs, ids, k), "near-sets"), percent), "near-links")
+    links = materialize(verified(pairs, materialize(shingle_sets(docs, ids, k), "near-sets"), percent).union(several(some, classes)), "near-links")
     release_shuffles(spark)
     first = components(links)
     # what is left: buckets of several components

@@ -150,6 +150,19 @@ def test_decisions_reach_aliases(spark):
 # 2 telephony
 
 
+def test_links_relative_to_the_page(spark):
+    hrefs = ["other.html", "../x", "?p=1", "./", "../../../y/..", "a//b", "/z", "mailto:x@y", "q?u=http://w.org/", "//h.net/k"]
+    pages = [(i, "http://a.net/d/e/f.html?q", f'<link rel="alternate canonical" href="{x}">') for i, x in enumerate(hrefs)]
+    pages += [(90, "http://a.net", '<meta http-equiv="refresh" content="0; url=g">')]
+    edges = url_filters.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    got = sorted((r["to_host"], r["to_path"]) for r in edges)
+    paths = ["/d/e/other.html", "/d/x", "/d/e/f.html", "/d/e/", "/", "/d/e/a//b", "/z", "/d/e/q", "/g"]
+    assert got == sorted([("a.net", x) for x in paths] + [("h.net", "/k")])
+    pages = [(1, "http://a.net/d/e.html", '<link rel=canonical href="../blocked/x">'), (2, "http://a.net/blocked/x", None)]
+    told = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "a.net", "/blocked/")])
+    assert {r["page_id"]: r["verdict"] for r in told.collect()} == {1: "block", 2: "block"}
+
+
 def test_expansion_tables():
     mu, al = telephony.mulaw_table(), telephony.alaw_table()
     assert (mu[0xFF], mu[0x7F], mu[0x00], mu[0x80]) == (0, 0, -32124, 32124)
@@ -335,6 +348,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, small, block):
     assert got == want
 
 
+def test_every_text_of_a_repeated_id_meets_its_copies(spark):
+    rng = random.Random(3)
+    text = lambda: [f"v{rng.randrange(400)}" for _ in range(60)]
+    change = lambda t: [*t[:-1], "end"]
+    a, b, c = text(), text(), text()
+    docs = [(7, a), (7, b), (2, change(a)), (3, change(b)), (9, b), (9, c), (5, c), (11, text())]
+    got = near_dup.linked(spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string"), 4, 80)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == sorted((i, 11 if i == 11 else 2) for i, _ in docs)
+
+
 def test_near_duplicates_in_odd_tables(spark):
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.linked(odd_documents(spark)).collect()]
     assert len(got) == 10 and {(2, 0, 2), (3, 0, 3), (6, 0, 6), (1, 3, 1)} <= set(got) and dict((i, c) for i, _, c in got)[5] == 4

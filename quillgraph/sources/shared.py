@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()``, in ``spark.checkpoint.dir``; where that is unset, in a folder of our own."""
+    """``df.checkpoint()``, in ``spark.checkpoint.dir``; where that is unset, in a folder of our own in local mode, an error elsewhere."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or ""
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         if not found:
             os.makedirs("/tmp/checkpoints", exist_ok=True)
             found = "file://" + tempfile.mkdtemp(prefix="quillgraph-", dir="/tmp/checkpoints")

@@ -1,5 +1,6 @@
 """The operators of quillgraph.llm against brute force, round trips, held-out accuracy and edge cases."""
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -106,6 +107,28 @@ def test_archive_round_trip(spark):
     assert out[1] == out[3] == out[None] == (len(big.encode()), sha, "revisit", 5) and out[5] == (len(big.encode()), sha, "response", None)
 
 
+def test_archives_of_many_members_and_large_records(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "LARGE", 2000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 8000)
+    pages = [(i, f"http://a/{i}", "y" * (3000 + i) if i % 7 == 0 else f"page {i % 5} " * (i % 3 * 100)) for i in range(60)]
+    head, stored = warc.store(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(1))
+    path = common.new_path(spark, "warc-test")
+    warc.write_archives(warc.records(head, stored), path)
+    read = warc.read_archives(spark, path)
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.resolved(read).collect()) == [(i, len(h)) for i, _, h in pages]
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    sizes = [sum(len(p) for _, p in warc.parse_warc(warc.unzipped(bytes(f["content"])))) for f in files]
+    assert max(sizes) <= 8000 and len(files) > 5
+    # usual archives have a gzip member for each record
+    record = lambda p: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(p), p)
+    payloads = [b"a" * 10, b"", b"\r\n\r\n", bytes(range(256)) * 20]
+    data = b"".join(gzip.compress(record(p)) for p in payloads)
+    for step in (1, 7, 100, 1 << 20):
+        assert [p for _, p in warc.parse_warc(warc.unzipped(data, step))] == payloads
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(warc.unzipped(data[:-20])))
+
+
 def test_archive_of_nothing(spark):
     head, stored = warc.store(spark.createDataFrame([], "page_id long, url string, html string"))
     path = common.new_path(spark, "warc-test")
@@ -409,17 +432,22 @@ def test_merge_equals_sorting():
     rng = random.Random(10)
     strings = [bytes(rng.choice(b"abc") for _ in range(rng.randint(50, 80))) for _ in range(40)] + [b"a" * 60, b"a" * 61]
     shards = [strings[:10], strings[10:11], strings[11:]]
-    place, border = suffix_dedup.merged([suffix_dedup.transform(s) for s in shards], 50)
-    suffixes = []
-    for s, shard in zip(shards, shards):
-        string, length = suffix_dedup.decoded(suffix_dedup.transform(shard), len(shard))
-        suffixes += [shard[i][len(shard[i]) - n :] for i, n in zip(string, length)]
-    by_place = [None] * len(suffixes)
-    for p, x in zip(place, suffixes):
-        by_place[p] = x[:50]
-    assert by_place == sorted(by_place)
-    new = [i == 0 or by_place[i] != by_place[i - 1] for i in range(len(by_place))]
-    assert [b for b, x in zip(border, by_place) if len(x) == 50] == [n for n, x in zip(new, by_place) if len(x) == 50]
+    made = [suffix_dedup.transform(s) for s in shards]
+    suffixes = [shard[i][len(shard[i]) - n :] for shard, (_, string, length) in zip(shards, made) for i, n in zip(string, length)]
+    row, border = suffix_dedup.merged([t for t, _, _ in made], 50)
+    full = [x[:50] for x in suffixes if len(x) >= 50]
+    got = [suffixes[r][:50] for r in row]
+    assert got == sorted(full)
+    assert list(border) == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
+    of = {x: rng.randrange(3) for x in strings}
+    value = np.array([of[shard[i]] for shard, (_, string, _) in zip(shards, made) for i in string])
+    row, border = suffix_dedup.merged([t for t, _, _ in made], 50, value)
+    values = {}
+    for x, v in zip(suffixes, value):
+        if len(x) >= 50:
+            values.setdefault(x[:50], set()).add(v)
+    several = {x for x, v in values.items() if len(v) > 1}
+    assert several and [suffixes[r][:50] for r in row] == [x for x in got if x in several]
 
 
 def test_repeats_in_odd_tables(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Words that say nothing in a question.
 STOP_WORDS = ["a", "an", "and", "by", "does", "for", "how", "in", "is", "of", "on", "the", "this", "through", "to", "what", "where", "which", "with"]
@@ -30,6 +31,16 @@ def normalize_math(s: pd.Series) -> pd.Series:
     return folded.str.replace(r"\\(?:left|right)", "", regex=True).str.replace(r"[\s{}]+", "", regex=True)
 
 
+@pandas_udf(ArrayType(StringType()))
+def normalize_texts(s: pd.Series) -> pd.Series:
+    """normalize_text of each element; the distinct ones that aren't empty, in order."""
+
+    def one(x: str) -> str:
+        return " ".join(re.sub(r"[^\w]+", " ", unicodedata.normalize("NFKC", x or "").casefold()).split())
+
+    return s.map(lambda a: list(dict.fromkeys(n for x in a if (n := one(x)))) if a is not None else [])
+
+
 def normalize_ascii(c: Column) -> Column:
     """normalize_text of ASCII, without leaving the JVM."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w]+", " "))
@@ -129,3 +140,41 @@ def archive_kind(name: Column) -> Column:
 def arxiv_id(url: Column) -> Column:
     found = F.regexp_extract(url, r"arxiv\.org/(?:abs|pdf|e-print)/([0-9.]+)", 1)
     return F.when(found != "", found).when(F.trim(url).rlike(r"^[0-9.]+$"), F.trim(url))
+
+
+# Greek commands that are symbols of their own.
+GREEK = ["alpha", "beta", "gamma", "delta", "epsilon", "theta", "lambda", "mu", "nu", "pi", "rho", "sigma", "tau", "phi", "psi", "omega"]
+
+
+def scoped_symbols(latex: Column) -> Column:
+    """The symbols of a formula: Greek commands, then Latin letters with their index; each once by its normal form, without
+    the running indices i, j and k."""
+    greek = F.regexp_extract_all(latex, F.lit(r"(?i)\\(?:" + "|".join(GREEK) + ")"), F.lit(0))
+    plain = F.regexp_replace(latex, r"\\(?:mathcal|mathbb|mathrm|mathbf|operatorname)\s*\{([^{}]+)\}", "$1")
+    plain = F.regexp_replace(plain, r"\\[A-Za-z]+", " ")
+    latin = F.regexp_extract_all(plain, F.lit(r"(?<![A-Za-z])[A-Za-z](?:_(?:\{[^{}]+\}|[A-Za-z0-9]+))?"), F.lit(0))
+    found = F.transform(F.concat(greek, latin), lambda x: F.struct(x.alias("symbol"), F.lower(F.regexp_replace(x, r"[\s{}]", "")).alias("key")))
+    kept = F.filter(found, lambda x: ~x["key"].isin("", "i", "j", "k"))
+    first = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: y["key"]), x["key"]) == i + 1)
+    return F.transform(first, lambda x: x["symbol"])
+
+
+def literal_starts(text: Column, part: Column) -> Column:
+    """Where a literal part starts in a text (from 0), from left to right without overlap."""
+    pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    upto = lambda k: F.aggregate(F.slice(pieces, F.lit(1), k), F.lit(0), lambda a, x: a + F.length(x))
+    starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: upto(k) + (k - 1) * F.length(part))
+    return F.when((F.size(pieces) > 1) & (part != ""), starts).otherwise(F.array().cast("array<int>"))
+
+
+# Words by which a role is told, in order.
+ROLES = {"output": ["output", "result", "target"], "input": ["input", "feature", "argument"], "parameter": ["parameter", "weight", "coefficient"], "normalizer": ["normalizer", "denominator", "scale"], "state": ["state"]}
+
+
+def formula_role(c: Column) -> Column:
+    """The role of a part of a formula: that of the first rule with a word in the text, else the text; null for blank ones."""
+    t = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    out = F.when(t == "", None)
+    for role, words in ROLES.items():
+        out = out.when(t.rlike("|".join(words)), role)
+    return out.otherwise(t)

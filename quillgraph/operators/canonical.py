@@ -34,31 +34,33 @@ def label_groups(obs: DataFrame) -> DataFrame:
 
 
 def entities(obs: DataFrame) -> DataFrame:
-    """(paper_id, kind, entity_id, observation_id): greedy groups.
+    """``groups`` of observations with a label and one alias."""
+    return groups(obs.select("paper_id", "kind", "id", "label", F.array("alias").alias("aliases")))
+
+
+def groups(obs: DataFrame) -> DataFrame:
+    """(paper_id, kind, entity_id, observation_id): greedy groups of observations(paper_id, kind, id, label, aliases).
 
     Observations in order of id join the first group of their kind with which they share a normalised name, and
-    widen it; groups are not joined later. That order decides, so a paper's kind is one grouped map; an index of
-    names makes it linear. A row needs its names only.
+    widen it; groups are not joined later. That order decides: even a repeat of the same names may go elsewhere once another
+    row has widened an earlier group. So a paper's kind is one grouped map; an index of names makes it linear, and a row
+    has its names only.
     """
-    names = obs.select("paper_id", "kind", "id", T.normalize_text("label").alias("a"), T.normalize_text("alias").alias("b"))
+    own = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
+    names = obs.select("paper_id", "kind", "id", T.normalize_texts(own).alias("names"))
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
-        by_name: dict[str, list[int]] = {}
+        first: dict[str, int] = {}
         reps: list[str] = []
         out = []
-        for x, a, b in zip(p["id"], p["a"], p["b"]):
-            own = {n for n in (a, b) if n}
-            # a name leads to the first group that had it
-            met = [by_name[n][0] for n in own if n in by_name]
-            g = min(met) if met else len(reps)
+        for x, own in zip(p["id"], p["names"]):
+            # a name leads to the first group that has it
+            g = min((first[n] for n in own if n in first), default=len(reps))
             if g == len(reps):
                 reps.append(x)
             for n in own:
-                at = by_name.setdefault(n, [])
-                if g not in at:
-                    at.append(g)
-                    at.sort()
+                first[n] = min(first.get(n, g), g)
             out.append(reps[g])
         return pd.DataFrame({"paper_id": p["paper_id"], "kind": p["kind"], "entity_id": out, "observation_id": p["id"]})
 

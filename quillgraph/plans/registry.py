@@ -6,17 +6,21 @@ against brute force in the tests.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import annotations as N
 from ..operators import canonical as C
+from ..operators import document as D
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import trees
 from ..sources import adapters as A
 from ..sources import dom
+from ..sources import papers as Papers
 from ..streaming import progress as P
 
 QUERIES: dict = {}
@@ -461,3 +465,133 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 len(regexp_extract_all(html, '(?i)<(?:math)[\s>/]'))::BIGINT AS maths FROM pages""")
 def html_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.tag_counts(A.read(spark, sf_dir, "pages"))
+
+
+DOC = Papers.SQL
+
+
+def document(spark: SparkSession, sf_dir: str) -> D.Document:
+    return D.build(Papers.observations(spark, sf_dir).where("paper_id is not null"))
+
+
+def joined(c: str):
+    return F.array_join(c, ",").alias(c)
+
+
+@query(f"WITH {DOC} SELECT paper_id, stable_id, kind, label, '' AS aliases, roles, contribution, prominence, familiarity, confidence, members, recurrence FROM objects WHERE paper_id IS NOT NULL")
+def document_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = document(spark, sf_dir).objects
+    return o.select("paper_id", "stable_id", "kind", "label", joined("aliases"), joined("roles"), "contribution", "prominence", "familiarity", "confidence", "members", "recurrence")
+
+
+@query(f"WITH {DOC} SELECT * FROM relations WHERE paper_id IS NOT NULL")
+def document_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = document(spark, sf_dir).relations
+    return r.select("paper_id", "stable_id", "type", "source_id", "target_id", joined("qualifiers"), "evidence_id", "confidence")
+
+
+@query(f"WITH {DOC} SELECT paper_id, stable_id, equation_id, latex, summary, notation_ids, coalesce(object_ids, '') AS object_ids, defined_object_id, id AS evidence_id FROM equations WHERE paper_id IS NOT NULL")
+def equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = document(spark, sf_dir).equations
+    return e.select("paper_id", "stable_id", "equation_id", "latex", "summary", joined("notation_ids"), joined("object_ids"), "defined_object_id", "evidence_id")
+
+
+@query(f"WITH {DOC} SELECT paper_id, stable_id, symbol, meaning, scope_id, 'c' AS constraints, object_ids FROM notation WHERE paper_id IS NOT NULL")
+def notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document(spark, sf_dir).notation.select("paper_id", "stable_id", "symbol", "meaning", "scope_id", joined("constraints"), joined("object_ids"))
+
+
+@query(f"WITH {DOC} SELECT paper_id, object_id AS defined_object_id, count(*) AS asked, count(defined_object_id) AS given FROM defined WHERE object_id IS NOT NULL AND paper_id IS NOT NULL GROUP BY ALL")
+def defining_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = document(spark, sf_dir)
+    wanted = d.observations.where("kind = 'equation'").select("paper_id", F.col("defined_observation_id").alias("observation_id"))
+    asked = wanted.join(d.object_evidence, ["paper_id", "observation_id"]).groupBy("paper_id", F.col("object_id").alias("defined_object_id")).agg(F.count(F.lit(1)).alias("asked"))
+    found = d.equations.groupBy("paper_id", "defined_object_id").agg(F.count(F.lit(1)).alias("given"))
+    return asked.join(found, ["paper_id", "defined_object_id"], "left").na.fill(0, ["given"])
+
+
+@query(f"WITH {DOC} SELECT paper_id, subject_id, base_content FROM explanations WHERE paper_id IS NOT NULL")
+def explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document(spark, sf_dir).explanations.select("paper_id", "subject_id", "base_content")
+
+
+@query(f"""WITH {DOC} SELECT e.paper_id, e.equation_id, n.stable_id AS subject_id, (length(latex) - length(replace(latex, symbol, ''))) // length(symbol) AS n, instr(latex, symbol) - 1 AS first
+FROM equations e JOIN notation n ON e.paper_id = n.paper_id AND list_contains(string_split(notation_ids, ','), n.stable_id)""")
+def notation_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = document(spark, sf_dir)
+    o = d.occurrences.where("equation_id is not null")
+    return o.groupBy("paper_id", "equation_id", "subject_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first"))
+
+
+@query(f"WITH {DOC} SELECT * FROM quoted WHERE paper_id IS NOT NULL")
+def quoted_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document(spark, sf_dir).occurrences.where("dom_node_id is not null").drop("equation_id")
+
+
+@query(f"""WITH {DOC}, o AS (SELECT *, row_number() OVER (PARTITION BY paper_id, scope_id ORDER BY dom_node_id, start, stable_id) AS place, count(*) OVER (PARTITION BY paper_id, scope_id) AS total FROM quoted)
+SELECT o.paper_id, scope_id, place::INT AS place, o.stable_id, o.subject_id, label, base_content AS explanation, total FROM o JOIN subjects s ON s.paper_id = o.paper_id AND s.subject_id = o.subject_id
+LEFT JOIN explanations e ON e.paper_id = o.paper_id AND e.subject_id = o.subject_id WHERE place > 1 AND place <= 4""")
+def section_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.section_annotations(document(spark, sf_dir), offset=1, limit=3)
+
+
+@query(f"""WITH {DOC}, all_ev AS (SELECT paper_id, object_id AS subject_id, observation_id, section_id, pos * 100 AS start FROM ev UNION
+  SELECT n.paper_id, n.stable_id, s.id, eq.section_id::BIGINT, 0 FROM notation n JOIN sid s ON s.paper_id = n.paper_id AND s.g = n.g AND s.m = n.m AND s.scope_id = n.scope_id JOIN eq ON eq.id = s.id AND eq.paper_id = s.paper_id),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY paper_id, subject_id ORDER BY -section_id, start, observation_id) AS place FROM all_ev),
+read AS (SELECT paper_id, subject_id, string_agg(observation_id, ',' ORDER BY place) AS evidence FROM ordered WHERE place <= 10 GROUP BY ALL),
+occ AS (SELECT paper_id, subject_id, count(*) AS n FROM quoted GROUP BY ALL UNION ALL SELECT n.paper_id, n.stable_id, sum((length(latex) - length(replace(latex, symbol, ''))) // length(symbol))::BIGINT
+  FROM equations e JOIN notation n ON e.paper_id = n.paper_id AND list_contains(string_split(notation_ids, ','), n.stable_id) GROUP BY ALL),
+by_ AS (SELECT paper_id, defined_object_id AS subject_id, min(equation_id) AS defining_equation FROM equations WHERE defined_object_id IS NOT NULL GROUP BY ALL)
+SELECT s.paper_id, s.subject_id, kind, label, base_content AS explanation, coalesce(n, 0)::BIGINT AS occurrence_total, evidence, defining_equation
+FROM subjects s LEFT JOIN explanations USING (paper_id, subject_id) LEFT JOIN read USING (paper_id, subject_id) LEFT JOIN occ USING (paper_id, subject_id) LEFT JOIN by_ USING (paper_id, subject_id) WHERE s.paper_id IS NOT NULL""")
+def subject_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = D.subject_details(document(spark, sf_dir), Papers.sections(spark, sf_dir), Papers.nodes(spark, sf_dir))
+    return out.withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query(f"""WITH {DOC}, occ AS (SELECT paper_id, subject_id, count(*) AS n FROM quoted GROUP BY ALL)
+SELECT e.paper_id, e.equation_id, (SELECT string_agg(symbol, ',' ORDER BY symbol) FROM notation n WHERE n.paper_id = e.paper_id AND list_contains(string_split(notation_ids, ','), n.stable_id)) AS symbols,
+  (SELECT string_agg(label, ',' ORDER BY label) FROM objects o WHERE o.paper_id = e.paper_id AND list_contains(string_split(e.object_ids, ','), o.stable_id)) AS objects,
+  o.label AS defined, said AS defined_explanation, n AS defined_occurrences
+FROM equations e LEFT JOIN objects o ON o.paper_id = e.paper_id AND o.stable_id = defined_object_id LEFT JOIN occ ON occ.paper_id = e.paper_id AND occ.subject_id = defined_object_id WHERE e.paper_id IS NOT NULL""")
+def equation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = D.equation_details(document(spark, sf_dir))
+    return e.select("paper_id", "equation_id", joined("symbols"), joined("objects"), "defined", "defined_explanation", "defined_occurrences")
+
+
+@query(f"""WITH {DOC}, h AS (SELECT s.paper_id, s.subject_id, kind, lower(label) AS low, CASE WHEN lower(label) = 'an' THEN 0 WHEN starts_with(lower(label), 'an') THEN 1 WHEN contains(lower(label), 'an') THEN 2 WHEN contains(lower(base_content), 'an') THEN 3 END AS tier
+  FROM subjects s JOIN explanations e ON e.paper_id = s.paper_id AND e.subject_id = s.subject_id),
+p AS (SELECT *, count(*) OVER (PARTITION BY paper_id) AS total, row_number() OVER (PARTITION BY paper_id ORDER BY tier, low, subject_id) AS place FROM h WHERE tier IS NOT NULL)
+SELECT paper_id, place::INT AS place, subject_id, CASE kind WHEN 'notation' THEN 'notation' ELSE 'object' END AS kind, tier, total FROM p WHERE place > 10 AND place <= 35""")
+def document_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.glossary(document(spark, sf_dir), " An ", offset=10)
+
+
+@query(f"""WITH {DOC}, sg AS (SELECT paper_id, lower(symbol) AS g, lower(meaning) AS m, scope_id, count(*) AS n FROM notation GROUP BY ALL), gl AS (SELECT paper_id, g, sum(n) AS n, sum(n - 1) AS d, count(*) AS k FROM sg GROUP BY ALL)
+SELECT paper_id, sum(n)::BIGINT AS records, sum(d)::BIGINT AS duplicates, sum((k > 1)::INT)::BIGINT AS several_meanings, (SELECT count(*) FROM notation x WHERE x.paper_id = gl.paper_id AND evidence > 1) AS reused FROM gl WHERE paper_id IS NOT NULL GROUP BY ALL""")
+def notation_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.notation_measures(document(spark, sf_dir))
+
+
+@query(f"""WITH {DOC}, gone AS (SELECT paper_id, stable_id FROM objects WHERE kind = 'claim'), lost AS (SELECT paper_id, observation_id FROM ev WHERE confidence < 0.2),
+part AS (SELECT e.paper_id, e.stable_id, unnest(string_split(object_ids, ',')) AS ref FROM equations e UNION ALL SELECT paper_id, stable_id || '#', unnest(string_split(object_ids, ',')) FROM notation)
+SELECT paper_id, 'V2 object evidence' AS rule, object_id AS key FROM ev JOIN lost USING (paper_id, observation_id) JOIN objects o ON o.paper_id = ev.paper_id AND o.stable_id = object_id GROUP BY ALL
+UNION ALL SELECT ev.paper_id, 'V2 facet evidence', object_id FROM ev JOIN lost USING (paper_id, observation_id) WHERE pos % 2 = 1 GROUP BY ALL
+UNION ALL SELECT r.paper_id, 'V3 relation source', r.stable_id FROM relations r JOIN gone g ON g.paper_id = r.paper_id AND g.stable_id = source_id
+UNION ALL SELECT r.paper_id, 'V3 relation target', r.stable_id FROM relations r JOIN gone g ON g.paper_id = r.paper_id AND g.stable_id = target_id
+UNION ALL SELECT p.paper_id, 'V4 equation object', p.stable_id FROM part p JOIN gone g ON g.paper_id = p.paper_id AND g.stable_id = ref WHERE p.stable_id NOT LIKE '%#' GROUP BY ALL
+UNION ALL SELECT p.paper_id, 'V7 notation object', rtrim(p.stable_id, '#') FROM part p JOIN gone g ON g.paper_id = p.paper_id AND g.stable_id = ref WHERE p.stable_id LIKE '%#' GROUP BY ALL
+UNION ALL SELECT e.paper_id, 'V4 defined object', e.stable_id FROM equations e JOIN gone g ON g.paper_id = e.paper_id AND g.stable_id = defined_object_id
+UNION ALL SELECT paper_id, 'V8 explanation subject', {Papers._id("'explanation'", "replace(stable_id, ':', ' ')", scope="'intermediate'")} FROM gone WHERE paper_id IS NOT NULL
+UNION ALL SELECT q.paper_id, 'V8 occurrence subject', q.stable_id FROM quoted q JOIN gone g ON g.paper_id = q.paper_id AND g.stable_id = q.subject_id""")
+def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document without its claims and without what it is hardly sure of, so that there is something to find."""
+    d = document(spark, sf_dir)
+    weak = F.col("kind").isin(D.KINDS) & (F.col("confidence") < 0.2)
+    return D.violations(dataclasses.replace(d, objects=d.objects.where("kind <> 'claim'"), observations=d.observations.where(~weak)))
+
+
+@query()
+def anchored_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs, nodes = Papers.observations(spark, sf_dir).where("paper_id is not null"), Papers.nodes(spark, sf_dir).where("text is not null")
+    return D.anchored_occurrences(nodes, D.objects(obs)[0])

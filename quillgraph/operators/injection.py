@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.dom import SILENT, VOID
+from ..sources.dom import MATH, SILENT, VOID
 
 #: Elements in which nothing is anchored.
-CLOSED = SILENT | {"math", "svg"}
+CLOSED = SILENT | MATH
 ANCHOR = "kg-entity"
 
 
@@ -152,6 +152,63 @@ def remove(pages: DataFrame, entity: str, node: str | None = None) -> DataFrame:
     return pages.select("paper_id", "html").mapInPandas(run, f"paper_id {dict(pages.dtypes)['paper_id']}, html string, removed long")
 
 
+def repair(pages: DataFrame) -> DataFrame:
+    """(paper_id, html, repaired): without the anchors that lie inside formulas."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for paper, page in zip(b["paper_id"], b["html"]):
+                r = Rewriter()
+                r.drop = lambda a, n, r=r: ANCHOR in (a.get("class") or "").split() and any(t in MATH for t, _, _ in r.open)
+                rows.append((paper, r.run(page or ""), r.dropped))
+            yield pd.DataFrame(rows, columns=["paper_id", "html", "repaired"])
+
+    return pages.select("paper_id", "html").mapInPandas(run, f"paper_id {dict(pages.dtypes)['paper_id']}, html string, repaired long")
+
+
+class Wrapper(Rewriter):
+    """Wraps the first place of each term, without regard to case, in the text outside of formulas and scripts."""
+
+    def __init__(self, terms: list[tuple[str, str]]) -> None:
+        super().__init__()
+        self.left = {t.lower(): (t, e) for t, e in sorted(terms, key=lambda x: (len(x[0]), x[0])) if t.strip()}
+        self.wrapped = 0
+
+    def piece(self, source: str, text: str) -> None:
+        if source != text or any(t in CLOSED for t, _, _ in self.open):
+            self.out.append(source)
+            return
+        low = text.lower()
+        spans: list[tuple[int, int, str]] = []
+        for t in sorted(self.left, key=lambda t: (-len(t), t)):
+            a = low.find(t) if len(low) == len(text) else -1
+            if a >= 0 and not any(a < z and a + len(t) > y for y, z, _ in spans):
+                spans.append((a, a + len(t), self.left.pop(t)[1]))
+        done = 0
+        for a, z, entity in sorted(spans):
+            self.out.append(f'{text[done:a]}<span class="{ANCHOR}" data-entity-id="{entities.escape(entity)}">{text[a:z]}</span>')
+            done, self.wrapped = z, self.wrapped + 1
+        self.out.append(text[done:])
+
+
+def wrap_terms(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(paper_id, html, wrapped): pages with the first place of each of terms(paper_id, term, entity_id) wrapped, longer terms first;
+    of terms that differ in case only one is."""
+    per = terms.groupBy("paper_id").agg(F.array_sort(F.collect_set(F.struct("term", "entity_id"))).alias("t"))
+    both = pages.select("paper_id", "html").join(per, "paper_id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for paper, page, t in zip(b["paper_id"], b["html"], b["t"]):
+                w = Wrapper([(x["term"], x["entity_id"]) for x in t] if t is not None else [])
+                rows.append((paper, w.run(page or ""), w.wrapped))
+            yield pd.DataFrame(rows, columns=["paper_id", "html", "wrapped"])
+
+    return both.mapInPandas(run, f"paper_id {dict(pages.dtypes)['paper_id']}, html string, wrapped long")
+
+
 def intact(before: DataFrame, after: DataFrame) -> DataFrame:
     """(key, ok) of tag counts (key, sections, paragraphs, maths) before and after an edit: 5 sections and paragraphs may differ, no math."""
     a = after.select("key", *[F.col(c).alias(f"{c}2") for c in ("sections", "paragraphs", "maths")])

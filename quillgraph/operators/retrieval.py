@@ -51,7 +51,58 @@ def passage_topk(corpus: DataFrame, questions: DataFrame, k: int = 2) -> DataFra
     return best.union(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(question_id, id) of the docs(id, text) whose text holds the item of items(question_id, item), character by character.
+
+    The words inside an item, all but its first and last, are whole words of such a text: the second to fourth, or of a short
+    item the second alone, are met by an equi-join before containment is tested. Texts are split once, and the items' keys
+    are far fewer than the words, so Spark sends them to where the words are. Items of one or two words have no word inside:
+    they are met by their first character.
+    """
+    n = F.size(F.split("item", " "))
+    word = lambda a, k: F.array_join(F.slice(F.split("item", " "), a, k), " ")
+    keyed = items.where("item is not null and item <> ''").withColumn("wide", F.when(n >= 5, 3).when(n >= 3, 1).otherwise(0))
+    keyed = keyed.select("question_id", "wide", F.when(n >= 5, word(2, 3)).when(n >= 3, word(2, 1)).otherwise(F.substring("item", 1, 1)).alias("key"))
+    keyed = checkpointed(keyed)
+    t = docs.select("id", F.split("text", " ").alias("w"))
+    later = lambda k: F.slice("w", F.lit(k), F.greatest(F.size("w") - (k - 1), F.lit(0)))
+    threes = t.select("id", F.explode(F.arrays_zip(F.col("w").alias("a"), later(2).alias("b"), later(3).alias("c"))).alias("x")).where("x.c is not null").select("id", F.lit(3).alias("wide"), F.concat_ws(" ", "x.a", "x.b", "x.c").alias("key"))
+    met = [threes]
+    kinds = {r["wide"] for r in keyed.select("wide").distinct().collect()}  # three at most
+    if 1 in kinds:
+        met.append(t.select("id", F.lit(1), F.explode(F.array_distinct("w"))))
+    if 0 in kinds:
+        met.append(docs.select("id", F.lit(0), F.explode(F.array_distinct(F.split("text", "")))))
+    grams = met[0]
+    for more in met[1:]:
+        grams = grams.union(more)
+    near = grams.join(keyed, ["wide", "key"]).select("id", "question_id").distinct()
+    return near.join(docs, "id").join(items, "question_id").where(F.contains("text", F.col("item"))).select("question_id", "id").distinct()
+
+
+def by_class(classes: DataFrame, passage: DataFrame, hybrid: DataFrame, expected: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(class, recall_, faith_ and tokens_ of either way, decision) for classes(question_id, class): means over the questions."""
+    tokens = corpus.select("id", F.size(T.retrieval_tokens(F.col("text"))).alias("n"))
+    out = None
+    for name, found in (("passage", passage), ("hybrid", hybrid)):
+        found = checkpointed(found.select("question_id", "id"))
+        used = found.join(tokens, "id").groupBy("question_id").agg(F.sum("n").alias("n"))
+        scored = evaluate_exact(found, expected)
+        one = classes.join(scored, "question_id", "left").join(used, "question_id", "left").na.fill(1.0, ["recall", "faithfulness"]).na.fill(0, ["n"])
+        m = one.groupBy("class").agg(F.avg("recall").alias(f"r_{name}"), F.avg("faithfulness").alias(f"f_{name}"), F.avg("n").alias(f"t_{name}"))
+        out = m if out is None else out.join(m, "class")
+    same = F.lit(0.0)  # latencies belong to a machine, not to a result
+    better = promotion(F.col("r_passage"), F.col("r_hybrid"), F.col("f_passage"), F.col("f_hybrid"), same, same, F.col("t_passage"), F.col("t_hybrid"))
+    cols = [F.round(f"{k}_{name}", d).alias(f"{long}_{name}") for name in ("passage", "hybrid") for k, long, d in (("r", "recall", 6), ("f", "faith", 6), ("t", "tokens", 4))]
+    return out.select("class", *cols, F.when(better, "hybrid").otherwise("passage_only").alias("decision"))
+
+
 def evaluate(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """``evaluate_exact`` in six digits."""
+    return evaluate_exact(found, expected).select("question_id", F.round("recall", 6).alias("recall"), F.round("faithfulness", 6).alias("faithfulness"))
+
+
+def evaluate_exact(found: DataFrame, expected: DataFrame) -> DataFrame:
     """(question_id, recall, faithfulness) of found(question_id, id) against expected(question_id, id); 1 where there is nothing."""
     e = expected.distinct().groupBy("question_id").agg(F.count(F.lit(1)).alias("wanted"))
     f = found.select("question_id", "id").distinct()
@@ -59,7 +110,7 @@ def evaluate(found: DataFrame, expected: DataFrame) -> DataFrame:
     hit = f.join(expected.distinct(), ["question_id", "id"]).groupBy("question_id").agg(F.count(F.lit(1)).alias("hits"))
     j = e.join(g, "question_id", "full").join(hit, "question_id", "left").na.fill(0, ["wanted", "got", "hits"])
     rate = lambda d: F.when(F.col(d) == 0, 1.0).otherwise(F.col("hits") / F.col(d))
-    return j.select("question_id", F.round(rate("wanted"), 6).alias("recall"), F.round(rate("got"), 6).alias("faithfulness"))
+    return j.select("question_id", rate("wanted").alias("recall"), rate("got").alias("faithfulness"))
 
 
 def entity_link(questions: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:

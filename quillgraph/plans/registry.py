@@ -16,6 +16,8 @@ from ..operators import annotations as N
 from ..operators import canonical as C
 from ..operators import document as D
 from ..operators import graph as G
+from ..operators import injection as I
+from ..operators import quality as Q
 from ..operators import retrieval as R
 from ..operators import trees
 from ..sources import adapters as A
@@ -74,19 +76,16 @@ h AS (SELECT question_id, count(*) AS h FROM found JOIN ex USING (question_id, i
 SELECT question_id, round(CASE WHEN coalesce(w, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / w::DOUBLE END, 6) AS recall, round(CASE WHEN coalesce(g, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / g::DOUBLE END, 6) AS faithfulness
 FROM e FULL JOIN g USING (question_id) LEFT JOIN h USING (question_id)""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.passage_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir))
+    return R.evaluate(R.passage_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir)), judged(spark, sf_dir))
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, id): the documents whose text holds a benchmark item's."""
     docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    items = A.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("item"))
-    # an item's first three tokens meet a document's before containment is tested: no pair of all with all
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 2, 3), " ")
-    words = F.split("text", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
-    near = docs.select("id", F.explode(F.array_distinct(grams)).alias("key")).join(items.select("question_id", key("item").alias("key")), "key").select("id", "question_id")
-    expected = near.join(docs, "id").join(items, "question_id").where(F.contains("text", F.col("item"))).select("question_id", "id")
-    return R.evaluate(found, expected)
+    return R.containing(docs, A.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("item")))
 
 
-@query(f"""WITH {SCORES_SQL}, {A.OBSERVATIONS_SQL},
+HYBRID_SQL = f"""{A.OBSERVATIONS_SQL},
 ev AS (SELECT label AS entity, section_id AS id FROM observations),
 rel AS (SELECT x.label AS source_id, y.label AS target_id, x.section_id AS id FROM observations x JOIN observations y ON x.section_id = y.section_id AND x.label < y.label),
 l AS (SELECT DISTINCT label FROM observations),
@@ -100,8 +99,10 @@ chosen AS (SELECT question_id, entity, link + 3 AS boost, true AS seed FROM seed
 parts AS (SELECT question_id, id, score FROM scored UNION ALL SELECT question_id, id, boost FROM chosen JOIN ev USING (entity) UNION ALL
   SELECT c.question_id, rel.id, 4.0 FROM rel JOIN chosen c ON c.entity = source_id JOIN chosen d ON d.entity = target_id AND d.question_id = c.question_id WHERE c.seed OR d.seed),
 total AS (SELECT question_id, id, sum(score) AS score FROM parts GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank FROM total)
-SELECT question_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 3""")
+r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, id) AS rank FROM total)"""
+
+
+@query(f"WITH {SCORES_SQL}, {HYBRID_SQL} SELECT question_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 3")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = A.observations(spark, sf_dir).select("label", F.col("section_id").alias("id"))
     # at most five labels a document: ten pairs
@@ -110,6 +111,22 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.hybrid_topk(A.corpus(spark, sf_dir), A.questions(spark, sf_dir), labels, obs.select(F.col("label").alias("entity"), "id"), pairs)
 
 
+@query(f"""WITH {SCORES_SQL}, {HYBRID_SQL}, ex AS (SELECT DISTINCT item_id AS question_id, doc_id AS id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+toks AS (SELECT id, count(*) AS tokens FROM dt GROUP BY ALL), shown AS (SELECT 'passage' AS path, question_id, id FROM topk WHERE rank <= 2 UNION ALL SELECT 'hybrid', question_id, id FROM r WHERE rank <= 3),
+one AS (SELECT p.path, b.question_id, CASE WHEN length(b.question) >= 250 THEN 'long' ELSE 'short' END AS class, (SELECT count(*) FROM ex WHERE ex.question_id = b.question_id) AS w, (SELECT count(*) FROM shown s WHERE s.path = p.path AND s.question_id = b.question_id) AS g,
+  (SELECT count(*) FROM shown s JOIN ex USING (question_id, id) WHERE s.path = p.path AND s.question_id = b.question_id) AS h, (SELECT coalesce(sum(tokens), 0) FROM shown s JOIN toks USING (id) WHERE s.path = p.path AND s.question_id = b.question_id) AS tokens
+  FROM b, (VALUES ('passage'), ('hybrid')) p(path)),
+m AS (SELECT class, path, avg(CASE WHEN w = 0 THEN 1.0::DOUBLE ELSE h / w::DOUBLE END) AS recall, avg(CASE WHEN g = 0 THEN 1.0::DOUBLE ELSE h / g::DOUBLE END) AS faith, avg(tokens) AS tokens FROM one GROUP BY ALL)
+SELECT x.class, round(x.recall, 6) AS recall_passage, round(x.faith, 6) AS faith_passage, round(x.tokens, 4) AS tokens_passage, round(y.recall, 6) AS recall_hybrid, round(y.faith, 6) AS faith_hybrid, round(y.tokens, 4) AS tokens_hybrid,
+  CASE WHEN y.recall - x.recall >= 0.05 AND y.faith >= x.faith AND y.tokens <= greatest(x.tokens * 1.25, x.tokens) THEN 'hybrid' ELSE 'passage_only' END AS decision FROM m x JOIN m y USING (class) WHERE x.path = 'passage' AND y.path = 'hybrid'""")
+def retrieval_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of both ways by class of question, and which way a class is given; no latencies are compared here."""
+    corpus, questions = A.corpus(spark, sf_dir), A.questions(spark, sf_dir)
+    kinds = questions.select("question_id", F.when(F.length("question") >= 250, "long").otherwise("short").alias("class"))
+    passage = R.passage_topk(corpus, questions)
+    return R.by_class(kinds, passage, hybrid_topk(spark, sf_dir), judged(spark, sf_dir), corpus)
+
+
 @query(f"WITH {TOKENS_SQL} SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM dt GROUP BY ALL")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.term_stats(A.corpus(spark, sf_dir))
@@ -221,9 +238,36 @@ def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connectivity(*graph(spark, sf_dir))
 
 
-@query(f"""WITH {STAR}, p AS (SELECT paper_id, id FROM objects WHERE id LIKE 'r%' OR id LIKE 'n%'),
-t AS (SELECT paper_id, count(*) AS size, 'n' || min(substr(id, 2)) AS component FROM objects WHERE id NOT LIKE 'r%' GROUP BY ALL)
-SELECT paper_id, min(id) AS component, count(*) AS size FROM objects GROUP BY paper_id""")
+COMPONENTS_SQL = """e AS (SELECT paper_id, source_id AS a, target_id AS b FROM relations UNION SELECT paper_id, target_id, source_id FROM relations),
+cc(paper_id, id, component) USING KEY (paper_id, id) AS (SELECT paper_id, id, id FROM objects UNION
+  SELECT e.paper_id, e.b, min(c.component) FROM cc c JOIN e ON e.paper_id = c.paper_id AND e.a = c.id JOIN recurring.cc o ON o.paper_id = e.paper_id AND o.id = e.b WHERE c.component < o.component GROUP BY ALL),
+sizes AS (SELECT paper_id, component, count(*) AS size FROM cc GROUP BY ALL)"""
+LOOSE_SQL = STAR.replace("relations AS (", "every AS (") + ", relations AS (SELECT * FROM every WHERE type <> 'part_of' AND evidence > 1)"
+
+
+def loose(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of dealings that are more than one line, without the places: it falls into many components."""
+    objects, relations = graph(spark, sf_dir)
+    return objects, relations.where("type <> 'part_of' and evidence > 1")
+
+
+@query(f"WITH RECURSIVE {LOOSE_SQL}, {COMPONENTS_SQL} SELECT * FROM sizes")
+def component_sizes_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(*loose(spark, sf_dir)).groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(f"""WITH RECURSIVE {LOOSE_SQL}, {COMPONENTS_SQL}, pairs AS (SELECT DISTINCT paper_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM relations),
+near AS (SELECT paper_id, id, count(*) AS k FROM (SELECT paper_id, a AS id FROM pairs UNION ALL SELECT paper_id, b FROM pairs) GROUP BY ALL), d AS (SELECT paper_id, id, coalesce(k, 0) AS k FROM objects LEFT JOIN near USING (paper_id, id)),
+sums AS (SELECT paper_id, count(*) AS nodes, count(*) FILTER (k = 0) AS isolates, sum(k) AS ends, min(k) AS least_degree, max(k) AS most_degree, count(*) FILTER (k <= 2) AS ordinary, coalesce(sum(k) FILTER (k <= 2), 0) AS o, count(*) FILTER (k > 2) AS hubs, coalesce(sum(k) FILTER (k > 2), 0) AS h FROM d GROUP BY ALL),
+s AS (SELECT paper_id, count(*) AS components, max(size) AS largest FROM sizes GROUP BY ALL), r AS (SELECT paper_id, count(*) AS edges FROM relations GROUP BY ALL)
+SELECT paper_id, nodes, coalesce(edges, 0)::BIGINT AS edges, isolates, components, largest, round(ends / nodes::DOUBLE, 6) AS mean_degree, round(ends / 2.0::DOUBLE / (nodes * (nodes - 1) // 2), 9) AS density, least_degree, most_degree, ordinary,
+  CASE WHEN ordinary > 0 THEN round(o / ordinary::DOUBLE, 6) ELSE 0.0 END AS ordinary_mean, hubs, CASE WHEN hubs > 0 THEN round(h / hubs::DOUBLE, 6) ELSE 0.0 END AS hub_mean, round(isolates / nodes::DOUBLE, 6) AS isolate_rate, round(largest / nodes::DOUBLE, 6) AS largest_rate
+FROM sums JOIN s USING (paper_id) LEFT JOIN r USING (paper_id)""")
+def connectivity_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.connectivity(*loose(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {STAR}, {COMPONENTS_SQL} SELECT * FROM sizes")
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = G.components(*graph(spark, sf_dir))
     return c.groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size"))
@@ -595,3 +639,117 @@ def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anchored_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs, nodes = Papers.observations(spark, sf_dir).where("paper_id is not null"), Papers.nodes(spark, sf_dir).where("text is not null")
     return D.anchored_occurrences(nodes, D.objects(obs)[0])
+
+
+@query()
+def quality_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.paper_quality(*graph(spark, sf_dir), D.KINDS, D.TYPES)
+
+
+@query()
+def quality_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.corpus_quality(quality_papers(spark, sf_dir))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    objects = D.objects(Papers.observations(spark, sf_dir).where("paper_id is not null"))[0]
+    return Q.occurrence_coverage(objects, texts(spark, sf_dir))
+
+
+WORDS_SQL = f"""{DOC}, sub AS (SELECT paper_id, stable_id AS subject, label AS form FROM objects WHERE kind <> 'claim' AND length(label) >= 2),
+parts AS (SELECT *, regexp_extract(form, '^(.*?)([a-z]+)([^a-z]*)$', 1) AS head, regexp_extract(form, '^(.*?)([a-z]+)([^a-z]*)$', 2) AS w, regexp_extract(form, '^(.*?)([a-z]+)([^a-z]*)$', 3) AS tail FROM sub),
+made AS (SELECT paper_id, subject, {PLURAL_SQL.replace("subject", "form")} AS form FROM parts),
+plural AS (SELECT * FROM made m WHERE form IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.paper_id = m.paper_id AND s.subject = m.subject AND s.form = m.form)),
+owner AS (SELECT paper_id, form, count(DISTINCT subject) AS owners, min(subject) AS subject, bool_or(x) AS exact FROM (SELECT paper_id, form, subject, true AS x FROM sub UNION ALL SELECT paper_id, form, subject, false FROM plural) GROUP BY ALL),
+tok AS (SELECT source AS paper_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+')) AS form FROM documents WHERE source IS NOT NULL), n AS (SELECT paper_id, form, count(*) AS n FROM tok GROUP BY ALL),
+hit AS (SELECT * FROM n JOIN owner USING (paper_id, form))"""
+
+
+@query(f"""WITH {WORDS_SQL}, t AS (SELECT paper_id, count(*) AS subjects FROM objects WHERE kind <> 'claim' GROUP BY ALL),
+h AS (SELECT paper_id, coalesce(sum(n) FILTER (exact), 0)::BIGINT AS exact, coalesce(sum(n) FILTER (NOT exact AND owners = 1), 0)::BIGINT AS inflection, coalesce(sum(n) FILTER (NOT exact AND owners > 1), 0)::BIGINT AS ambiguous,
+  count(DISTINCT subject) FILTER (exact) AS e, count(DISTINCT subject) FILTER (exact OR owners = 1) AS a FROM hit GROUP BY ALL)
+SELECT paper_id, subjects, coalesce(exact, 0) AS exact, coalesce(inflection, 0) AS inflection, 0::BIGINT AS orthographic, coalesce(ambiguous, 0) AS ambiguous, round(exact / (exact + inflection)::DOUBLE, 6) AS recall, round(e / subjects::DOUBLE, 6) AS exact_rate, round(a / subjects::DOUBLE, 6) AS possible_rate
+FROM t LEFT JOIN h USING (paper_id) WHERE paper_id IS NOT NULL""")
+def occurrence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are single words here: the SQL counts words instead of looking for forms."""
+    return coverage(spark, sf_dir)[0]
+
+
+@query()
+def missed_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage(spark, sf_dir)[1]
+
+
+@query()
+def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.inject_ids(A.read(spark, sf_dir, "pages")).select("page_id", F.sha2("html", 256).alias("html_sha256"))
+
+
+@query()
+def page_section_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.sections(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.equations(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.citations(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.metadata(A.read(spark, sf_dir, "pages"))
+
+
+@query()
+def node_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.node_sections(dom.page_nodes(A.read(spark, sf_dir, "pages")))
+
+
+@query()
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = A.read(spark, sf_dir, "pages")
+    text = dom.page_text(pages)
+    return dom.quote_places(pages, text.select("page_id", F.explode(F.slice(F.split("text", r"(?<=[.!?]) "), 2, 3)).alias("quote")))
+
+
+@query()
+def find_in_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.find_in_page(A.read(spark, sf_dir, "pages"), "an")
+
+
+@query(r"""WITH p AS (SELECT page_id, html, regexp_replace(html, '(?i)<p([\s>/])', '<x\1', 'g') AS after FROM pages)
+SELECT page_id AS key, len(regexp_extract_all(html, '(?i)<p[\s>/]')) <= 5 AS ok FROM p WHERE html IS NOT NULL""")
+def edit_intact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether pages may lose their paragraphs: only where there are five at most."""
+    pages = A.read(spark, sf_dir, "pages").where("html is not null")
+    after = pages.withColumn("html", F.regexp_replace("html", r"(?i)<p([\s>/])", "<x$1"))
+    keyed = lambda d: dom.tag_counts(d).withColumnRenamed("page_id", "key")
+    return I.intact(keyed(pages), keyed(after))
+
+
+@query()
+def anchors_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with an anchor around the first word of each node of text, and what became of them."""
+    pages, nodes = injectable(spark, sf_dir)
+    return I.inject(pages, nodes).select("paper_id", F.sha2("html", 256).alias("html_sha256"), "injected", "skipped")
+
+
+def injectable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    raw = A.read(spark, sf_dir, "pages")
+    pages = dom.inject_ids(raw).select(F.col("page_id").alias("paper_id"), "html")
+    n = dom.page_nodes(raw).where("annotatable").withColumn("word", F.regexp_extract("text", r"[A-Za-z]{3,}", 0)).where("word <> ''")
+    start = F.instr("text", F.col("word")) - 1
+    occ = n.select(F.col("page_id").alias("paper_id"), F.concat_ws("-", "page_id", "pos").alias("id"), F.lower("word").alias("entity_id"), F.col("node_id").alias("node"), start.cast("long").alias("start"), (start + F.length("word")).cast("long").alias("end"), F.col("word").alias("text"))
+    return pages, occ
+
+
+@query()
+def anchors_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages without the anchors of one word again: (paper_id, removed)."""
+    pages, occ = injectable(spark, sf_dir)
+    return I.remove(I.inject(pages, occ).select("paper_id", "html"), "the").select("paper_id", "removed")

@@ -157,15 +157,19 @@ def closure(relations: DataFrame, start: DataFrame, forward: bool = True) -> Dat
 
 
 def overview(objects: DataFrame, relations: DataFrame, limit: int = 20) -> DataFrame:
-    """(paper_id, place, id, rank) of the overview's nodes: core contributions first, then the neighbourhood.
+    """``overview_of`` all objects."""
+    return overview_of(ranked(objects, relations), relations, limit)
 
-    The selection is sequential, at most 30 steps a paper, so it runs once a paper in a grouped map. What goes
-    there is bounded in advance: the core seeds, each node's number of ties to others is needed only for
-    nodes that have one, so objects and ties are read by paper, ids and ranks alone.
+
+def overview_of(r: DataFrame, relations: DataFrame, limit: int = 20) -> DataFrame:
+    """(paper_id, place, id, rank) of the overview's nodes among ranked objects: core contributions first, then the neighbourhood.
+
+    The selection is sequential: at most 30 nodes are chosen, each the best of what the chosen ones touch, so a paper is one
+    grouped map over a paper's objects: their ids, ranks, labels and neighbours, nothing else of them.
     """
     limit = max(1, min(limit, 30))
-    r = ranked(objects, relations).select("paper_id", "id", "label", "contribution", "rank")
-    e = induced_all(relations, r).select("paper_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    r = r.select("paper_id", "id", "label", "contribution", "rank")
+    e = induced_all(relations, r).where("source_id <> target_id").select("paper_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
     ties = e.groupBy("paper_id", F.col("a").alias("id")).agg(F.collect_set("b").alias("x")).unionByName(e.groupBy("paper_id", F.col("b").alias("id")).agg(F.collect_set("a").alias("x")))
     ties = ties.groupBy("paper_id", "id").agg(F.flatten(F.collect_list("x")).alias("near"))
     both = r.join(ties, ["paper_id", "id"], "left")

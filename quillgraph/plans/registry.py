@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import markup as M
 from ..functions import text as T
 from ..operators import annotations as N
 from ..operators import canonical as C
@@ -19,7 +20,9 @@ from ..operators import graph as G
 from ..operators import injection as I
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import store as S
 from ..operators import trees
+from ..operators import views as V
 from ..sources import adapters as A
 from ..sources import dom
 from ..sources import papers as Papers
@@ -753,3 +756,175 @@ def anchors_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same pages without the anchors of one word again: (paper_id, removed)."""
     pages, occ = injectable(spark, sf_dir)
     return I.remove(I.inject(pages, occ).select("paper_id", "html"), "the").select("paper_id", "removed")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.annotations(spark, sf_dir)
+
+
+@query(f"WITH {ANN} SELECT id, CASE WHEN is_pinned THEN 'pinned ' || id ELSE content END AS content, is_pinned AND entity_id IS NOT NULL AS is_user_override FROM annotations")
+def note_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir).withColumn("is_user_override", F.lit(False))
+    new = n.select("id", F.when(F.col("is_pinned"), F.concat(F.lit("pinned "), "id")).alias("content"))
+    return S.update(n, new, ["content"]).select("id", "content", F.coalesce("is_user_override", F.lit(False)).alias("is_user_override"))
+
+
+@query(f"WITH {ANN} SELECT id FROM annotations UNION SELECT id || '-copy' FROM annotations WHERE is_pinned")
+def note_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir).select("id", "is_pinned")
+    copies = n.where("is_pinned").select(F.concat("id", F.lit("-copy")).alias("id"), "is_pinned")
+    return S.insert(n, n.union(copies).union(copies)).select("id")
+
+
+@query(f"WITH {ANN} SELECT id FROM annotations WHERE NOT coalesce(entity_id = 'assistant_1', false)")
+def note_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir)
+    return S.delete(n, n.where("entity_id = 'assistant_1'").select("paper_id", "entity_id")).select("id")
+
+
+@query(f"WITH {ANN} SELECT paper_id, id, (row_number() OVER (PARTITION BY paper_id ORDER BY created_at DESC, id))::INT AS place FROM annotations")
+def newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.newest(notes(spark, sf_dir)).select("paper_id", "id", "place")
+
+
+@query(f"WITH {ANN} SELECT id FROM annotations WHERE paper_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 3)")
+def papers_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = notes(spark, sf_dir)
+    gone = A.read(spark, sf_dir, "conversations").where("turn = 3").select(F.col("conv_id").alias("paper_id"))
+    return S.delete_papers(n.select("paper_id").distinct(), {"notes": n}, gone)[1]["notes"].select("id")
+
+
+SUGGESTED = f"""{ANN}, sug AS (SELECT paper_id, id, coalesce(entity_id, 'Definition') AS entity_type, is_pinned AS is_ai_generated FROM annotations)"""
+
+
+def suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).select("paper_id", "id", F.coalesce("entity_id", F.lit("Definition")).alias("entity_type"), F.col("is_pinned").alias("is_ai_generated"))
+
+
+@query(f"""WITH {SUGGESTED}, g AS (SELECT paper_id, CASE WHEN is_ai_generated THEN 'ai' ELSE 'manual' END AS top, lower(entity_type) AS type, count(*) AS n FROM sug GROUP BY ALL)
+SELECT paper_id, top, CASE top WHEN 'manual' THEN 0 ELSE 1 END AS top_place, type, upper(type[1]) || type[2:] AS label, (row_number() OVER (PARTITION BY paper_id, top ORDER BY CASE type WHEN 'definition' THEN 1 ELSE 6 END, type))::INT AS place, n FROM g""")
+def suggestion_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.suggestion_menu(suggested(spark, sf_dir))
+
+
+@query(f"WITH {SUGGESTED} SELECT id FROM sug WHERE NOT is_ai_generated OR paper_id NOT IN (SELECT paper_id FROM sug WHERE entity_type = 'assistant_1') UNION ALL SELECT id || '-new' FROM sug WHERE entity_type = 'assistant_1'")
+def suggestions_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suggested(spark, sf_dir)
+    new = rows.where("entity_type = 'assistant_1'").select("paper_id", F.concat("id", F.lit("-new")).alias("id"), "entity_type")
+    return S.replaced_suggestions(rows, new).select("id")
+
+
+@query(f"""WITH {DOC}, occ AS (SELECT paper_id, subject_id, count(*) AS n FROM quoted GROUP BY ALL)
+SELECT o.paper_id, o.stable_id AS entity_id, kind AS entity_type, label AS entity_label, said AS tooltip_content, members AS evidence, coalesce(n, 0)::BIGINT AS occurrences FROM objects o LEFT JOIN occ ON occ.paper_id = o.paper_id AND occ.subject_id = o.stable_id
+WHERE kind IN ('topic', 'procedure') AND o.paper_id IS NOT NULL""")
+def suggestion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.suggestion_candidates(document(spark, sf_dir), ["topic", "procedure"])
+
+
+@query(f"""WITH {DOC} SELECT paper_id, 'observations' AS name, count(*) + (SELECT 2 * count(*) FROM pair p WHERE p.paper_id = observations.paper_id) AS n FROM observations WHERE paper_id IS NOT NULL GROUP BY paper_id
+UNION ALL SELECT paper_id, 'objects', count(*) FROM objects WHERE paper_id IS NOT NULL GROUP BY ALL UNION ALL SELECT paper_id, 'relations', count(*) FROM relations WHERE paper_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT paper_id, 'equations', count(*) FROM equations WHERE paper_id IS NOT NULL GROUP BY ALL UNION ALL SELECT paper_id, 'notation', count(*) FROM notation WHERE paper_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT paper_id, 'explanations', count(*) FROM explanations WHERE paper_id IS NOT NULL GROUP BY ALL
+UNION ALL SELECT paper_id, 'occurrences', sum(n)::BIGINT FROM (SELECT paper_id, count(*) AS n FROM quoted WHERE paper_id IS NOT NULL GROUP BY ALL UNION ALL
+  SELECT n.paper_id, sum((length(latex) - length(replace(latex, symbol, ''))) // length(symbol)) FROM equations e JOIN notation n ON e.paper_id = n.paper_id AND list_contains(string_split(notation_ids, ','), n.stable_id) GROUP BY ALL) GROUP BY ALL""")
+def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.metrics(document(spark, sf_dir))
+
+
+@query(f"""WITH {DOC} SELECT DISTINCT paper_id, object_id AS id FROM ev WHERE section_id = 7""")
+def objects_at_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.at_location(document(spark, sf_dir), section="7", node="n7")
+
+
+@query(f"""WITH RECURSIVE {STAR}, sec AS (SELECT o.paper_id, o.id, target_id AS parent_id, o.label AS title, CASE WHEN o.id LIKE 'r%' THEN 0 ELSE substr(o.id, 2)::BIGINT END AS pos FROM objects o LEFT JOIN relations r ON r.paper_id = o.paper_id AND r.source_id = o.id AND type = 'part_of' WHERE kind <> 'artifact'),
+t(paper_id, id, depth, path) AS (SELECT paper_id, id, 0, [lpad(pos::VARCHAR, 12, '0') || ':' || id] FROM sec WHERE parent_id IS NULL UNION ALL SELECT s.paper_id, s.id, t.depth + 1, t.path || [lpad(s.pos::VARCHAR, 12, '0') || ':' || s.id] FROM sec s JOIN t ON t.paper_id = s.paper_id AND t.id = s.parent_id)
+SELECT paper_id, id, depth, (row_number() OVER (PARTITION BY paper_id ORDER BY path))::INT AS place FROM t""")
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.flattened(outline_sections(spark, sf_dir))
+
+
+def outline_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations = graph(spark, sf_dir)
+    up = relations.where("type = 'part_of'").select("paper_id", F.col("source_id").alias("id"), F.col("target_id").alias("parent_id"))
+    pos = F.when(F.startswith("id", F.lit("r")), 0).otherwise(F.expr("substring(id, 2)").cast("long"))
+    return objects.where("kind <> 'artifact'").select("paper_id", "id", F.col("label").alias("title")).join(up, ["paper_id", "id"], "left").withColumn("pos", pos.cast("long"))
+
+
+@query(f"""WITH RECURSIVE {STAR}, sec AS (SELECT o.paper_id, o.id, target_id AS parent_id, CASE WHEN o.id LIKE 'r%' THEN 0 ELSE substr(o.id, 2)::BIGINT END AS pos FROM objects o LEFT JOIN relations r ON r.paper_id = o.paper_id AND r.source_id = o.id AND type = 'part_of' WHERE kind <> 'artifact'),
+t(paper_id, id, depth, path) AS (SELECT paper_id, id, 0, [lpad(pos::VARCHAR, 12, '0') || ':' || id] FROM sec WHERE parent_id IS NULL UNION ALL SELECT s.paper_id, s.id, t.depth + 1, t.path || [lpad(s.pos::VARCHAR, 12, '0') || ':' || s.id] FROM sec s JOIN t ON t.paper_id = s.paper_id AND t.id = s.parent_id),
+f AS (SELECT paper_id, id, depth, (row_number() OVER (PARTITION BY paper_id ORDER BY path))::INT AS place FROM t)
+SELECT paper_id, id, depth - (paper_id <> 2)::INT AS depth, place - (paper_id <> 2)::INT AS place FROM f WHERE depth > 0 OR paper_id = 2""")
+def outline_without_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every region's name is its paper's title, but for one paper that has another."""
+    sections = outline_sections(spark, sf_dir)
+    titles = A.read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("paper_id"), F.when(F.col("r_regionkey") == 2, "Another").otherwise(F.initcap(F.lower("r_name"))).alias("title"))
+    return V.without_title_root(V.flattened(sections), sections, titles)
+
+
+@query(f"""WITH {rank_sql(0.25)}, c AS (SELECT paper_id, count(*) AS candidates FROM ranked WHERE kind IN ('topic', 'procedure') AND rank >= 0.3 AND NOT (familiarity >= 0.8 AND contribution < 0.8) GROUP BY ALL),
+o AS (SELECT paper_id, count(*) AS total_objects FROM objects GROUP BY ALL), r AS (SELECT paper_id, count(*) AS total_relations FROM relations GROUP BY ALL)
+SELECT paper_id, total_objects, total_relations, coalesce(candidates, 0) > 8 AS truncated FROM o LEFT JOIN r USING (paper_id) LEFT JOIN c USING (paper_id)""")
+def overview_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    totals = V.overview(*graph(spark, sf_dir), kinds=["topic", "procedure"], min_importance=0.3, expertise="expert", limit=8)[2]
+    return totals.drop("omitted_relations")
+
+
+@query(f"""WITH {rank_sql(0.1)}, s AS (SELECT paper_id, id FROM objects WHERE id LIKE 'n%'), best AS (SELECT r.*, row_number() OVER (PARTITION BY paper_id ORDER BY rank DESC, id) AS place FROM ranked r SEMI JOIN s USING (paper_id, id)),
+seed AS (SELECT * FROM best WHERE place <= 12), pairs AS (SELECT paper_id, source_id AS id, target_id AS other FROM relations UNION SELECT paper_id, target_id, source_id FROM relations),
+near AS (SELECT DISTINCT p.paper_id, other AS id FROM pairs p JOIN seed USING (paper_id, id) ANTI JOIN seed z ON z.paper_id = p.paper_id AND z.id = other),
+room AS (SELECT paper_id, 12 - count(*) AS room FROM seed GROUP BY ALL), rest AS (SELECT r.paper_id, r.id, r.rank, row_number() OVER (PARTITION BY r.paper_id ORDER BY rank DESC, r.id) AS place FROM ranked r SEMI JOIN near n ON n.paper_id = r.paper_id AND n.id = r.id WHERE kind <> 'claim' OR kind = 'claim')
+SELECT paper_id, id, 'seed' AS role, rank FROM seed UNION ALL SELECT rest.paper_id, id, 'neighbour', rank FROM rest JOIN room ON room.paper_id = rest.paper_id WHERE place <= room""")
+def focus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects, relations = graph(spark, sf_dir)
+    return V.focus(objects, relations, objects.where("id like 'n%'"), nodes=12)[0]
+
+
+@query(f"""WITH {STAR}, n AS (SELECT paper_id, id FROM objects WHERE kind IN ('topic', 'procedure')) SELECT r.paper_id, r.id FROM relations r SEMI JOIN n a ON a.paper_id = r.paper_id AND a.id = source_id SEMI JOIN n b ON b.paper_id = r.paper_id AND b.id = target_id WHERE type = 'part_of'""".replace("n AS (SELECT paper_id", "nk AS (SELECT paper_id").replace("SEMI JOIN n ", "SEMI JOIN nk "))
+def visible_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.visible(*graph(spark, sf_dir), ["topic", "procedure"], ["part_of", "depends_on"])[1].select("paper_id", "id")
+
+
+@query(f"""WITH {STAR}, a AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY id) AS place FROM objects WHERE kind = 'procedure'), b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY id) AS place FROM objects WHERE kind IN ('topic', 'procedure')),
+u AS (SELECT paper_id, id, place, id IN (SELECT x.id FROM a x WHERE x.paper_id = b.paper_id) AS was FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY NOT was, place, id) AS k FROM u) SELECT paper_id, id FROM k WHERE k <= 15""")
+def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is on the screen (suppliers), and a new projection with the places too."""
+    objects, relations = graph(spark, sf_dir)
+    w = Window.partitionBy("paper_id").orderBy("id")
+    part = lambda kinds: objects.where(F.col("kind").isin(kinds)).withColumn("place", F.row_number().over(w))
+    return V.merged((part(["procedure"]), relations), (part(["topic", "procedure"]), relations), most=15)[0].select("paper_id", "id")
+
+
+@query(r"""WITH d AS (SELECT event_id, event_type AS stage, value, user_id FROM events), g AS (SELECT stage, count(*) AS calls, sum(1 + user_id % 3)::BIGINT AS attempts, sum(user_id % 3)::BIGINT AS retries, round(sum(value), 4) AS wall, sum(user_id)::BIGINT AS tokens FROM d GROUP BY ALL)
+SELECT *, (row_number() OVER (ORDER BY wall DESC, stage))::INT AS place FROM g""")
+def profile_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = A.read(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), (1 + F.col("user_id") % 3).alias("attempts"), F.col("value").alias("wall"), F.col("user_id").cast("long").alias("tokens"))
+    return P.profile_attempts(calls)
+
+
+@query(r"""SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'), lambda x: x NOT IN ('a', 'an', 'the', 'and', 'or', 'of', 'for', 'to', 'in', 'on', 'by', 'with', 'loss', 'objective', 'function', 'equation', 'formula', 'term', 'value', 'model', 'paper', 'method', 'training', 'optimization'))))::INT AS significant,
+(length(lower(text)) - length(replace(lower(text), 'an', ''))) // 2 AS places, CASE WHEN trim(text) = '' THEN text WHEN regexp_matches(text, '\$|\\\(|\\\[') THEN 'delimited' ELSE 'bare' END AS math, substr(replace(replace(replace(replace(lower(lang || ' x{y}\z'), ' ', '_'), '\', ''), '{', ''), '}', ''), 1, 64) AS safe,
+upper(lang[1]) || lower(lang[2:]) || 's' AS label FROM documents WHERE text IS NOT NULL""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = A.read(spark, sf_dir, "documents").where("text is not null")
+    text = F.col("text")
+    kept = T.ensure_math(text)
+    return d.select(
+        "doc_id", F.size(T.significant_words(text)).alias("significant"), F.size(M.substring_places(text, F.lit("an"), any_case=True)).cast("long").alias("places"),
+        F.when(F.trim(text) == "", text).when(kept == text, "delimited").otherwise("bare").alias("math"), T.sanitize_id(F.concat("lang", F.lit(" x{y}\\z"))).alias("safe"), M.plural_label(F.col("lang")).alias("label"),
+    )
+
+
+@query()
+def notes_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' first words as notes on their nodes, by section."""
+    pages = A.read(spark, sf_dir, "pages")
+    nodes = dom.page_nodes(pages)
+    n = nodes.where("text <> ''").select(F.col("page_id").alias("paper_id"), F.concat_ws("-", "page_id", F.lpad("pos", 6, "0")).alias("id"), F.col("node_id").alias("dom_node_id"))
+    own = dom.node_sections(nodes).withColumnRenamed("page_id", "paper_id")
+    titles = dom.sections(pages).select(F.col("page_id").alias("paper_id"), F.col("node_id").alias("section_id"), "title")
+    return V.notes_by_section(n, own, titles)
+
+
+@query()
+def reanchored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.reanchored(document(spark, sf_dir), Papers.nodes(spark, sf_dir).where("text is not null"))[1]

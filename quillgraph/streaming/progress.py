@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# Stages after which nothing follows.
+TERMINAL = ("complete", "error", "cancelled")
 
 
 def latest(events: DataFrame) -> DataFrame:
@@ -30,13 +38,94 @@ def profile(events: DataFrame) -> DataFrame:
     return events.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("wall"))
 
 
+def profile_attempts(calls: DataFrame) -> DataFrame:
+    """(stage, calls, attempts, retries, wall, tokens, place) of calls(stage, attempts, wall, tokens): the slowest stage first."""
+    g = calls.groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum("attempts").alias("attempts"), F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"), F.round(F.sum("wall"), 4).alias("wall"), F.sum("tokens").alias("tokens"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("wall"), "stage")))  # a row for each stage
+
+
 def nearest_rank(events: DataFrame, p: float = 0.95) -> DataFrame:
-    """(stage, value): the element at floor(n * p) of the sorted values, without interpolation: a rank filter, so no
-    stage's values are gathered in one row."""
-    w = Window.partitionBy("stage").orderBy("value", "event_id")
-    n = events.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
-    e = events.withColumn("at", F.row_number().over(w) - 1).join(F.broadcast(n), "stage")  # a row for each stage
-    return e.where(F.col("at") == F.least(F.col("n") - 1, F.floor(F.col("n") * p))).select("stage", "value")
+    """(stage, value): the element at floor(n * p) of the sorted values, without interpolation.
+
+    Values are counted, each stage's into 4,096 equal ranges; the range with the rank is found from the running counts, and
+    only its distinct values are put in order. No stage is sorted as a whole.
+    """
+    e = events.where("value is not null").groupBy("stage", "value").agg(F.count(F.lit(1)).alias("n"))
+    span = e.groupBy("stage").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("n").alias("total"))
+    span = span.withColumn("want", F.least(F.col("total") - 1, F.floor(F.col("total") * p)))
+    width = (F.col("high") - F.col("low")) / 4096
+    part = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(4095))).otherwise(F.lit(0))
+    e = e.join(span, "stage").withColumn("part", part.cast("int"))
+    run = lambda d, by: d.withColumn("upto", F.sum("n").over(Window.partitionBy("stage").orderBy(by)))
+    parts = run(e.groupBy("stage", "part").agg(F.sum("n").alias("n"), F.first("want").alias("want")), "part")
+    hit = parts.where((F.col("upto") > F.col("want")) & (F.col("upto") - F.col("n") <= F.col("want"))).select("stage", "part", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))
+    inside = run(e.join(hit, ["stage", "part"]), "value")
+    return inside.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left"))).select("stage", "value")
+
+
+def stream_changes(events: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
+    """(paper_id, stage, value, kind) from a stream of events(paper_id, event_id, ts, stage, value): each state that differs from the one
+    before, up to the first terminal one; where nothing comes for ``timeout_ms``, an error that says so. What has ended keeps
+    a flag until the next timeout and then leaves the state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        stage, value, ended = state.get if state.exists else (None, None, False)
+        if state.hasTimedOut:
+            if not ended:
+                rows.append((key[0], "error", None, "timeout"))
+            state.remove()
+        else:
+            got = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            for s, v in zip(got["stage"], got["value"].astype(object).where(got["value"].notna(), None)):
+                if not ended and (s, v) != (stage, value):
+                    stage, value, ended = s, v, s in TERMINAL
+                    rows.append((key[0], s, v, "change"))
+            state.update((stage, value, ended))
+            state.setTimeoutDuration(timeout_ms)
+        yield pd.DataFrame(rows, columns=["paper_id", "stage", "value", "kind"])
+
+    kind = dict(events.dtypes)["paper_id"]
+    e = events.select("paper_id", "event_id", "ts", "stage", "value")
+    return e.groupBy("paper_id").applyInPandasWithState(step, f"paper_id {kind}, stage string, value double, kind string", "stage string, value double, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class Busy(RuntimeError):
+    """A paper's build runs already."""
+
+
+class Builds:
+    """Builds that run on this driver: one for each paper, each under a tag by which its jobs are cancelled."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.running, self.stopped = spark, set(), set()
+
+    @contextmanager
+    def only(self, paper: str) -> Iterator[None]:
+        """Jobs started inside are the paper's; a second build of it raises ``Busy``. An old wish to cancel is forgotten."""
+        if paper in self.running:
+            raise Busy(paper)
+        self.running.add(paper)
+        self.stopped.discard(paper)
+        self.spark.addTag(f"build-{paper}")
+        try:
+            yield
+        finally:
+            self.spark.removeTag(f"build-{paper}")
+            self.running.discard(paper)
+
+    def cancel(self, paper: str) -> None:
+        self.stopped.add(paper)
+        self.spark.interruptTag(f"build-{paper}")
+
+    def steps(self, paper: str, steps: list, told=lambda done, total: None) -> Iterator:
+        """The results of steps, functions without arguments; after each one ``told`` hears of it, and then a wish to cancel ends the build."""
+        for k, step in enumerate(steps):
+            result = step()
+            told(k + 1, len(steps))
+            if paper in self.stopped:
+                raise InterruptedError(f"the build of {paper} was cancelled")
+            yield result
 
 
 def stream_latest(spark, path: str, schema, name: str):

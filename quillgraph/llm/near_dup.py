@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, release_shuffles, table
+from .common import components, materialize, table
 
 #: Bands, registers in a band, and with them registers in all.
 B, R = 40, 5
@@ -319,7 +319,6 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(rows.join(sizes, "key"), "near-buckets")
-    release_shuffles(spark)
     few, many = shared.where(F.col("size") <= SMALL).select("key", "id"), shared.where(F.col("size") > SMALL)
     pick = [F.min_by("id", F.xxhash64("id", F.lit(h))) for h in range(HUBS)]
     hubs = many.groupBy("key").agg(F.array(*pick).alias("hubs"))
@@ -333,10 +332,8 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     often = F.transform(F.array_remove(F.array_distinct("hubs"), F.col("id")), lambda h: F.struct((-bands(h)).alias("bands"), h.alias("hub")))
     stars = stars.select("id", F.explode(F.slice(F.sort_array(often), 1, HUBS)["hub"]).alias("hub")).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     pairs = materialize(plausible_pairs(met.union(stars).where("a <> b").distinct(), reps, percent), "near-pairs")
-    release_shuffles(spark)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     links = materialize(verified(pairs, materialize(shingle_sets(docs, ids, k), "near-sets"), percent).union(several(some, classes)), "near-links")
-    release_shuffles(spark)
     first = components(links)
     # what is left: buckets of several components
     labelled = many.select("key", "id", "size").join(first.withColumnRenamed("comp", "c"), "id", "left").select("key", "id", "size", F.coalesce("c", "id").alias("comp"))
@@ -344,14 +341,12 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
     hot = labelled.join(mixed, "key", "left_semi").join(reps.select(F.col("doc_id").alias("id"), "sketch"), "id")
     hot = materialize(plausible_members(hot.select("key", "size", "id", "comp", "sketch"), percent, kind), "near-members")
-    release_shuffles(spark)
     whole = first
     if not hot.isEmpty():
         sets = materialize(shingle_sets(docs, hot.select("id").distinct(), k), "near-sets")
         sizes = hot.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
         left = hot.join(sizes, "key").join(labelled.select("id", "comp").distinct(), "id").join(sets, "id").select("key", "size", "id", "comp", "shingles")
         more = materialize(block_links(left, percent, kind), "near-more")
-        release_shuffles(spark)
         if not more.isEmpty():
             whole = components(links.union(more))
     found = classes.join(whole.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("class"))

@@ -12,7 +12,8 @@ another template can appear, and ``unescaped`` gives back the very text. The los
 
 Defined cases: null text is empty; a null role is ``unknown``; rows that repeat a turn are turns of their own, in
 order of role and text; rows with a null conversation form one conversation; an unknown parent makes a root;
-messages on a cycle have no root and give no path; an empty table gives no rows.
+messages on a cycle, or below one, have no root and give no path; of rows with the same tree and node ``once`` keeps one;
+a null node is left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,31 +44,37 @@ def threads(conversations: DataFrame) -> DataFrame:
     return m.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
+def once(messages: DataFrame) -> DataFrame:
+    """One row for each (tree, node): the least by parent, role, text and score."""
+    rest = F.struct("parent", "role", "text", "score")
+    return messages.groupBy("tree", "node").agg(F.min(rest).alias("m")).select("tree", "node", "m.*")
+
+
+def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, back): every message of every root-to-leaf path, ``back`` steps from the leaf.
 
-    Round k joins the members found so far with the 2^k-step pointers; the pointers join themselves. Both are
-    written each round, so a lost executor repeats one round at most.
+    First the pointers join themselves: those of round k lead 2^k steps up, and only messages with so many ancestors
+    have one. After as many rounds as the largest tree's size has bits, messages that still have one lead to a cycle. Then
+    round k joins the members found so far, from the other leaves, with the 2^k-step pointers. Everything is written
+    each round, so a lost executor repeats one round at most. messages(tree, node, parent), each node once.
     """
     m = messages.select("tree", "node", "parent")
-    have = m.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    up = m.join(have, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
+    most = m.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    at = lambda d: d.select(F.col("tree").alias("t"), F.col("node").alias("n"), *[c for c in d.columns if c == "up"])
+    here = F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
+    up = m.join(at(m), F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
     up = materialize(up.select("tree", "node", F.col("n").alias("up")), "chat-up")
-    inner = up.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    t = inner.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    leaf = up.join(t, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+    jumps = [up.where("up is not null")]
+    while most >= 1 << (len(jumps) - 1) and not jumps[-1].isEmpty():
+        j, k = jumps[-1], at(jumps[-1]).withColumnRenamed("up", "over")
+        far = j.join(k, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        jumps.append(materialize(far.select("tree", "node", F.col("over").alias("up")), "chat-up"))
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    leaf = up.join(at(inner), here, "left_anti").join(at(jumps[-1].select("tree", "node")), here, "left_anti")
     found = materialize(leaf.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "chat-paths")
-    jump = up
-    step = 1
-    for _ in range(max_rounds):
-        j = jump.where("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        if j.isEmpty():
-            break
-        more = found.join(j, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
-        found = materialize(found.union(more.select("tree", "leaf", F.col("up").alias("node"), F.col("back") + step)), "chat-paths")
-        j2 = j.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("up").alias("up2"))
-        jump = materialize(j.join(j2, F.col("t").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2"))).select(F.col("t").alias("tree"), F.col("n").alias("node"), F.col("up2").alias("up")), "chat-up")
-        step *= 2
+    for k, j in enumerate(jumps[:-1]):
+        more = found.join(at(j), here).select("tree", "leaf", F.col("up").alias("node"), F.col("back") + (1 << k))
+        found = materialize(found.union(more), "chat-paths")
     return found
 
 
@@ -80,6 +87,13 @@ def ranked(members: DataFrame, messages: DataFrame) -> DataFrame:
     return one.withColumn("branch", F.row_number().over(w)).select("tree", "leaf", "branch", "total", "turns")
 
 
+def branches(messages: DataFrame) -> DataFrame:
+    """``ranked`` paths of any table of messages(tree, node, parent, role, text, score)."""
+    own = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    m = materialize(once(own.where("node is not null")), "chat-messages")
+    return ranked(paths(m), m)
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """(tree, leaf, branch, formatted, loss): loss is the array of (start, length) of assistant texts, in code points."""
     whole = F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), escaped(t["role"]), F.lit("\n")).alias("head"), escaped(t["text"]).alias("body"), (t["role"] == "assistant").alias("loss")))

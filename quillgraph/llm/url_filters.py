@@ -88,10 +88,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects
     edges = link_edges(pages)
     if redirects is not None:
         edges = edges.unionByName(url_edges(redirects))
-    node = lambda p: F.concat(F.col(f"{p}_host"), F.lit("\n"), F.col(f"{p}_path"))  # noqa: E731  a host has no line break that a url could not also have: the first one splits
+    # the length of the host tells where it ends, whatever is in it
+    node = lambda p: F.concat(F.length(f"{p}_host").cast("string"), F.lit(":"), F.col(f"{p}_host"), F.col(f"{p}_path"))
     linked = components(edges.where("from_host <> '' and to_host <> ''").select(node("from").alias("a"), node("to").alias("b")))
     located = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    apart = linked.select(F.substring_index("id", "\n", 1).alias("host"), F.substr("id", F.instr("id", "\n") + 1).alias("path"), "comp")
+    size, rest = F.substring_index("id", ":", 1).cast("int"), F.substr("id", F.instr("id", ":") + 1)
+    apart = linked.select(F.substr(rest, F.lit(1), size).alias("host"), F.substr(rest, size + 1).alias("path"), "comp")
     nodes = located.select("host", "path").union(apart.select("host", "path")).distinct()
     own = materialize(own_rules(nodes, rule_table), "url-rules")
     votes = apart.join(own, ["host", "path"]).groupBy("comp").agg(F.max(F.col("own") == "allow").alias("allows"))
@@ -112,18 +114,23 @@ p AS (SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCD
 rules(own, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 t AS (SELECT host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE host <> ''),
 l AS (SELECT host, path, replace(regexp_extract(tag, '(?is)(?:\bhref\s*=\s*|;\s*url\s*=\s*)["'']?\s*([^"''>\s]+)', 1), '&amp;', '&') AS link FROM t
-      WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') OR regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh\b')),
-a AS (SELECT host, path, CASE WHEN contains(link, '://') THEN substr(link, instr(link, '://') + 3) WHEN starts_with(link, '//') THEN substr(link, 3)
-        WHEN starts_with(link, '/') THEN host || link END AS rest FROM l),
-e AS (SELECT host || chr(10) || path AS x, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(10) || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS y
+      WHERE regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*(?:["'']\s*(?:[^"''>\s]+\s+)*)?canonical\b') OR regexp_matches(tag, '(?is)^<meta.*http-equiv\s*=\s*["'']?refresh\b')),
+g AS (SELECT *, string_split(regexp_replace(regexp_replace(path, '[^/]*$', ''), '^/', '') || regexp_extract(link, '^[^?#]*', 0), '/') AS steps FROM l WHERE link <> ''),
+k AS (SELECT *, list_reduce(list_transform(steps, lambda z: [z]), lambda y, z: CASE WHEN z[1] = '.' THEN y WHEN z[1] = '..' THEN y[:-2] ELSE y || z END, []::VARCHAR[])
+        || CASE WHEN steps[-1] IN ('.', '..') THEN [''] ELSE [] END AS kept FROM g),
+a AS (SELECT host, path, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(link, instr(link, '://') + 3) WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+        WHEN starts_with(link, '//') THEN substr(link, 3) WHEN starts_with(link, '/') THEN host || link
+        ELSE host || CASE WHEN regexp_extract(link, '^[^?#]*', 0) = '' THEN path ELSE '/' || array_to_string(kept, '/') END END AS rest FROM k),
+z AS (SELECT host, path, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h2, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS p2
       FROM a WHERE rest IS NOT NULL),
+e AS (SELECT length(host) || ':' || host || path AS x, length(h2) || ':' || h2 || p2 AS y, host, path, h2, p2 FROM z WHERE h2 <> ''),
 b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach(x, y) AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM reach r JOIN b ON r.y = b.x),
-n AS (SELECT host, path FROM p UNION SELECT split_part(x, chr(10), 1), substr(x, instr(x, chr(10)) + 1) FROM b),
+n AS (SELECT host, path FROM p UNION SELECT host, path FROM e UNION SELECT h2, p2 FROM e),
 f AS (SELECT host, path, rh || rp AS rule, own, row_number() OVER (PARTITION BY host, path ORDER BY length(rh) + length(rp) DESC) AS k
       FROM n JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
 o AS (SELECT host, path, rule, own FROM f WHERE k = 1),
-v AS (SELECT reach.x, max((own = 'allow')::INT) AS allows FROM reach JOIN o ON reach.y = o.host || chr(10) || o.path GROUP BY reach.x)
+v AS (SELECT reach.x, max((own = 'allow')::INT) AS allows FROM reach JOIN o ON reach.y = length(o.host) || ':' || o.host || o.path GROUP BY reach.x)
 SELECT page_id, p.host, p.path, o.rule, coalesce(o.own, CASE WHEN allows = 1 THEN 'allow' WHEN allows = 0 THEN 'block' END, 'allow') AS verdict
-FROM p LEFT JOIN o ON p.host = o.host AND p.path = o.path LEFT JOIN v ON v.x = p.host || chr(10) || p.path
+FROM p LEFT JOIN o ON p.host = o.host AND p.path = o.path LEFT JOIN v ON v.x = length(p.host) || ':' || p.host || p.path
 """

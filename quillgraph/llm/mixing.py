@@ -24,11 +24,11 @@ from .common import WORD, materialize, table
 BITS = 12
 
 
-def hashed(docs: DataFrame, seed: str = "") -> DataFrame:
-    """(doc_id, source, size, h): h is the first 60 bits of md5(seed + id)."""
+def hashed(docs: DataFrame, seed: str = "", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, source, size, h) and the columns ``carry``: h is the first 60 bits of md5(seed + id)."""
     key = F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     return docs.select(
-        "doc_id", "source",
+        "doc_id", "source", *carry,
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("h"),
     )
@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float =
 
     Weights repeat over the sources in code-point order, null last. A target is ``lambda * weight``, or
     ``most * source_size`` where that is less; lambda makes the targets add up to ``share`` of all sizes,
-    which is what resharing every excess by weight ends in. One row per source: a short table.
+    which is what resharing every excess by weight ends in. The sources are ordered in one task, a row of two numbers for
+    each: the weights go by order, so the number of sources has to fit there, as the rules of the mix do.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("n", F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))))
@@ -104,14 +105,23 @@ def thresholds(d: DataFrame, goals: DataFrame) -> DataFrame:
     return out.select("source", "source_size", "target", "copies", limit.alias("limit"))
 
 
+def limits(d: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The written table of ``thresholds`` for d(source, size, h): a row for each source."""
+    goals = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    return materialize(thresholds(d, materialize(goals, "mix-goals")), "mix-limits")
+
+
+def taken(d: DataFrame, per: DataFrame) -> DataFrame:
+    """d(source, size, h, ...) with source_size, target and taken: each row by its own hash and its source's limit."""
+    n = F.col("size") * (F.col("copies") + F.when(F.col("h") <= F.col("limit"), 1).otherwise(0))
+    both = d.join(per.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return both.withColumn("taken", n.cast("long")).drop("s", "h", "limit", "copies")
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "") -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document; taken counts repeats."""
     d = materialize(hashed(docs, seed), "mix")
-    goals = targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    per = thresholds(d, materialize(goals, "mix-goals"))
-    per = materialize(per, "mix-limits").withColumnRenamed("source", "s")
-    taken = F.col("size") * (F.col("copies") + F.when(F.col("h") <= F.col("limit"), 1).otherwise(0))
-    return d.join(per, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return taken(d, limits(d, weights, share, most)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

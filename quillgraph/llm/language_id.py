@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, table
@@ -28,6 +28,8 @@ SAMPLE_DOCS = 160
 #: Characters of a piece; short enough that a text's own history doesn't outweigh the dictionary.
 PIECE = 2000
 LEVEL = 9
+#: Pieces that a long training text gives.
+PIECES = 4
 #: Characters of a training line at most: what is judged when the sample is cleaned.
 LINE = 400
 #: Share of the compressed size by which the best must beat the second; below it, the decision is rejected.
@@ -39,7 +41,8 @@ def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMP
     """Dictionary content of each language from the training documents (``held_out`` false).
 
     A sample bounded by ``sample_docs`` documents a language: those of the lowest hash, by a threshold
-    from the counts, so that nothing is sorted. Copies in the sample count once.
+    from the counts, so that nothing is sorted; one text for each id. A long text gives PIECES pieces, one of each part of
+    it, from offsets that its id's hash sets. Copies in the sample count once.
     """
     d = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -48,8 +51,16 @@ def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMP
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, sample_docs / n))])
     place = F.pmod(F.xxhash64("doc_id", F.lit("lang-sample")), F.lit(1 << 30)) / float(1 << 30)
     # the longest texts would fill a dictionary alone: a document gives its share of it at most
-    piece = F.substring("text", 1, max(256, 4 * dict_bytes // sample_docs))
-    rows = d.where(place < F.element_at(share, F.col("lang"))).select("lang", "doc_id", piece.alias("text")).collect()
+    most = max(256, 4 * dict_bytes // sample_docs)
+    part, size = F.length("text") / PIECES, most // PIECES
+
+    def piece(k: int) -> Column:
+        at = F.floor(part * k + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 20)) / float(1 << 20) * (part - size))
+        return F.substr("text", (at + 1).cast("int"), F.lit(size))
+
+    text = F.when(F.length("text") <= most, F.col("text")).otherwise(F.concat_ws("\n", *[piece(k) for k in range(PIECES)]))
+    some = d.where(place < F.element_at(share, F.col("lang"))).select("lang", "doc_id", text.alias("text"))
+    rows = some.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     lines: dict[str, list[list[str]]] = {}
     for lang in sorted(counts):
         texts = list(dict.fromkeys(r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: r["doc_id"] or 0)))
@@ -59,7 +70,14 @@ def train(docs: DataFrame, dict_bytes: int = DICT_BYTES, sample_docs: int = SAMP
 
 
 def content(halves: list[list[str]], dict_bytes: int) -> bytes:
-    return "\n".join(dict.fromkeys(x for half in halves for x in half if x.strip())).encode("utf-8", "surrogatepass")[-dict_bytes:]
+    """Each half's distinct lines, to its share of the bytes; what one half leaves free the other takes."""
+    texts = ["\n".join(dict.fromkeys(x for x in half if x.strip())).encode("utf-8", "surrogatepass") for half in halves]
+    room = dict_bytes
+    out = []
+    for n, t in sorted(enumerate(texts), key=lambda x: len(x[1])):
+        out.append((n, t[: room // (len(texts) - len(out))]))
+        room -= len(out[-1][1])
+    return b"\n".join(t for _, t in sorted(out) if t)[:dict_bytes]
 
 
 def compressors(contents: list[bytes], level: int = LEVEL) -> list[zstandard.ZstdCompressor]:

@@ -74,16 +74,17 @@ def sample(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list
         return []
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxic-sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = own.where(place < min(1.0, fit_rows / n))
-    # words only, each once: what the driver gets does not grow with a text's length beyond its vocabulary
-    lower = F.lower("text")
-    bag = F.array_join(F.array_distinct(F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))), " ")
-    shaped = F.struct(
-        (F.regexp_count("text", F.lit(r"\p{Lu}")) > 0.5 * F.regexp_count("text", F.lit(r"\p{L}"))).alias("a"),
-        (F.contains("text", F.lit("!!!")) | F.contains("text", F.lit("?!"))).alias("b"),
-        F.col("text").rlike(r"\b(\w{3,}) \1\b").alias("c"),
-    )
-    rows = docs.join(picked, "doc_id").where("text is not null").select("doc_id", bag.alias("bag"), shaped.alias("shape"), "toxic").collect()
-    return [(r["bag"], tuple(bool(x) for x in r["shape"]), int(r["toxic"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            # words only, each once: what the driver gets does not grow with a text's length beyond its vocabulary
+            yield pd.DataFrame({"doc_id": b["doc_id"], "bag": [" ".join(sorted(words(t))) for t in b["text"]], "shape": [shape(t) for t in b["text"]], "toxic": b["toxic"]})
+
+    found = docs.select("doc_id", "text").where("text is not null").join(picked, "doc_id").select("doc_id", "text", "toxic")
+    found = found.mapInPandas(bags, f"doc_id {dict(docs.dtypes)['doc_id']}, bag string, shape array<boolean>, toxic int")
+    # an id has one label and gives one row, whatever the number of its texts
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("bag", "shape", "toxic")).alias("r")).collect()
+    return [(r["r"]["bag"], tuple(r["r"]["shape"]), int(r["r"]["toxic"])) for r in sorted(rows, key=lambda r: r["doc_id"])]
 
 
 def signature(bag: set[str]) -> int:

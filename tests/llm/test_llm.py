@@ -447,6 +447,9 @@ def test_merge_equals_sorting():
         if len(x) >= 50:
             values.setdefault(x[:50], set()).add(v)
     several = {x for x, v in values.items() if len(v) > 1}
+    start = np.flatnonzero([n <= len(shard[i]) - 50 for shard, (_, string, length) in zip(shards, made) for i, n in zip(string, length)])
+    again = suffix_dedup.merged([t for t, _, _ in made], 50, None, start)
+    assert [suffixes[r][:50] for r in again[0]] == got and list(again[1]) == [i == 0 or got[i] != got[i - 1] for i in range(len(got))]
     assert several and [suffixes[r][:50] for r in row] == [x for x in got if x in several]
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, warc
+from . import chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": language_id.op10_language_id,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op6_chat_format": chat.OP6_SQL,
     "op8_url_filter": url_filters.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }

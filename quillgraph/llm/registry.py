@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, vector_codes, warc
+from . import byte_bpe, chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filters.op8_url_filter,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_language_id": language_id.op10_language_id,
+    "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 

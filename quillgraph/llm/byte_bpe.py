@@ -9,6 +9,7 @@ Two reductions over the same kind of tree:
 * Pieces into tokens. A sequence of tokens is the encoding of its bytes if every token is the encoding of its own
   bytes and every two neighbours are that of theirs: the first merge across a boundary would be made in these two alone as
   well. So a window over the boundary is encoded anew and doubled until its outermost tokens are those that were there.
+  Pieces too short to be halved are the tiktoken library's.
 
 Decoding concatenates bytes up the same tree. Ranks and pattern are parameters; the ranks must hold all single bytes.
 They travel to the tasks as they are: their number is that of the vocabulary.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Characters of a text, and bytes of a piece, that are encoded without halving; pieces that a task remembers.
-TEXT_LEAF, PIECE_LEAF, REMEMBERED = 2048, 96, 200_000
+#: Characters of a text, and bytes of a piece, that are encoded without halving; bytes that are merged without a heap; pieces
+#: that a task remembers.
+TEXT_LEAF, PIECE_LEAF, SHORT, REMEMBERED = 2048, 96, 256, 400_000
 
 Ranks = dict[bytes, int]
 
@@ -44,16 +47,19 @@ def load_ranks(path: str) -> Ranks:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def exact_pattern(pattern: str) -> str:
-    r"""The pattern with ``\p{L}`` and ``\p{N}`` as tiktoken's own regex engine has them: its version of Unicode may be another one."""
+def patterns(pattern: str) -> tuple[str, str, str]:
+    r"""The pattern with ``\p{L}`` and ``\p{N}`` as tiktoken's own regex engine has them, whose version of Unicode may be another one;
+    and one for the characters that the two engines see differently, without which the pattern can stay as it is; and their first."""
     import tiktoken
 
     every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    odd: set[str] = set()
     for name in (r"\p{L}", r"\p{N}"):
         e = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
         theirs, ours = set(e.decode_bytes(e.encode_ordinary(every)).decode()), set(regex.findall(name, every))
         pattern = pattern.replace(name, f"[[{name}{ranges(theirs - ours)}]--[\\n{ranges(ours - theirs)}]]")
-    return "(?V1)" + pattern
+        odd |= theirs ^ ours
+    return "(?V1)" + pattern, f"[{ranges(odd)}]" if odd else "(?!)", min(odd, default="\U0010ffff")
 
 
 def ranges(chars: set[str]) -> str:
@@ -112,6 +118,23 @@ def spliced(left: list[str], right: list[str], find: Callable[[str], list[str]])
 
 def merged(piece: bytes, ranks: Ranks) -> list[int]:
     """The encoding of bytes by merging, again and again, the neighbours of the least rank, the leftmost of equal ones."""
+    if len(piece) > SHORT:
+        return merged_by_heap(piece, ranks)
+    none = len(ranks)
+    at = [*range(len(piece) + 1)]  # where tokens begin
+    costs = [ranks.get(piece[a : a + 2], none) for a in range(len(piece) - 1)]
+    while costs and (least := min(costs)) < none:
+        k = costs.index(least)
+        del at[k + 1], costs[k]
+        if k:
+            costs[k - 1] = ranks.get(piece[at[k - 1] : at[k + 1]], none)
+        if k < len(costs):
+            costs[k] = ranks.get(piece[at[k] : at[k + 2]], none)
+    return [ranks[piece[a:b]] for a, b in zip(at, at[1:])]
+
+
+def merged_by_heap(piece: bytes, ranks: Ranks) -> list[int]:
+    """The same for windows that have grown, in little more than linear time."""
     n = len(piece)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token that starts at a byte
     alive = [True] * n
@@ -154,25 +177,32 @@ def fused(left: list[int], right: list[int], ranks: Ranks, tokens: list[bytes])
 
 
 class Encoder:
-    """Encodes texts; remembers the ids of pieces."""
+    """Encodes texts; remembers the ids of short pieces."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+    def __init__(self, ranks: Ranks, pattern: str, exact: str, odd: str, first: str):
+        import tiktoken
+
+        self.ranks, self.plain, self.exact = ranks, regex.compile(pattern).findall, regex.compile(exact).findall
+        self.rare, self.odd = re.compile(f"[{first}-\U0010ffff]").search, re.compile(odd).search
+        self.short = tiktoken.Encoding("short", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.leaf = max(PIECE_LEAF, *map(len, ranks))  # a token may be a piece of its own that no merge gives
         self.known: dict[str, list[int]] = {}
 
     def piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else reduced(raw, PIECE_LEAF, lambda x: merged(x, self.ranks), lambda a, b: fused(a, b, self.ranks, self.tokens))
-        if len(raw) <= PIECE_LEAF:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = ids
+        if len(raw) > self.leaf:
+            return reduced(raw, self.leaf, lambda x: merged(x, self.ranks), lambda a, b: fused(a, b, self.ranks, self.tokens))
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        ids = self.known[piece] = self.short(piece)
         return ids
 
+    def find(self, text: str) -> list[str]:
+        return (self.exact if self.rare(text) and self.odd(text) else self.plain)(text)
+
     def pieces(self, text: str) -> list[str]:
         return reduced(text, TEXT_LEAF, self.find, lambda a, b: spliced(a, b, self.find))
 
@@ -186,7 +216,7 @@ class Encoder:
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text") -> DataFrame:
     """docs with ``ids``, the tokens of the column ``text``, in its place."""
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, exact_pattern(pattern)))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern, *patterns(pattern)))
     rest = [c for c in docs.columns if c not in (text, "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

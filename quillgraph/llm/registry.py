@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat, decontaminate, language_id, mixing, near_dup, suffix_dedup, telephony, toxicity, url_filters, vector_codes, warc
+from . import byte_bpe, chat, decontaminate, language_id, mixing, near_dup, ranked_search, suffix_dedup, telephony, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "op11_byte_bpe": byte_bpe.op11_byte_bpe,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_ranked_search": ranked_search.op13_ranked_search,
 }
 
 SQL = {
@@ -25,4 +26,5 @@ SQL = {
     "op8_url_filter": url_filters.OP8_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op12_vector_codes": vector_codes.OP12_SQL,
+    "op13_ranked_search": ranked_search.OP13_SQL,
 }

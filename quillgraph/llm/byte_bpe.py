@@ -36,7 +36,7 @@ from .common import table
 
 #: Characters of a text, and bytes of a piece, that are encoded without halving; bytes that are merged without a heap; pieces
 #: that a task remembers.
-TEXT_LEAF, PIECE_LEAF, SHORT, REMEMBERED = 2048, 96, 256, 400_000
+TEXT_LEAF, PIECE_LEAF, SHORT, REMEMBERED = 2048, 96, 256, 100_000
 
 Ranks = dict[bytes, int]
 
@@ -222,7 +222,8 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*shared.value)
         for b in batches:
-            ids = [np.array(encoder.encode(t or ""), dtype=np.int32) for t in b.column(text).to_pylist()]
+            # a row at a time: a list of Python numbers takes ten times the room of what it becomes
+            ids = [np.array(encoder.encode(t.as_py() or ""), dtype=np.int32) for t in b.column(text)]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [lists], [*rest, "ids"])
@@ -238,8 +239,12 @@ def decoder(spark: SparkSession, ranks: Ranks) -> Callable[[str], Column]:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         token = shared.value.__getitem__
+
+        def leaf(ids: np.ndarray) -> bytes:
+            return b"".join(map(token, ids.tolist()))
+
         for b in batches:
-            yield pa.array([None if ids is None else reduced(ids, 4 * TEXT_LEAF, lambda x: b"".join(map(token, x)), bytes.__add__) for ids in b.to_pylist()], pa.binary())
+            yield pa.array([None if not ids.is_valid else reduced(ids.values.to_numpy(), 4 * TEXT_LEAF, leaf, bytes.__add__) for ids in b], pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")

@@ -15,14 +15,23 @@ def hashed(paper, path):
     return hashlib.sha256(f"{paper}:{path}".encode()).hexdigest()[:16]
 
 
-def test_ids():
+def test_ids(spark):
+    def with_ids(paper, html):
+        return dom.inject_ids(spark.createDataFrame([(paper, html)], "page_id string, html string")).first()["html"]
+
     # a void tag stays open: it is in every path behind it; a given id is kept and not counted
-    got = dom.with_ids("7", '<html><p>a<br>b</p><p data-id="k">c</p><section/><p>d</p></html>')
+    got = with_ids("7", '<html><p>a<br>b</p><p data-id="k">c</p><section/><p>d</p></html>')
     want = [hashed("7", "html/p/p[1]"), hashed("7", "html/p/br/section[1]"), hashed("7", "html/p/br/p/p/p[2]")]
     ids = [x.split('"')[0] for x in got.split('data-id="')[1:]]
     assert ids[0] == want[0] and ids[1] == "k" and len(ids) == 4
     assert hashed("7", "html/p/br/section[1]") in ids or any(len(i) == 16 for i in ids[2:])
-    assert dom.with_ids("7", got) == got and dom.with_ids("7", None) == "" and "&amp;<!--c-->" in dom.with_ids("1", "<p>&amp;<!--c--></p>")
+    assert with_ids("7", got) == got and with_ids("7", None) == "" and "&amp;<!--c-->" in with_ids("1", "<p>&amp;<!--c--></p>")
+    # attributes with brackets, tags inside of comments and scripts, a block that closes itself, broken markup
+    got = with_ids("9", '<div title="a>b" data-x><!-- <p> --><script>"<p>"</script><P class=\'x"y\'>1 &lt 2<table/></p></section><pre')
+    assert got == f'<div title="a>b" data-x><!-- <p> --><script>"<p>"</script><P class=\'x"y\' data-id="{hashed("9", "div/p/p[1]")}">1 &lt; 2<table data-id="{hashed("9", "div/p/table[1]")}"/></p></section><pre'
+    # ids cost the same at any depth
+    deep = with_ids("8", "<br>" * 3000 + "<p>x</p>")
+    assert hashed("8", "br/" * 3000 + "p/p[1]") in deep
 
 
 def test_nodes_and_sections(spark):

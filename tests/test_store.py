@@ -14,10 +14,10 @@ from quillgraph.streaming import progress
 
 
 def test_markup(spark):
-    bare = {"token y_l and (m_s), x^2.": "token $y_l$ and ($m_s$), $x^2$.", "snake_case $a_b$ \\alpha": "snake_case $a_b$ $\\alpha$", "y_{i,t} \\(x_1\\) 5_x": "$y_{i,t}$ \\(x_1\\) 5_x", "a \\$ b_c $": "a \\$ $b_c$ $"}
+    bare = {"token y_l and (m_s), x^2.": "token $y_l$ and ($m_s$), $x^2$.", "snake_case $a_b$ \\alpha": "snake_case $a_b$ $\\alpha$", "y_{i,t} \\(x_1\\) 5_x": "$y_{i,t}$ \\(x_1\\) 5_x", "a \\$ b_c $": "a \\$ $b_c$ $", "$$ a_1 $ b_2": "$$ a_1 $ $b_2$", "(\\beta^{2}) {x_i} a{b} a{b_c}!": "($\\beta^{2}$) {$x_i$} a{b} $a{b_c}$!", "\\[ open_x": "\\[ open_x"}
     got = spark.createDataFrame([(k,) for k in bare], "t string").select("t", M.wrap_bare_math("t").alias("w")).collect()
     assert {r["t"]: r["w"] for r in got} == bare
-    round_ = {"$x$ and $$y$$ \\$5": "\\(x\\) and $$y$$ \\$5", "lone $ here": "lone $ here", "$a\\$b$": "\\(a\\$b\\)"}
+    round_ = {"$x$ and $$y$$ \\$5": "\\(x\\) and $$y$$ \\$5", "lone $ here": "lone $ here", "$a\\$b$": "\\(a\\$b\\)", "costs $5\nand $6": "costs $5\nand $6", "$a$$b$": "\\(a$$b\\)", "$$x": "$$x", "$$a\\$$$ $y$": "$$a\\$$$ \\(y\\)"}
     got = spark.createDataFrame([(k,) for k in round_], "t string").select("t", M.latex_delimiters("t").alias("w"), M.math_source(F.col("t")).alias("m")).collect()
     assert {r["t"]: r["w"] for r in got} == round_
     one = spark.createDataFrame([("$x$", "<p>a <b>b</b> <math><mi>x</mi><annotation encoding=\"application/x-tex\">x_1</annotation></math></p>", '<img src="a/b.png"><img src=\'https://x/y.png\'><a src="/api/papers/1/c.png">', "<feed><title>F</title><entry>\n<title>An\n  entry</title></entry></feed>", "Error 503")], "m string, h string, a string, x string, e string")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import Log, checkpointed, written
 
 # How much a relation of each type tells.
 INFORMATION = {"challenges": 1.0, "supports": 0.95, "depends_on": 0.9, "produces": 0.85, "compares_with": 0.8, "applies_to": 0.75, "part_of": 0.7, "uses": 0.65, "is_a": 0.6}
@@ -164,69 +164,81 @@ def overview(objects: DataFrame, relations: DataFrame, limit: int = 20) -> DataF
 def overview_of(r: DataFrame, relations: DataFrame, limit: int = 20) -> DataFrame:
     """(paper_id, place, id, rank) of the overview's nodes among ranked objects: core contributions first, then the neighbourhood.
 
-    The selection is sequential: at most 30 nodes are chosen, each the best of what the chosen ones touch, so a paper is one
-    grouped map over a paper's objects: their ids, ranks, labels and neighbours, nothing else of them.
+    A quarter of the places go to the best core contributions, or one to the best object. Each further place goes to the
+    object with most neighbours among those chosen, the best of equal ones; without neighbours, to the best left. All papers
+    take a place in the same round, at most 30 rounds. A round adds to a written log the new node and its neighbours,
+    each with what it is ordered by, and chooses the next from the sums of the log: it holds the best of each paper, and
+    what the chosen ones touch, never a whole paper.
     """
     limit = max(1, min(limit, 30))
-    r = r.select("paper_id", "id", "label", "contribution", "rank")
-    e = induced_all(relations, r).where("source_id <> target_id").select("paper_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    ties = e.groupBy("paper_id", F.col("a").alias("id")).agg(F.collect_set("b").alias("x")).unionByName(e.groupBy("paper_id", F.col("b").alias("id")).agg(F.collect_set("a").alias("x")))
-    ties = ties.groupBy("paper_id", "id").agg(F.flatten(F.collect_list("x")).alias("near"))
-    both = r.join(ties, ["paper_id", "id"], "left")
-
-    def pick(paper: pd.DataFrame) -> pd.DataFrame:
-        p = paper.assign(fold=paper["label"].str.casefold()).sort_values(["rank", "fold", "id"], ascending=[False, True, True])
-        order = {x: i for i, x in enumerate(p["id"])}
-        near = {x: (set(n) if n is not None else set()) for x, n in zip(p["id"], p["near"])}
-        # half to even, as the budget is defined
-        budget = max(1, min(limit, round(limit * 0.25)))
-        chosen = set(p.loc[p["contribution"] >= CORE, "id"].head(budget)) or set(p["id"].head(1))
-        ties: dict[str, int] = {}
-        for x in chosen:
-            for y in near[x]:
-                ties[y] = ties.get(y, 0) + 1
-        while len(chosen) < min(limit, len(p)):
-            open_ = [x for x in ties if x not in chosen]
-            new = min(open_, key=lambda x: (-ties[x], order[x])) if open_ else next(x for x in p["id"] if x not in chosen)
-            chosen.add(new)
-            for y in near[new]:
-                ties[y] = ties.get(y, 0) + 1
-        out = p[p["id"].isin(chosen)].reset_index(drop=True)
-        return pd.DataFrame({"paper_id": out["paper_id"], "place": out.index + 1, "id": out["id"], "rank": out["rank"]})
-
-    return both.groupBy("paper_id").applyInPandas(pick, "paper_id int, place int, id string, rank double")
+    kind = dict(r.dtypes)
+    r = written(r.select("paper_id", "id", F.lower("label").alias("name"), "contribution", "rank"), "overview-objects")
+    e = induced_all(relations, r).where("source_id <> target_id").select("paper_id", F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("e"))
+    e = e.select("paper_id", "e.a", F.col("e.b").alias("id")).distinct()
+    near = written(e.join(r.select("paper_id", "id", "name", "rank"), ["paper_id", "id"]).select("paper_id", "a", "id", "name", "rank"), "overview-near")
+
+    def touched(new: DataFrame) -> DataFrame:
+        """The new nodes as chosen, and one tie for each of their neighbours."""
+        ties = near.join(new.select("paper_id", F.col("id").alias("a")), ["paper_id", "a"]).groupBy("paper_id", "id", "name", "rank").agg(F.count(F.lit(1)).alias("ties"))
+        return new.select("paper_id", "id", "name", "rank", F.lit(0).cast("long").alias("ties"), F.lit(True).alias("chosen")).unionByName(ties.withColumn("chosen", F.lit(False)))
+
+    best = Window.partitionBy("paper_id").orderBy(F.desc("rank"), "name", "id")
+    first = r.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    # half to even, as the budget is defined
+    budget = max(1, min(limit, round(limit * 0.25)))
+    core = r.where(F.col("contribution") >= CORE).withColumn("place", F.row_number().over(best)).where(F.col("place") <= budget)
+    seeds = core.unionByName(first.where("place = 1").join(core.select("paper_id").distinct(), "paper_id", "left_anti"))
+    log = Log(r.sparkSession, "overview")
+    log.add(first.select("paper_id", "id", "name", "rank", F.lit(0).cast("long").alias("ties"), F.lit(False).alias("chosen")))
+    seeds = written(seeds.select("paper_id", "id", "name", "rank"), "overview-seeds")
+    log.add(touched(seeds))
+    had = seeds.groupBy("paper_id").count().agg(F.min("count")).first()[0] or limit
+    for _ in range(limit - had):
+        seen = log.read().groupBy("paper_id", "id", "name", "rank").agg(F.sum("ties").alias("ties"), F.max("chosen").alias("chosen"))
+        order = F.struct((-F.col("ties")).alias("ties"), (-F.col("rank")).alias("rank"), "name", "id")
+        next_ = seen.groupBy("paper_id").agg(F.min(F.when(~F.col("chosen"), order)).alias("x"), F.sum(F.col("chosen").cast("int")).alias("n"))
+        log.add(touched(next_.where(F.col("x").isNotNull() & (F.col("n") < limit)).select("paper_id", "x.id", "x.name", (-F.col("x.rank")).alias("rank"))))
+    chosen = log.read().where("chosen").select("paper_id", "id", "name", "rank").distinct()
+    place = F.row_number().over(best).alias("place")
+    return chosen.select("paper_id", place, "id", F.col("rank").cast(kind["rank"]).alias("rank"))
 
 
 def backbone(objects: DataFrame, relations: DataFrame, nodes: DataFrame, budget: int = 100) -> DataFrame:
     """(paper_id, place, id) of the sparse relations among nodes: a spanning forest in the order of information, in which
-    ordinary nodes first get two ties at most. At most 30 nodes a paper."""
-    core = objects.select("paper_id", "id", (F.col("contribution") >= CORE).alias("core"))
+    ordinary nodes first get two ties at most. At most 30 nodes a paper.
+
+    Of the relations between two nodes only the first in order can be in the forest, the others count. So each pair of nodes
+    is one row before a paper's rows meet: no more than nodes make pairs.
+    """
+    kinds = dict(relations.dtypes)
+    core = nodes.select("paper_id", "id").join(objects.select("paper_id", "id", (F.col("contribution") >= CORE).alias("core")), ["paper_id", "id"])
     r = induced_all(relations, nodes)
-    w = Window.partitionBy("paper_id").orderBy(*relation_order())
-    r = r.withColumn("order", F.row_number().over(w)).select("paper_id", "id", "source_id", "target_id", "order")
-    for end in ("source", "target"):
-        r = r.join(core.select("paper_id", F.col("id").alias(f"{end}_id"), F.col("core").alias(f"{end}_core")), ["paper_id", f"{end}_id"])
+    info = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in INFORMATION.items() for x in kv]), F.col("type")), F.lit(0.0))
+    order = F.struct((-info).alias("info"), (-F.col("confidence")).alias("confidence"), (-F.col("evidence")).alias("evidence"), "id")
+    pair = r.groupBy("paper_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.min(order).alias("x"), F.count(F.lit(1)).alias("times"))
+    for end in ("a", "b"):
+        pair = pair.join(core.select("paper_id", F.col("id").alias(end), F.col("core").alias(f"core_{end}")), ["paper_id", end])
     n = nodes.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = pair.join(n, "paper_id").select("paper_id", "a", "b", "times", "core_a", "core_b", "n", F.col("x.id").alias("id"), F.col("x.info").alias("i"), F.col("x.confidence").alias("c"), F.col("x.evidence").alias("e"))
 
     def forest(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("order")
-        ends = list(zip(p["id"], p["source_id"], p["target_id"]))
-        count: dict[str, int] = {}
-        for _, a, b in ends:
-            count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+        p = p.sort_values(["i", "c", "e", "id"])
+        count: dict = {}
+        for a, b, times in zip(p["a"], p["b"], p["times"]):
+            count[a], count[b] = count.get(a, 0) + times, count.get(b, 0) + times
         bar = max(3, math.ceil(2 * sum(count.values()) / max(1, int(p["n"].iloc[0]))))
-        hubs = {x for x, k in count.items() if k > bar} | set(p.loc[p["source_core"], "source_id"]) | set(p.loc[p["target_core"], "target_id"])
-        tree: dict[str, str] = {}
-        used: dict[str, int] = {}
+        hubs = {x for x, k in count.items() if k > bar} | set(p.loc[p["core_a"], "a"]) | set(p.loc[p["core_b"], "b"])
+        tree: dict = {}
+        used: dict = {}
 
-        def root(x: str) -> str:
+        def root(x):
             while tree.get(x, x) != x:
                 x = tree[x]
             return x
 
-        out: list[str] = []
+        out: list = []
         for strict in (True, False):
-            for name, a, b in ends:
+            for name, a, b in zip(p["id"], p["a"], p["b"]):
                 full = strict and any(used.get(x, 0) >= 2 for x in (a, b) if x not in hubs)
                 if len(out) < budget and not full and root(a) != root(b):
                     tree[root(b)] = root(a)
@@ -234,7 +246,7 @@ def backbone(objects: DataFrame, relations: DataFrame, nodes: DataFrame, budget:
                     out.append(name)
         return pd.DataFrame({"paper_id": [p["paper_id"].iloc[0]] * len(out), "place": range(1, len(out) + 1), "id": out})
 
-    return r.join(n, "paper_id").groupBy("paper_id").applyInPandas(forest, "paper_id int, place int, id string")
+    return rows.groupBy("paper_id").applyInPandas(forest, f"paper_id {kinds['paper_id']}, place int, id {kinds['id']}")
 
 
 def facets(objects: DataFrame, relations: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from ..operators import views as V
 from ..sources import adapters as A
 from ..sources import dom
 from ..sources import papers as Papers
+from ..sources.shared import checkpointed, written
 from ..streaming import progress as P
 
 QUERIES: dict = {}
@@ -164,7 +165,8 @@ INFO = "CASE type WHEN 'depends_on' THEN 0.9 WHEN 'produces' THEN 0.85 WHEN 'par
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return A.star_objects(spark, sf_dir), A.star_relations(spark, sf_dir)
+    """The star graph, written once for all that a query joins it with."""
+    return written(A.star_objects(spark, sf_dir), "objects"), written(A.star_relations(spark, sf_dir), "relations")
 
 
 @query(f"WITH {DEGREE_SQL} SELECT * FROM deg")
@@ -210,7 +212,7 @@ edges AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY """ + INFO
 def focus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     objects, relations = graph(spark, sf_dir)
     seeds = objects.where("kind = 'topic' and id like 'n%'").select("paper_id", "id")
-    return objects, relations, G.focus_nodes(objects, relations, seeds)
+    return objects, relations, checkpointed(G.focus_nodes(objects, relations, seeds))
 
 
 @query(f"WITH {rank_sql(0.1)}, {SEEDS_SQL} SELECT paper_id, id, CASE role WHEN 0 THEN 'seed' ELSE 'neighbour' END AS role FROM nodes")

@@ -68,7 +68,9 @@ def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(row, doc_id, n, term, tf) for asked(term), in buckets of row; the empty term for each document that has terms."""
     rows = term_counts(docs, "doc_id").where("n > 0").withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc_id", "n", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("row", "doc_id", "n", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
-    return bucketed(each.join(asked, "term", "left_semi").select("row", "doc_id", "n", "term", "tf"), "row", "postings")
+    # dealt by row first: a task writes its own bucket, not a file into each
+    dealt = each.join(asked, "term", "left_semi").select("row", "doc_id", "n", "term", "tf").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
+    return bucketed(dealt, "row", "postings")
 
 
 def impact(documents: int, terms: int) -> Column:

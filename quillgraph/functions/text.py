@@ -94,6 +94,11 @@ def orthographic_variants(c: Column) -> Column:
     return F.filter(F.array_distinct(forms), lambda v: F.lower(v) != F.lower(c))
 
 
+def legacy_text(c: Column) -> Column:
+    """Lower case, white space collapsed; the empty text for null."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", " "))
+
+
 def legacy_math(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^[$\s]+|[$\s]+$", ""), r"\\left|\\right", ""), r"[{}\s]", ""))
 

@@ -28,6 +28,7 @@ from ..sources import dom
 from ..sources import papers as Papers
 from ..sources.shared import checkpointed, written
 from ..streaming import progress as P
+from . import merging
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -930,3 +931,7 @@ def notes_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def reanchored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.reanchored(document(spark, sf_dir), Papers.nodes(spark, sf_dir).where("text is not null"))[1]
+
+
+QUERIES |= merging.QUERIES
+SQL |= merging.SQL

@@ -32,6 +32,19 @@ from .common import bucketed, materialize, table
 
 #: Documents that an item scores exactly for its threshold, for each result; a matter of pruning, not of results.
 SEEDS = 4
+#: Rows up to which a written table (a term or two numbers, and numbers) is sent to all tasks; counted before. Larger ones are joined by shuffles.
+SENT_ROWS = 200_000
+
+
+def sent(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table with the hint to send it to all tasks if it is small enough, and whether it is."""
+    small = df.count() <= SENT_ROWS
+    return (F.broadcast(df) if small else df), small
+
+
+def by_row(df: DataFrame) -> DataFrame:
+    """Dealt by row before it is written in buckets: a task then writes its own bucket, not a file into each."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
 
 
 def term_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -68,9 +81,7 @@ def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(row, doc_id, n, term, tf) for asked(term), in buckets of row; the empty term for each document that has terms."""
     rows = term_counts(docs, "doc_id").where("n > 0").withColumn("row", F.monotonically_increasing_id())
     each = rows.select("row", "doc_id", "n", F.explode(F.arrays_zip("terms", "times")).alias("t")).select("row", "doc_id", "n", F.col("t.terms").alias("term"), F.col("t.times").alias("tf"))
-    # dealt by row first: a task writes its own bucket, not a file into each
-    dealt = each.join(asked, "term", "left_semi").select("row", "doc_id", "n", "term", "tf").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
-    return bucketed(dealt, "row", "postings")
+    return bucketed(by_row(each.join(asked, "term", "left_semi").select("row", "doc_id", "n", "term", "tf")), "row", "postings")
 
 
 def impact(documents: int, terms: int) -> Column:
@@ -93,7 +104,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     spark = docs.sparkSession
     own = term_counts(items, "item_id").select("item_id", F.explode("terms").alias("term")).distinct()
     own = materialize(own, "search-items")
-    posted = postings(docs, own.select("term").distinct())
+    posted = postings(docs, sent(materialize(own.select("term").distinct(), "search-asked-terms"))[0])
     size = posted.where("term = X''").agg(F.count("*").alias("documents"), F.sum("n").alias("terms")).first()
     hits = posted.where("term <> X''").withColumn("impact", impact(size["documents"], size["terms"] or 1))
 
@@ -109,8 +120,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     known = terms.select("item_id", "term", "w").join(stored.select("term", "row", "impact"), "term").groupBy("item_id", "row").agg(score)
     first = Window.partitionBy("item_id").orderBy(F.desc("score"), "row")
     seeds = known.withColumn("place", F.row_number().over(first)).where(F.col("place") <= SEEDS * k).select("item_id", "row")
-    seeds = materialize(seeds, "search-seeds")
-    wanted = terms.select(F.col("item_id").alias("of"), "term", "w")
+    seeds, _ = sent(materialize(seeds, "search-seeds"))
+    wanted, _ = sent(terms.select(F.col("item_id").alias("of"), "term", "w"))
     exact = seeds.join(hits.select("row", "term", "impact"), "row").join(wanted, ["term"]).where(F.col("item_id").eqNullSafe(F.col("of"))).groupBy("item_id", "row").agg(score)
     at_k = exact.withColumn("place", F.row_number().over(first)).where(F.col("place") == k).select(F.col("item_id").alias("of"), F.col("score").alias("seeded"))
     alone = terms.groupBy("item_id").agg(F.max("alone").alias("alone"))
@@ -118,11 +129,13 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
     asked = terms.join(bounds, F.col("item_id").eqNullSafe(F.col("of"))).select("item_id", "term", "w", "most", "bound")
     asked = materialize(suffixes(asked), "search-asked")
 
-    given = asked.where("essential").select("item_id", "term", "w", "bound", "rest")
+    given, small = sent(asked.where("essential").select("item_id", "term", "w", "bound", "rest"))
     found = hits.select("row", "doc_id", "term", "impact").join(given, "term").groupBy("row", "item_id", "doc_id", "bound", "rest").agg(score)
-    found = bucketed(found.where(F.col("score") + F.col("rest") >= F.col("bound")).select("row", "item_id", "doc_id", "score"), "row", "search-found")
-    others = asked.where("not essential").select(F.col("item_id").alias("of"), "term", "w")
-    more = found.select("row", "item_id").join(hits.join(others.select("term").distinct(), "term", "left_semi").select("row", "term", "impact"), "row")
+    found = found.where(F.col("score") + F.col("rest") >= F.col("bound")).select("row", "item_id", "doc_id", "score")
+    # with the terms sent to the postings, what is found lies by row already
+    found = bucketed(found if small else by_row(found), "row", "search-found")
+    others, _ = sent(asked.where("not essential").select(F.col("item_id").alias("of"), "term", "w"))
+    more = found.select("row", "item_id").join(hits.join(others, "term", "left_semi").select("row", "term", "impact"), "row")
     more = more.join(others, (more["term"] == others["term"]) & F.col("item_id").eqNullSafe(F.col("of"))).select("row", "item_id", F.lit(None).cast(dict(found.dtypes)["doc_id"]).alias("doc_id"), (F.col("w") * F.col("impact")).alias("score"))
     whole = found.unionByName(more).groupBy("row", "item_id").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score")).where("score > 0")
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())

@@ -36,8 +36,8 @@ LEXICON = (
 FIT_ROWS = 12_000
 #: Lengths of the word beginnings that patterns are mined from.
 HEADS = (3, 4, 5, 6, 8)
-#: Patterns kept: seen in so many documents at least, of which this share is toxic.
-MIN_SUPPORT, MIN_SHARE, MAX_PATTERNS = 4, 0.9, 4096
+#: Patterns kept: seen in so many documents at least, of which this share is toxic. Their number has no bound but the sample's words.
+MIN_SUPPORT, MIN_SHARE = 4, 0.9
 #: Voters of the label model: the patterns are dealt to so many groups.
 GROUPS = 24
 #: Buckets of the classifier's hashed features.
@@ -101,9 +101,7 @@ def mine(rows: Iterable[tuple[set[str], int]], min_support: int = MIN_SUPPORT, m
         all_.update(found)
         if y:
             toxic.update(found)
-    good = {f: (t + 0.5) / (all_[f] + 1) for f, t in toxic.items() if all_[f] >= min_support and t >= min_share * all_[f]}
-    best = sorted(good, key=lambda f: (-all_[f], f))[:MAX_PATTERNS]
-    return {f: good[f] for f in best}
+    return {f: (t + 0.5) / (all_[f] + 1) for f, t in sorted(toxic.items()) if all_[f] >= min_support and t >= min_share * all_[f]}
 
 
 def group_of(pattern: str) -> int:

@@ -129,3 +129,13 @@ def test_clashing_columns_and_long_texts(spark):
     m = chat.branches(spark.createDataFrame([("t", 1, None, "assistant", long, 0.0)], MESSAGES))
     back = chat.parsed(chat.formatted(m)).first()
     assert back["loss_texts"] == [long] and math.isclose(len(back["formatted"]), len(long), rel_tol=0.01)
+
+
+def test_a_query_string_makes_another_url(spark):
+    link = '<link rel=canonical href="{}">'.format
+    pages = [(1, "http://shop.net/view?id=1", link("http://example.org/es/1")), (2, "http://shop.net/view?id=2", "x"), (3, "http://shop.net/view", None), (4, "http://shop.net/view?id=1#top", "y"), (5, "http://a.net/p?q=1", link("#x")), (6, "http://a.net/other", link("?q=1")), (7, "http://a.net/other?q=1", link("http://example.org/es/2"))]
+    df = spark.createDataFrame(pages, PAGES)
+    got = {r["page_id"]: r["verdict"] for r in url_filters.judge(df).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "block", 7: "block"}
+    c = duck(pages=df)
+    assert {r[0]: r[4] for r in c.execute(url_filters.OP8_SQL).fetchall()} == got

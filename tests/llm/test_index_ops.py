@@ -183,8 +183,9 @@ def plain_search(docs, items, k):
     return out
 
 
-@pytest.mark.parametrize("k", [1, 3, 50])
-def test_search_equals_scoring_everything(spark, k):
+@pytest.mark.parametrize("k,rows", [(1, 200_000), (3, 0), (50, 200_000)])
+def test_search_equals_scoring_everything(spark, monkeypatch, k, rows):
+    monkeypatch.setattr(R, "SENT_ROWS", rows)  # with 0, all joins are shuffles
     r = random.Random(k)
     vocabulary = [f"w{i}" for i in range(60)] + ["Été", "été", "中文", "A1", "a1"]
     text = lambda n: " ".join(vocabulary[min(int(r.expovariate(0.08)), len(vocabulary) - 1)] for _ in range(n))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import written
+from .graph import components
 
 
 def content_dedup(docs: DataFrame) -> DataFrame:
@@ -42,17 +44,31 @@ def groups(obs: DataFrame) -> DataFrame:
     """(paper_id, kind, entity_id, observation_id): greedy groups of observations(paper_id, kind, id, label, aliases).
 
     Observations in order of id join the first group of their kind with which they share a normalised name, and
-    widen it; groups are not joined later. That order decides: even a repeat of the same names may go elsewhere once another
-    row has widened an earlier group. So a paper's kind is one grouped map; an index of names makes it linear, and a row
-    has its names only.
+    widen it; groups are not joined later. Only observations whose names hang together can meet, so Spark finds the components
+    of names that stand in one observation first. Where all observations of a component have the same names, they
+    are one group, named by the least id, however many they are. In other components the order decides (even a repeat of the same names may
+    go elsewhere once another row has widened an earlier group): each is a grouped map of ids and names.
     """
     own = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))
-    names = obs.select("paper_id", "kind", "id", T.normalize_texts(own).alias("names"))
+    names = written(obs.select("paper_id", "kind", "id", T.normalize_texts(own).alias("names")), "names")
+    # a struct is a key of joins that nulls in it don't break
+    names = names.select(F.struct("paper_id", "kind").alias("at"), "id", "names")
+    links = names.where(F.size("names") > 1).select(F.col("at").alias("paper_id"), F.col("names")[0].alias("source_id"), F.explode(F.slice("names", 2, 1 << 30)).alias("target_id")).distinct()
+    links = written(links, "name-links")
+    rows = names.where(F.size("names") > 0).withColumn("component", F.col("names")[0])
+    if not links.isEmpty():
+        ends = links.select("paper_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+        known = components(ends, links).select(F.col("paper_id").alias("at"), F.col("id").alias("component"), F.col("component").alias("whole"))
+        rows = rows.join(known, ["at", "component"], "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+    per = rows.groupBy("at", "component").agg(F.min("id").alias("least"), (F.min("names") == F.max("names")).alias("alike"))
+    rows = rows.join(per, ["at", "component"])
+    of = ["at.paper_id", "at.kind"]
+    kinds = dict(obs.dtypes)
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
         first: dict[str, int] = {}
-        reps: list[str] = []
+        reps: list = []
         out = []
         for x, own in zip(p["id"], p["names"]):
             # a name leads to the first group that has it
@@ -64,7 +80,11 @@ def groups(obs: DataFrame) -> DataFrame:
             out.append(reps[g])
         return pd.DataFrame({"paper_id": p["paper_id"], "kind": p["kind"], "entity_id": out, "observation_id": p["id"]})
 
-    return names.groupBy("paper_id", "kind").applyInPandas(group, "paper_id string, kind string, entity_id string, observation_id string")
+    same = rows.where("alike").select(*of, F.col("least").alias("entity_id"), F.col("id").alias("observation_id"))
+    key = ["paper_id", "kind", "component"]
+    mixed = rows.where("not alike").select(*of, "component", "id", "names").groupBy(*key).applyInPandas(group, f"paper_id {kinds['paper_id']}, kind string, entity_id {kinds['id']}, observation_id {kinds['id']}")
+    nameless = names.where(F.size("names") == 0).select(*of, F.col("id").alias("entity_id"), F.col("id").alias("observation_id"))
+    return same.union(mixed).union(nameless)
 
 
 def label_collisions(obs: DataFrame) -> DataFrame:
@@ -97,32 +117,52 @@ def occurrence_counts(docs: DataFrame, surf: DataFrame) -> DataFrame:
     return n.join(surf, ["paper_id", "surface"]).groupBy("paper_id", "subject").agg(F.sum("n").alias("occurrences"))
 
 
+#: A word, or one other character: what texts and surfaces are made of.
+UNIT = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]"
+
+
 def occurrences(nodes: DataFrame, surf: DataFrame) -> DataFrame:
     """(paper_id, node, start, end, text, subject): anchored mentions in nodes(paper_id, node, text).
 
     Surfaces match without regard to case, not inside words; of overlapping matches in a node the earliest, then
-    the longest, then the first subject stays. A node's words look up their paper's surfaces by first word: the
-    surfaces of a paper are grouped beside each node, never all papers' beside all nodes.
+    the longest, then the first subject stays. A surface is a run of units: words, and single other characters. A node's units
+    look up their paper's surfaces by the first one, whatever it is; beside a node its own are a tree by units, and one walk
+    from each unit finds all that begin there. Blank surfaces match nothing.
     """
-    first = F.regexp_extract(F.lower("surface"), r"(?U)\w+", 0)
-    s = surf.select("paper_id", F.lower("surface").alias("surface"), "subject", first.alias("word"))
-    words = nodes.select("paper_id", "node", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    hit = words.join(s, ["paper_id", "word"]).groupBy("paper_id", "node").agg(F.collect_list(F.struct("surface", "subject")).alias("s"))
-    both = nodes.join(hit, ["paper_id", "node"]).select("paper_id", "node", "text", F.col("s.surface").alias("surfaces"), F.col("s.subject").alias("subjects"))
+    unit = lambda c: F.regexp_extract_all(F.lower(c), F.lit(UNIT), F.lit(0))
+    s = surf.select("paper_id", unit(F.trim("surface")).alias("units"), "subject").where(F.size("units") > 0).withColumn("unit", F.col("units")[0])
+    own = nodes.select("paper_id", "node", F.explode(F.array_distinct(unit(F.col("text")))).alias("unit"))
+    hit = own.join(s, ["paper_id", "unit"]).groupBy("paper_id", "node").agg(F.collect_set(F.struct("units", "subject")).alias("s"))
+    both = nodes.join(hit, ["paper_id", "node"]).select("paper_id", "node", "text", F.col("s.units").alias("surfaces"), F.col("s.subject").alias("subjects"))
+    pattern = re.compile(r"\w+|\W")
 
     def run(batches):
         for b in batches:
             rows = []
             for paper, node, text, forms, owners in zip(b["paper_id"], b["node"], b["text"], b["surfaces"], b["subjects"]):
-                found = []
-                for form, owner in set(zip(forms, owners)):
-                    for m in re.finditer(rf"(?<!\w){re.escape(form)}(?!\w)", text, re.IGNORECASE):
-                        found.append((m.start(), -(m.end() - m.start()), owner))
+                tree: dict = {}
+                for form, owner in zip(forms, owners):
+                    at = tree
+                    for u in form:
+                        at = at.setdefault(u, {})
+                    at[None] = min(owner, at.get(None, owner))
+                units = [(m.start(), m.end(), m[0].lower()) for m in pattern.finditer(text)]
+                word = [u[-1:].isalnum() or u[-1:] == "_" for _, _, u in units]
                 end = 0
-                for start, length, owner in sorted(found):
-                    if start >= end:
-                        end = start - length
-                        rows.append((paper, node, start, end, text[start:end], owner))
+                for i, (start, _, _) in enumerate(units):
+                    # what begins with a mark must not stand behind a word, what ends with one not before a word
+                    if start < end or (not word[i] and i and word[i - 1]):
+                        continue
+                    at, best = tree, None
+                    for k in range(i, len(units)):
+                        at = at.get(units[k][2])
+                        if at is None:
+                            break
+                        if None in at and (word[k] or k + 1 == len(units) or not word[k + 1]):
+                            best = (units[k][1], at[None])
+                    if best:
+                        end = best[0]
+                        rows.append((paper, node, start, end, text[start:end], best[1]))
             yield pd.DataFrame(rows, columns=["paper_id", "node", "start", "end", "text", "subject"])
 
     kinds = dict(nodes.dtypes)

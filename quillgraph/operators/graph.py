@@ -58,14 +58,22 @@ def ordered_relations(relations: DataFrame, limit: int) -> DataFrame:
     return relations.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def search(objects: DataFrame, relations: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """(paper_id, place, id, score): exact label 1, prefix 0.8, substring 0.6, each plus 0.2 of the rank."""
-    q = query.lower()
-    name = F.lower("label")
-    tier = F.when(name == q, 1.0).when(F.startswith(name, F.lit(q)), 0.8).when(F.contains(name, F.lit(q)), 0.6)
-    hit = ranked(objects.where(F.contains(name, F.lit(q))), relations)
-    hit = hit.withColumn("score", F.round(tier + 0.2 * F.col("rank"), 6))
-    w = Window.partitionBy("paper_id").orderBy(F.desc("score"), name, "id")
+def search(objects: DataFrame, relations: DataFrame, query: str, limit: int = 20, kinds: list[str] | None = None, facets: DataFrame | None = None) -> DataFrame:
+    """(paper_id, place, id, score): a label or alias (column ``aliases``, if there) that is the query 1, begins with it 0.8, holds it 0.6; else a
+    text of facets(paper_id, id, text) that holds it 0.4; each plus 0.2 of the rank."""
+    q = " ".join(query.lower().split())
+    names = F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in objects.columns else F.array("label")
+    names = F.transform(names, lambda n: F.trim(F.regexp_replace(F.lower(n), r"(?U)\s+", " ")))
+    any_of = lambda test: F.coalesce(F.exists(names, lambda n: F.coalesce(test(n), F.lit(False))), F.lit(False))
+    tier = F.when(any_of(lambda n: n == q), 1.0).when(any_of(lambda n: F.startswith(n, F.lit(q))), 0.8).when(any_of(lambda n: F.contains(n, F.lit(q))), 0.6)
+    hit = objects.where(F.col("kind").isin(kinds)) if kinds else objects
+    if facets is None:
+        hit = hit.withColumn("tier", tier)
+    else:
+        told = facets.where(F.contains(F.lower("text"), F.lit(q))).select("paper_id", "id").distinct().withColumn("told", F.lit(0.4))
+        hit = hit.join(told, ["paper_id", "id"], "left").withColumn("tier", F.coalesce(tier, "told")).drop("told")
+    hit = ranked(hit.where("tier is not null"), relations).withColumn("score", F.round(F.col("tier") + 0.2 * F.col("rank"), 6))
+    w = Window.partitionBy("paper_id").orderBy(F.desc("score"), F.lower("label"), "id")
     return hit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(1, min(limit, 50))).select("paper_id", "place", "id", "score")
 
 

@@ -114,17 +114,25 @@ def evaluate_exact(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def entity_link(questions: DataFrame, labels: DataFrame, k: int = 3) -> DataFrame:
-    """(question_id, rank, id, score): the entities (id, label) that a question names.
+    """(question_id, rank, id, score): the entities that a question names; labels(id, label) has a row for each label and alias.
 
-    2 for a label whose normal form lies in the question's, else the share of its tokens that the question has. Joined
-    by token: a label without a shared token scores nothing.
+    2 for a label whose normal form lies in the question's, else the share of its tokens that the question has. A label that
+    shares no token but lies in the question is part of one token, or of two neighbours: all parts of tokens, and
+    all ends of a token with beginnings of the next, are looked up as whole labels. So each is found by equality.
     """
-    q = questions.select("question_id", F.array_distinct(T.retrieval_tokens(F.col("question"))).alias("qt"), F.array_join(T.retrieval_tokens(F.col("question")), " ").alias("whole"))
-    lab = labels.select("id", F.array_distinct(T.retrieval_tokens(F.col("label"))).alias("lt"), F.array_join(T.retrieval_tokens(F.col("label")), " ").alias("norm"))
+    tokens = T.retrieval_tokens(F.col("question"))
+    q = questions.select("question_id", tokens.alias("tokens"), F.array_distinct(tokens).alias("qt"), F.array_join(tokens, " ").alias("whole"))
+    lab = labels.where("label is not null").select("id", F.array_distinct(T.retrieval_tokens(F.col("label"))).alias("lt"), F.array_join(T.retrieval_tokens(F.col("label")), " ").alias("norm")).where("norm <> ''")
     shared = q.select("question_id", F.explode("qt").alias("token")).join(lab.select("id", "norm", "lt", F.explode("lt").alias("token")), "token")
     pairs = shared.groupBy("question_id", "id", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("lt")).alias("of")).join(q.select("question_id", "whole"), "question_id")
     score = F.when(F.contains("whole", F.col("norm")), 2.0).otherwise(F.col("n") / F.col("of"))
-    best = pairs.groupBy("question_id", "id").agg(F.max(score).alias("score"))
+    upto = lambda n: F.sequence(F.lit(1), n)
+    parts = lambda t: F.flatten(F.transform(upto(F.length(t)), lambda a: F.transform(upto(F.length(t) - a + 1), lambda n: F.substring(t, a, n))))
+    ends = lambda t: F.transform(upto(F.length(t)), lambda a: F.substring(t, a, F.length(t)))
+    starts = lambda t: F.transform(upto(F.length(t)), lambda n: F.substring(t, F.lit(1), n))
+    over = F.transform(F.slice("tokens", F.lit(1), F.greatest(F.size("tokens") - 1, F.lit(0))), lambda t, i: F.flatten(F.transform(ends(t), lambda a: F.transform(starts(F.col("tokens")[i + 1]), lambda b: F.concat_ws(" ", a, b)))))
+    inside = q.select("question_id", F.explode(F.array_distinct(F.concat(F.flatten(F.transform("qt", parts)), F.flatten(over)))).alias("norm")).join(lab.select("id", "norm"), "norm")
+    best = pairs.select("question_id", "id", score.alias("score")).union(inside.select("question_id", "id", F.lit(2.0))).groupBy("question_id", "id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
 

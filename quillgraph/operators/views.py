@@ -10,6 +10,14 @@ from . import document as D
 from . import graph as G
 
 
+def of_document(d: D.Document) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(objects, relations, facets) of a canonical document as the projections take them: with ``id``, and a relation's number of evidence."""
+    objects = d.objects.withColumnRenamed("stable_id", "id")
+    evidence = F.when(F.col("evidence_id").isNotNull(), 1).otherwise(0).cast("long").alias("evidence")
+    relations = d.relations.select("paper_id", F.col("stable_id").alias("id"), "type", "source_id", "target_id", "confidence", evidence)
+    return objects, relations, d.facets.select("paper_id", F.col("object_id").alias("id"), "text")
+
+
 def overview(objects: DataFrame, relations: DataFrame, kinds: list[str] | None = None, in_section: DataFrame | None = None, min_importance: float = 0.0, expertise: str = "intermediate", show_familiar: bool = False, limit: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, totals): the overview of what passes the filters: kinds, objects in_section(paper_id, id), what an expert
     knows, and rank. Totals are those of the whole graph; truncated tells that more passed than is shown."""

@@ -15,6 +15,7 @@ from ..functions import markup as M
 from ..functions import text as T
 from ..operators import annotations as N
 from ..operators import canonical as C
+from ..operators import codec as Codec
 from ..operators import document as D
 from ..operators import graph as G
 from ..operators import injection as I
@@ -94,7 +95,7 @@ HYBRID_SQL = f"""{A.OBSERVATIONS_SQL},
 ev AS (SELECT label AS entity, section_id AS id FROM observations),
 rel AS (SELECT x.label AS source_id, y.label AS target_id, x.section_id AS id FROM observations x JOIN observations y ON x.section_id = y.section_id AND x.label < y.label),
 l AS (SELECT DISTINCT label FROM observations),
-named AS (SELECT DISTINCT question_id, label, 2.0::DOUBLE AS link FROM qt JOIN l ON token = label),
+named AS (SELECT DISTINCT question_id, label, 2.0::DOUBLE AS link FROM ph JOIN l ON contains(phrase, label)),
 seeds AS (SELECT question_id, label AS entity, link FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY label) AS k FROM named) WHERE k <= 3),
 step AS (SELECT DISTINCT source_id AS a, target_id AS b FROM rel UNION SELECT DISTINCT target_id, source_id FROM rel),
 near AS (SELECT question_id, b AS entity, max(link) AS link FROM seeds JOIN step ON entity = a WHERE NOT EXISTS (SELECT 1 FROM seeds z WHERE z.question_id = seeds.question_id AND z.entity = b) GROUP BY ALL),
@@ -139,9 +140,8 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TOKENS_SQL}, {A.OBSERVATIONS_SQL},
 l AS (SELECT DISTINCT label AS id, label FROM observations),
-s AS (SELECT DISTINCT question_id, id, label FROM qt JOIN l ON token = label),
 w AS (SELECT question_id, string_agg(token, ' ' ORDER BY pos) AS whole FROM qt GROUP BY ALL),
-z AS (SELECT question_id, id, CASE WHEN contains(whole, label) THEN 2.0 ELSE 1.0 END AS score FROM s JOIN w USING (question_id)),
+z AS (SELECT question_id, id, 2.0 AS score FROM w JOIN l ON contains(whole, label)),
 r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS rank FROM z)
 SELECT question_id, rank::INT AS rank, id, round(score, 6)::DOUBLE AS score FROM r WHERE rank <= 3""")
 def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,11 +308,27 @@ def toc_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.rollup(nodes, objects.where("id like 'c%'").select("id", F.lit(1).cast("long").alias("n")))
 
 
-@query(f"""WITH {STAR} SELECT paper_id, 'no evidence' AS rule, id AS key FROM relations WHERE evidence < 1
-UNION ALL SELECT paper_id, 'loop', id FROM relations WHERE source_id = target_id
-UNION ALL SELECT paper_id, 'repeated object id', id FROM objects GROUP BY ALL HAVING count(*) > 1""")
+BROKEN_SQL = f"""{STAR}, all_objects AS (SELECT paper_id, id FROM objects UNION ALL SELECT paper_id, id FROM objects WHERE kind = 'topic'),
+all_relations AS (SELECT paper_id, id, source_id, target_id, evidence FROM relations UNION ALL SELECT paper_id, id, source_id, target_id, evidence FROM relations WHERE type = 'part_of' AND source_id LIKE 'n%'
+  UNION ALL SELECT paper_id, 'to ' || id, source_id, target_id || '?', evidence FROM relations WHERE type = 'depends_on' AND evidence > 1 UNION ALL SELECT paper_id, 'from ' || id, '?' || source_id, target_id, 0 FROM relations WHERE type = 'produces' AND evidence > 1
+  UNION ALL SELECT paper_id, 'loop ' || id, id, id, NULL FROM objects WHERE kind = 'procedure')"""
+
+
+@query(f"""WITH {BROKEN_SQL} SELECT paper_id, 'no evidence' AS rule, id AS key FROM all_relations WHERE coalesce(evidence, 0) < 1 UNION ALL SELECT paper_id, 'loop', id FROM all_relations WHERE source_id = target_id
+UNION ALL SELECT paper_id, 'repeated object id', id FROM all_objects GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT paper_id, 'repeated relation id', id FROM all_relations GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT paper_id, 'unknown source', id FROM all_relations r WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.paper_id = r.paper_id AND o.id = r.source_id)
+UNION ALL SELECT paper_id, 'unknown target', id FROM all_relations r WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.paper_id = r.paper_id AND o.id = r.target_id)""")
 def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.violations(*graph(spark, sf_dir))
+    """What is wrong with the star graph after places were repeated, and relations that end nowhere, loop, or have no evidence were added."""
+    objects, relations = graph(spark, sf_dir)
+    o = objects.select("paper_id", "id").union(objects.where("kind = 'topic'").select("paper_id", "id"))
+    cols = ["paper_id", "id", "source_id", "target_id", "evidence"]
+    own = relations.select(*cols)
+    more = own.where("id like 'part_of:n%'")
+    to = relations.where("type = 'depends_on' and evidence > 1").select("paper_id", F.concat(F.lit("to "), "id"), "source_id", F.concat("target_id", F.lit("?")), "evidence")
+    out_of = relations.where("type = 'produces' and evidence > 1").select("paper_id", F.concat(F.lit("from "), "id"), F.concat(F.lit("?"), "source_id"), "target_id", F.lit(0).cast("long"))
+    loops = objects.where("kind = 'procedure'").select("paper_id", F.concat(F.lit("loop "), "id"), "id", "id", F.lit(None).cast("long"))
+    return C.violations(o, own.union(more).union(to).union(out_of).union(loops))
 
 
 @query(f"WITH {STAR} SELECT paper_id, 'node' AS facet, kind AS name, count(*) AS n FROM objects GROUP BY ALL UNION ALL SELECT paper_id, 'edge', type, count(*) FROM relations GROUP BY ALL")
@@ -356,9 +372,10 @@ def canonical_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.entities(A.observations(spark, sf_dir))
 
 
-@query(f"WITH {OBS} SELECT paper_id, label, count(DISTINCT kind) AS kinds FROM observations GROUP BY ALL HAVING count(DISTINCT kind) > 1")
+@query(f"WITH {OBS} SELECT paper_id, label, count(DISTINCT pos) AS kinds FROM observations GROUP BY ALL HAVING count(DISTINCT pos) > 1")
 def label_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_collisions(A.observations(spark, sf_dir))
+    """Labels of several kinds, where the place of a word in its text tells the kind."""
+    return C.label_collisions(A.observations(spark, sf_dir).withColumn("kind", F.concat(F.lit("kind"), F.col("pos").cast("string"))))
 
 
 @query(f"WITH {OBS}, g AS (SELECT paper_id, kind, label, count(*) AS c FROM observations GROUP BY ALL) SELECT paper_id, sum(c - 1)::BIGINT AS duplicates FROM g GROUP BY ALL")
@@ -393,7 +410,10 @@ def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.occurrence_counts(texts(spark, sf_dir), C.surfaces(A.observations(spark, sf_dir)))
 
 
-@query()
+# the surfaces of these tables are single words, so no two matches overlap
+@query(f"""WITH {SURFACES_SQL}, un AS (SELECT source AS paper_id, doc_id AS node, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]')) AS text, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]'), 1) AS i FROM documents WHERE text IS NOT NULL),
+pl AS (SELECT *, (sum(length(text)) OVER (PARTITION BY node ORDER BY i))::BIGINT AS stop FROM un), fs AS (SELECT paper_id, surface, min(subject) AS subject FROM surf GROUP BY ALL)
+SELECT pl.paper_id, node, stop - length(text) AS start, stop AS "end", text, subject FROM pl JOIN fs ON fs.paper_id = pl.paper_id AND fs.surface = lower(text)""")
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.occurrences(texts(spark, sf_dir), C.surfaces(A.observations(spark, sf_dir)))
 
@@ -933,5 +953,37 @@ def reanchored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.reanchored(document(spark, sf_dir), Papers.nodes(spark, sf_dir).where("text is not null"))[1]
 
 
+@query(f"""WITH {DOC}, dg AS (SELECT paper_id, id, count(*) AS degree FROM (SELECT paper_id, source_id AS id FROM relations UNION ALL SELECT paper_id, target_id FROM relations) GROUP BY ALL), mx AS (SELECT paper_id, max(degree) AS most FROM dg GROUP BY ALL),
+rk AS (SELECT o.paper_id, stable_id AS id, label, round(greatest(0.0::DOUBLE, 0.35::DOUBLE * contribution + 0.2::DOUBLE * prominence + 0.15::DOUBLE * recurrence + 0.15::DOUBLE * confidence + 0.15::DOUBLE * coalesce(degree, 0) / greatest(coalesce(most, 1), 1) - CASE WHEN contribution >= 0.8 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END * familiarity), 6) AS rank
+  FROM objects o LEFT JOIN dg ON dg.paper_id = o.paper_id AND dg.id = stable_id LEFT JOIN mx ON mx.paper_id = o.paper_id WHERE o.paper_id IS NOT NULL),
+said AS (SELECT DISTINCT paper_id, object_id AS id FROM ev WHERE pos % 2 = 1 AND contains('about ' || label, 'ab')),
+h AS (SELECT rk.*, CASE WHEN lower(label) = 'ab' THEN 1.0 WHEN starts_with(lower(label), 'ab') THEN 0.8 WHEN contains(lower(label), 'ab') THEN 0.6 WHEN said.id IS NOT NULL THEN 0.4 END::DOUBLE AS tier FROM rk LEFT JOIN said USING (paper_id, id)),
+s AS (SELECT paper_id, id, label, round(tier + 0.2::DOUBLE * rank, 6) AS score FROM h WHERE tier IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, lower(label), id) AS place FROM s)
+SELECT paper_id, place::INT AS place, id, score FROM p WHERE place <= 20""")
+def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects of the canonical document by label, alias or what is said of them."""
+    objects, relations, facets = V.of_document(document(spark, sf_dir))
+    return G.search(objects, relations, "ab", facets=facets)
+
+
+@query(f"""WITH {DOC}, n AS (SELECT paper_id, count(*) AS n FROM objects GROUP BY ALL) SELECT n.paper_id, 'ready' AS status, n.n AS objects, coalesce((SELECT count(*) FROM relations r WHERE r.paper_id = n.paper_id), 0)::BIGINT AS relations,
+(SELECT count(*) FROM equations e WHERE e.paper_id = n.paper_id)::BIGINT AS equations, (SELECT count(*) FROM notation t WHERE t.paper_id = n.paper_id)::BIGINT AS notation, (SELECT max(stable_id) FROM objects o WHERE o.paper_id = n.paper_id) AS last_object FROM n WHERE n.paper_id IS NOT NULL""")
+def document_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical documents nested into JSON, and what is read back from it under the declared schema."""
+    d = document(spark, sf_dir)
+    tables = {"objects": d.objects, "relations": d.relations, "equations": d.equations, "notation": d.notation}
+    texts = written(Codec.nested(tables, d.objects), "documents")
+    read = Codec.parsed(texts, Codec.schema_of(tables))
+    sizes = [F.size(name).cast("long").alias(name) for name in tables]
+    return read.select("paper_id", "status", *sizes, F.array_max(F.transform("objects", lambda o: o["stable_id"])).alias("last_object"))
+
+
+@query()
+def document_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overview's nodes of the canonical document."""
+    objects, relations, _ = V.of_document(document(spark, sf_dir))
+    return V.overview(objects, relations)[0]
+
+
 QUERIES |= merging.QUERIES
 SQL |= merging.SQL

@@ -135,3 +135,70 @@ def test_groups_follow_the_order(spark):
     got = {r["observation_id"]: r["entity_id"] for r in C.groups(spark.createDataFrame(obs, "paper_id string, kind string, id string, label string, aliases array<string>")).collect()}
     # 3 widens the first group by b: 4 goes there although 2 has the same names; c then is in both, and the first one has it
     assert got == {"1": "1", "2": "2", "3": "1", "4": "1", "5": "1"}
+
+
+def test_groups_of_many_components(spark):
+    import random
+
+    r = random.Random(4)
+    obs = []
+    for i in range(600):
+        k = r.randrange(120)
+        obs.append((r.choice([1, 2, None]), r.choice(["topic", "claim"]), i, f"Name {k}", r.choice([None, [], [f"name-{k + 1}"], [f"alias {k % 7}", "?"], [f"name {k}"]]) if r.random() < 0.2 else None))
+    obs += [(1, "topic", 1000 + i, "Common", None) for i in range(300)] + [(1, "topic", 2000, "...", None), (1, "topic", 2001, "", ["!"])]
+    norm = lambda t: " ".join("".join(c if c.isalnum() or c == "_" else " " for c in t.lower()).split())
+    want, groups = {}, {}
+    for paper, kind, i, label, aliases in sorted(obs, key=lambda x: x[2]):
+        own = [n for n in map(norm, [label, *(aliases or [])]) if n]
+        here = groups.setdefault((paper, kind), [])
+        g = next((g for g in here if g[1] & set(own)), None)
+        if g is None:
+            here.append(g := (i, set()))
+        g[1].update(own)
+        want[i] = (paper, kind, g[0])
+    df = spark.createDataFrame(obs, "paper_id int, kind string, id long, label string, aliases array<string>").repartition(7)
+    got = {x["observation_id"]: (x["paper_id"], x["kind"], x["entity_id"]) for x in C.groups(df).collect()}
+    assert got == want
+
+
+def test_documents_nest_and_are_read_strictly(spark):
+    import json
+
+    from quillgraph.operators import codec
+
+    objects = spark.createDataFrame([(1, "o2", "claim", "B", None, 0.5), (1, "o1", "topic", "A \"x\" é", ["a", "b"], None), (2, "o3", "topic", "C", [], 1.0)], "paper_id int, stable_id string, kind string, label string, aliases array<string>, contribution double")
+    relations = spark.createDataFrame([(1, "r1", "uses", "o1", "o2", 0.25)], "paper_id int, stable_id string, type string, source_id string, target_id string, confidence double")
+    tables = {"objects": objects, "relations": relations}
+    papers = spark.createDataFrame([(1,), (2,), (3,)], "paper_id int")
+    texts = codec.nested(tables, papers)
+    schema = codec.schema_of(tables)
+    read = codec.parsed(texts, schema)
+    assert {(r["paper_id"], r["status"]) for r in read.collect()} == {(1, "ready"), (2, "ready"), (3, "ready")}
+    for name, d in tables.items():
+        assert sorted(map(tuple, codec.part(read, name).select(*d.columns).collect()), key=repr) == sorted(map(tuple, d.collect()), key=repr)
+    good = {r["paper_id"]: r["document"] for r in texts.collect()}
+    assert [r["bytes"] for r in texts.orderBy("paper_id").collect()] == [len(good[k].encode()) for k in (1, 2, 3)]
+    assert [o["stable_id"] for o in json.loads(good[1])["objects"]] == ["o1", "o2"]
+
+    def spoilt(change):
+        d = json.loads(good[1])
+        change(d)
+        return json.dumps(d)
+
+    cases = {
+        "not a JSON object": "[1]", "unknown key extra": spoilt(lambda d: d.update(extra=1)), "objects: no list of objects": spoilt(lambda d: d.update(objects=7)),
+        "relations: no list of objects": spoilt(lambda d: d.pop("relations")), "objects: unknown key colour": spoilt(lambda d: d["objects"][0].update(colour="red")),
+        "objects.contribution: not of its type": spoilt(lambda d: d["objects"][1].update(contribution="much")), "objects.aliases: not of its type": spoilt(lambda d: d["objects"][0].update(aliases="a")),
+        "objects.label: empty": spoilt(lambda d: d["objects"][0].update(label="")), "relations.source_id: empty": spoilt(lambda d: d["relations"][0].pop("source_id")),
+        "objects.kind: out of bounds": spoilt(lambda d: d["objects"][0].update(kind="thing")), "objects.contribution: out of bounds": spoilt(lambda d: d["objects"][0].update(contribution=1.5)),
+        "relations.type: out of bounds": spoilt(lambda d: d["relations"][0].update(type="likes")), "relations.confidence: out of bounds": spoilt(lambda d: d["relations"][0].update(confidence=-1)),
+        "metrics.objects_count: not the number of rows": spoilt(lambda d: d["metrics"].update(objects_count=5)),
+    }
+    rows = [(e, t) for e, t in cases.items()] + [("none", None), ("none", "  "), ("rebuild", spoilt(lambda d: d.update(schema_version="2"))), ("rebuild", spoilt(lambda d: d.pop("schema_version"))), ("ready", good[1])]
+    got = codec.parsed(spark.createDataFrame(rows, "paper_id string, document string"), schema).collect()
+    for r in got:
+        if r["paper_id"] in cases:
+            assert r["status"] == "malformed" and r["paper_id"] in r["errors"], (r["paper_id"], r["status"], r["errors"])
+            assert r["objects"] is None
+        else:
+            assert r["status"] == r["paper_id"] and r["errors"] == [], r

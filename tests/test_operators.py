@@ -72,6 +72,9 @@ def test_entities_against_brute_force(spark):
     ("Reward models are evaluated by one LLM.", ["reward models", "llm"], [(0, 13), (35, 38)]),
     ("The models differ.", ["model"], []),
     ("gradient descent converges", ["gradient", "gradient descent"], [(0, 16)]),
+    ("a++ b ++ c ++", ["++", " "], [(6, 8), (11, 13)]),
+    ("C++ and c+ +x, x_1 x", ["c++", "+x", "X", "c+ +x, x_1"], [(0, 3), (8, 18), (19, 20)]),
+    ("New York and new  york", ["new york", "york and", "york"], [(0, 8), (18, 22)]),
 ])
 def test_occurrences(spark, text, surfaces, want):
     nodes = spark.createDataFrame([("p", 1, text)], "paper_id string, node long, text string")
@@ -87,6 +90,53 @@ def small_graph(spark, n=40, relations=None):
     return o, spark.createDataFrame(rel, "paper_id int, id string, type string, source_id string, target_id string, confidence double, evidence int")
 
 
+def plain_overview(objects, relations, limit):
+    """The selection by its definition, from ranked rows: (id, label, contribution, rank) and pairs of ids."""
+    order = sorted(objects, key=lambda o: (-o[3], o[1].lower(), o[0]))
+    near = {o[0]: set() for o in objects}
+    for a, b in relations:
+        if a != b and a in near and b in near:
+            near[a].add(b), near[b].add(a)
+    chosen = [o[0] for o in order if o[2] >= 0.8][: max(1, round(limit * 0.25))] or [order[0][0]]
+    while len(chosen) < min(limit, len(order)):
+        left = [o[0] for o in order if o[0] not in chosen]
+        ties = {x: len(near[x] & set(chosen)) for x in left}
+        chosen.append(max(left, key=lambda x: (ties[x], -left.index(x))))
+    return [o[0] for o in order if o[0] in chosen]
+
+
+@pytest.mark.parametrize("limit", [1, 7, 30])
+def test_overview_is_the_one_of_its_definition(spark, limit):
+    import random
+
+    r = random.Random(limit)
+    objects, edges = [], []
+    for paper in ("p", "q", None, "lone"):
+        n = 1 if paper == "lone" else 60
+        objects += [(paper, f"e{i}", "topic", r.choice(["Same", "same", f"L{i}"]), r.choice([0.1, 0.5, 0.9]) if paper != "q" else 0.2, 0.5, r.choice([0.0, 0.3]), 0.8, 0.1) for i in range(n)]
+        edges += [(paper, f"r{i}", "uses", f"e{r.randrange(n)}", f"e{r.randrange(n + 3)}", 0.5, 1) for i in range(n)]
+    o = spark.createDataFrame(objects, "paper_id string, id string, kind string, label string, contribution double, prominence double, recurrence double, confidence double, familiarity double").where("paper_id is not null")
+    e = spark.createDataFrame(edges, "paper_id string, id string, type string, source_id string, target_id string, confidence double, evidence int")
+    ranks = G.ranked(o, e).collect()
+    got: dict = {}
+    for x in G.overview(o, e, limit).orderBy("place").collect():
+        got.setdefault(x["paper_id"], []).append(x["id"])
+    for paper in ("p", "q", "lone"):
+        own = [(x["id"], x["label"], x["contribution"], x["rank"]) for x in ranks if x["paper_id"] == paper]
+        assert got[paper] == plain_overview(own, [(x[3], x[4]) for x in edges if x[0] == paper], limit)
+
+
+def test_overview_and_search_of_other_keys(spark):
+    o = spark.createDataFrame([(7, 10 + i, "topic", f"Thing {i}", ["Alias  ONE"] if i == 2 else None, 0.9 - i / 10, 0.5, 0.0, 0.8, 0.0) for i in range(5)], "paper_id long, id long, kind string, label string, aliases array<string>, contribution double, prominence double, recurrence double, confidence double, familiarity double")
+    e = spark.createDataFrame([(7, 100 + i, "uses", 10, 11 + i, 0.5, 1) for i in range(3)], "paper_id long, id long, type string, source_id long, target_id long, confidence double, evidence int")
+    nodes = G.overview(o, e, 4)
+    assert [x["id"] for x in nodes.orderBy("place").collect()] == [10, 11, 12, 13]
+    assert sorted(x["id"] for x in G.backbone(o, e, nodes).collect()) == [100, 101, 102]
+    facets = spark.createDataFrame([(7, 14, "said of ALIAS here"), (7, 12, "alias")], "paper_id long, id long, text string")
+    found = [(x["id"], round(x["score"] - 0.2 * r, 1)) for x, r in ((x, {y["id"]: y["rank"] for y in G.ranked(o, e).collect()}[x["id"]]) for x in G.search(o, e, "alias", facets=facets).orderBy("place").collect())]
+    assert found == [(12, 0.8), (14, 0.4)] and [x["id"] for x in G.search(o, e, " alias one ").collect()] == [12] and G.search(o, e, "thing", kinds=["claim"]).count() == 0
+
+
 def test_overview(spark):
     o, r = small_graph(spark)
     got = [x["id"] for x in G.overview(o, r, 100).orderBy("place").collect()]
@@ -142,3 +192,10 @@ def test_dom(spark):
     assert parents == {"T": None, "U": 0, "V": 3, "W": 0}
     texts = {r["page_id"]: r["text"] for r in dom.page_text(pages).collect()}
     assert texts == {1: "T a b c d U V W", 2: ""}
+
+
+def test_links_of_labels_inside_of_tokens(spark):
+    q = spark.createDataFrame([(1, "the partial rewards of policies"), (2, None), (3, "of the")], "question_id int, question string")
+    labels = spark.createDataFrame([("art", "art"), ("two", "al reward"), ("alias", "nothing"), ("alias", "Reward"), ("gap", "partial policies"), ("blank", "the"), ("none", None)], "id string, label string")
+    got = {(x["question_id"], x["id"]): x["score"] for x in R.entity_link(q, labels, k=10).collect()}
+    assert got == {(1, "art"): 2.0, (1, "two"): 2.0, (1, "alias"): 2.0, (1, "gap"): 1.0}

@@ -49,8 +49,10 @@ def ordered_union(rows: DataFrame, group: list[str], name: str) -> DataFrame:
 
 
 def definition_keys(d: DataFrame, *group: str) -> DataFrame:
-    """(group ..., key, pos): what a formula may share with definitions, with the first definition that has it."""
-    keys = F.concat(F.array(keyed("t", T.legacy_text(F.col("term")))), F.transform(T.math_signatures(F.coalesce("definition_text", F.lit(""))), lambda s: keyed("m", s)))
+    """(group ..., key, definition): what a formula may share with definitions, with the first definition that has it. Merged definitions
+    have the formulas of all their texts."""
+    found = F.col("signatures") if "signatures" in d.columns else T.math_signatures(F.coalesce("definition_text", F.lit("")))
+    keys = F.concat(F.array(keyed("t", T.legacy_text(F.col("term")))), F.transform(found, lambda s: keyed("m", s)))
     each = d.select(*group, F.explode(keys).alias("key"), "pos").where(~F.col("key").isin("t\x1f", "m\x1f"))
     return each.groupBy(*group, "key").agg(F.min("pos").alias("definition"))
 

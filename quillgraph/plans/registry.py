@@ -966,8 +966,10 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.search(objects, relations, "ab", facets=facets)
 
 
-@query(f"""WITH {DOC}, n AS (SELECT paper_id, count(*) AS n FROM objects GROUP BY ALL) SELECT n.paper_id, 'ready' AS status, n.n AS objects, coalesce((SELECT count(*) FROM relations r WHERE r.paper_id = n.paper_id), 0)::BIGINT AS relations,
-(SELECT count(*) FROM equations e WHERE e.paper_id = n.paper_id)::BIGINT AS equations, (SELECT count(*) FROM notation t WHERE t.paper_id = n.paper_id)::BIGINT AS notation, (SELECT max(stable_id) FROM objects o WHERE o.paper_id = n.paper_id) AS last_object FROM n WHERE n.paper_id IS NOT NULL""")
+# words of more than twenty letters are more familiar than a document may say
+@query(f"""WITH {DOC}, n AS (SELECT paper_id, count(*) AS n, max(stable_id) AS last_object, bool_and(least(contribution, prominence, familiarity, confidence, recurrence) >= 0 AND greatest(contribution, prominence, familiarity, confidence, recurrence) <= 1) AS ok FROM objects WHERE paper_id IS NOT NULL GROUP BY ALL),
+c AS (SELECT n.*, (SELECT count(*) FROM relations r WHERE r.paper_id = n.paper_id) AS relations, (SELECT count(*) FROM equations e WHERE e.paper_id = n.paper_id) AS equations, (SELECT count(*) FROM notation t WHERE t.paper_id = n.paper_id) AS notation FROM n)
+SELECT paper_id, CASE WHEN ok THEN 'ready' ELSE 'malformed' END AS status, CASE WHEN ok THEN n END AS objects, CASE WHEN ok THEN relations END AS relations, CASE WHEN ok THEN equations END AS equations, CASE WHEN ok THEN notation END AS notation, CASE WHEN ok THEN last_object END AS last_object FROM c""")
 def document_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical documents nested into JSON, and what is read back from it under the declared schema."""
     d = document(spark, sf_dir)

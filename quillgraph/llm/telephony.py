@@ -126,7 +126,9 @@ def to_pcm(file: bytes) -> np.ndarray:
     if tag == IMA:
         whole = raw[: len(raw) // UNIT * UNIT].reshape(-1, UNIT)
         last = raw[len(raw) // UNIT * UNIT :]
-        parts = [decode_ima(whole).ravel()] + [decode_ima(last[None, :]).ravel()] * (len(last) > 4)
+        parts = [decode_ima(whole).ravel()]
+        if len(last) > 4:
+            parts.append(decode_ima(last[None, :]).ravel())
         return np.concatenate(parts)
     if tag == PCM:
         return raw[: len(raw) // 2 * 2].view("<i2")

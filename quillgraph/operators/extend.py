@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..sources.shared import written
+
 
 class Extractor(Protocol):
     """Takes a section (paper_id, section_id, text) and gives its observations, rows of the output's columns after these two."""
@@ -21,7 +23,7 @@ class Extractor(Protocol):
 def extracted(sections: DataFrame, extract: Extractor, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): what ``extract`` finds in each section, in tasks; a section that it fails on gives an error, the others go on.
 
-    A section is read once for rows and once for errors; an extractor that costs has to keep its answers.
+    The answers are written once, and rows and errors are read from there: both are of one call.
     """
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = dict(sections.dtypes)
@@ -37,7 +39,7 @@ def extracted(sections: DataFrame, extract: Extractor, schema: str) -> tuple[Dat
                     rows.append((paper, section, *[None] * len(names), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["paper_id", "section_id", *names, "error"])
 
-    out = sections.select("paper_id", "section_id", "text").mapInPandas(run, f"{key}, {schema}, error string")
+    out = written(sections.select("paper_id", "section_id", "text").mapInPandas(run, f"{key}, {schema}, error string"), "extracted")
     return out.where("error is null").drop("error"), out.where("error is not null").select("paper_id", "section_id", "error")
 
 

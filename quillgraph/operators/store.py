@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import document as D
 from . import injection
 
@@ -62,8 +63,8 @@ def replaced_suggestions(rows: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def by_hand(rows: DataFrame) -> DataFrame:
-    """Suggestions made by hand, with an id of their own."""
-    return rows.withColumn("entity_id", F.concat(F.lit("manual_"), F.expr("uuid()"))).withColumn("is_ai_generated", F.lit(False))
+    """Suggestions made by hand, with an id of their own, drawn once."""
+    return written(rows.withColumn("entity_id", F.concat(F.lit("manual_"), F.expr("uuid()"))).withColumn("is_ai_generated", F.lit(False)), "by-hand")
 
 
 def unknown_types(asked: list[str]) -> list[str]:

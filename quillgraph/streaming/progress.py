@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import shared_dir
+
 # Stages after which nothing follows.
 TERMINAL = ("complete", "error", "cancelled")
 
@@ -63,31 +67,38 @@ def nearest_rank(events: DataFrame, p: float = 0.95) -> DataFrame:
     return inside.where((F.col("upto") > F.col("left")) & (F.col("upto") - F.col("n") <= F.col("left"))).select("stage", "value")
 
 
-def stream_changes(events: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
+def stream_changes(events: DataFrame, timeout_ms: int = 30_000, heartbeat_ms: int | None = None) -> DataFrame:
     """(paper_id, stage, value, kind) from a stream of events(paper_id, event_id, ts, stage, value): each state that differs from the one
-    before, up to the first terminal one; where nothing comes for ``timeout_ms``, an error that says so. What has ended keeps
-    a flag until the next timeout and then leaves the state."""
+    before, up to the first terminal one; where nothing comes for ``timeout_ms``, an error that says so. With ``heartbeat_ms`` the
+    last state is repeated as often while nothing comes. What has ended keeps a flag until the next timer and then leaves the state."""
+    wait = min(timeout_ms, heartbeat_ms or timeout_ms)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        stage, value, ended = state.get if state.exists else (None, None, False)
+        stage, value, ended, quiet = state.get if state.exists else (None, None, False, 0)
         if state.hasTimedOut:
-            if not ended:
-                rows.append((key[0], "error", None, "timeout"))
-            state.remove()
+            quiet += wait
+            if ended or quiet >= timeout_ms:
+                if not ended:
+                    rows.append((key[0], "error", None, "timeout"))
+                state.remove()
+            else:
+                rows.append((key[0], stage, value, "heartbeat"))
+                state.update((stage, value, ended, quiet))
+                state.setTimeoutDuration(min(wait, timeout_ms - quiet))
         else:
             got = pd.concat(list(frames)).sort_values(["ts", "event_id"])
             for s, v in zip(got["stage"], got["value"].astype(object).where(got["value"].notna(), None)):
                 if not ended and (s, v) != (stage, value):
                     stage, value, ended = s, v, s in TERMINAL
                     rows.append((key[0], s, v, "change"))
-            state.update((stage, value, ended))
-            state.setTimeoutDuration(timeout_ms)
+            state.update((stage, value, ended, 0))
+            state.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["paper_id", "stage", "value", "kind"])
 
     kind = dict(events.dtypes)["paper_id"]
     e = events.select("paper_id", "event_id", "ts", "stage", "value")
-    return e.groupBy("paper_id").applyInPandasWithState(step, f"paper_id {kind}, stage string, value double, kind string", "stage string, value double, ended boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return e.groupBy("paper_id").applyInPandasWithState(step, f"paper_id {kind}, stage string, value double, kind string", "stage string, value double, ended boolean, quiet long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 class Busy(RuntimeError):
@@ -95,27 +106,46 @@ class Busy(RuntimeError):
 
 
 class Builds:
-    """Builds that run on this driver: one for each paper, each under a tag by which its jobs are cancelled."""
+    """Builds of papers: one for each at a time, each under a tag by which its jobs are cancelled, whichever driver started it.
+
+    A build's claim is a file of ``folder`` (in the shared folder, if none is given), created only if it isn't there: that is one atomic
+    step of file systems like HDFS and local ones. A wish to cancel is a file beside it, which the build sees after each step; a
+    build of this driver is interrupted at once. Each step renews its claim; one that wasn't renewed for ``stale_s`` seconds, as its
+    driver died, may be taken over.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, stale_s: float = 3600.0) -> None:
+        self.spark, self.stale_s = spark, stale_s
+        self.folder = folder or f"{shared_dir(spark)}/builds"
+        self.hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.files = self.hadoop.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.files.mkdirs(self.hadoop.Path(self.folder))
+
+    def _file(self, paper: str, kind: str):
+        return self.hadoop.Path(f"{self.folder}/{hashlib.sha256(str(paper).encode()).hexdigest()}.{kind}")
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.running, self.stopped = spark, set(), set()
+    def running(self, paper: str) -> bool:
+        claim = self._file(paper, "claim")
+        return self.files.exists(claim) and time.time() - self.files.getFileStatus(claim).getModificationTime() / 1000 < self.stale_s
 
     @contextmanager
     def only(self, paper: str) -> Iterator[None]:
         """Jobs started inside are the paper's; a second build of it raises ``Busy``. An old wish to cancel is forgotten."""
-        if paper in self.running:
+        claim = self._file(paper, "claim")
+        if self.files.exists(claim) and not self.running(paper):
+            self.files.delete(claim, False)
+        if not self.files.createNewFile(claim):
             raise Busy(paper)
-        self.running.add(paper)
-        self.stopped.discard(paper)
+        self.files.delete(self._file(paper, "cancel"), False)
         self.spark.addTag(f"build-{paper}")
         try:
             yield
         finally:
             self.spark.removeTag(f"build-{paper}")
-            self.running.discard(paper)
+            self.files.delete(claim, False)
 
     def cancel(self, paper: str) -> None:
-        self.stopped.add(paper)
+        self.files.createNewFile(self._file(paper, "cancel"))
         self.spark.interruptTag(f"build-{paper}")
 
     def steps(self, paper: str, steps: list, told=lambda done, total: None) -> Iterator:
@@ -123,8 +153,11 @@ class Builds:
         for k, step in enumerate(steps):
             result = step()
             told(k + 1, len(steps))
-            if paper in self.stopped:
+            if self.files.exists(self._file(paper, "cancel")):
                 raise InterruptedError(f"the build of {paper} was cancelled")
+            now = int(time.time() * 1000)
+            if self.files.exists(self._file(paper, "claim")):
+                self.files.setTimes(self._file(paper, "claim"), now, now)
             yield result
 
 

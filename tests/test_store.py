@@ -103,7 +103,52 @@ def test_builds_are_single_and_end_when_cancelled(spark):
         assert next(steps) == 1
         with pytest.raises(InterruptedError):
             next(steps)
-    assert heard == [1, 2] and not b.running
+    assert heard == [1, 2] and not b.running("p")
+
+
+def test_builds_of_two_drivers_see_each_other(spark, tmp_path):
+    one, two = progress.Builds(spark, f"file://{tmp_path}/builds"), progress.Builds(spark.newSession(), f"file://{tmp_path}/builds")
+    with one.only("p/1"):
+        assert two.running("p/1") and not two.running("p/2")
+        with pytest.raises(progress.Busy), two.only("p/1"):
+            pass
+        with two.only("p/2"):
+            assert one.running("p/2")
+        steps = one.steps("p/1", [lambda: 1, lambda: 2, lambda: 3])
+        assert next(steps) == 1
+        two.cancel("p/1")
+        with pytest.raises(InterruptedError):
+            next(steps)
+    # the claim is free again, and an old wish to cancel is forgotten
+    with two.only("p/1"):
+        assert list(two.steps("p/1", [lambda: 1, lambda: 2])) == [1, 2]
+    # a claim that its driver left behind
+    late = progress.Builds(spark, f"file://{tmp_path}/builds", stale_s=0.0)
+    left = one.only("dead")
+    left.__enter__()
+    with pytest.raises(progress.Busy), two.only("dead"):
+        pass
+    with late.only("dead"):
+        pass
+
+
+def test_heartbeats_repeat_the_last_state(spark, tmp_path):
+    schema = "paper_id long, event_id long, ts timestamp, stage string, value double"
+    at = datetime.datetime(2024, 1, 1)
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, 1, at, "a", 1.0), (2, 2, at, "complete", None)], schema).coalesce(1).write.parquet(source)
+    q = progress.stream_changes(spark.readStream.schema(schema).parquet(source), 5_000, 1_500).writeStream.outputMode("append").format("memory").queryName("beats").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for _ in range(120):
+            found = [tuple(r) for r in spark.table("beats").collect()]
+            if any(r[3] == "timeout" for r in found):
+                break
+            time.sleep(0.5)
+        assert [r for r in found if r[0] == 2] == [(2, "complete", None, "change")]
+        own = [r for r in found if r[0] == 1]
+        assert own[0] == (1, "a", 1.0, "change") and own[-1] == (1, "error", None, "timeout") and len(own) >= 4 and set(own[1:-1]) == {(1, "a", 1.0, "heartbeat")}
+    finally:
+        q.stop()
 
 
 def test_streamed_changes(spark, tmp_path):

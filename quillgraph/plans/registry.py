@@ -110,7 +110,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score
 
 @query(f"WITH {SCORES_SQL}, {HYBRID_SQL} SELECT question_id, rank::INT AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 3")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = A.observations(spark, sf_dir).select("label", F.col("section_id").alias("id"))
+    obs = written(A.observations(spark, sf_dir).select("label", F.col("section_id").alias("id")), "observations")
     # at most five labels a document: ten pairs
     pairs = obs.alias("x").join(obs.alias("y"), "id").where("x.label < y.label").select(F.col("x.label").alias("source_id"), F.col("y.label").alias("target_id"), "id")
     labels = obs.select(F.col("label").alias("id"), "label").distinct()

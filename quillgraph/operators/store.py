@@ -107,6 +107,19 @@ def tooltip_text(kind: Column, label: Column, summary: Column, latex: Column, de
     return F.when(kind == "symbol", symbol).when(kind == "formula", formula).when(kind == "definition", whole).when(kind == "theorem", theorem).otherwise(F.coalesce(context, summary, label, F.lit("See knowledge graph")))
 
 
+def facet_text(kind: Column, label: Column, facets: Column) -> Column:
+    """What a tooltip says by facets (array of kind, text, summary, latex, roles), null where they say nothing: formulas by their summary and
+    formula, symbols by their roles, others by the first text."""
+    given = lambda c: F.when(c != "", c)
+    last = lambda name: F.get(F.filter(facets, lambda f: f["kind"] == name), F.size(F.filter(facets, lambda f: f["kind"] == name)) - 1)
+    formula, name = last("formula"), F.coalesce(label, F.lit("Formula"))
+    summary, latex = given(formula["summary"]), given(formula["latex"])
+    told = F.when(summary.isNotNull() & latex.isNotNull(), F.concat(name, F.lit(": "), summary, F.lit("\n\nFormula: "), latex)).otherwise(F.coalesce(summary, latex, name))
+    roles = F.coalesce(given(F.array_join(last("symbol_scope")["roles"], "; ")), F.concat(F.lit("Mathematical symbol: "), F.coalesce(label, F.lit(""))))
+    first = F.get(F.filter(F.transform(facets, lambda f: f["text"]), lambda t: t != ""), F.lit(0))
+    return F.when(F.size(facets) > 0, F.when(kind == "formula", told).when(kind == "symbol", roles).otherwise(first))
+
+
 # Fixed value: the order of types in a menu; others follow by name.
 MENU = ["definition", "theorem", "formula", "symbol", "other"]
 
@@ -196,11 +209,27 @@ def read_fixtures(spark, path: str, schema) -> DataFrame:
     return one.select(F.get_json_object("raw", "$.domain").alias("domain"), F.from_json(F.coalesce(F.get_json_object("raw", "$.document"), "raw"), schema).alias("document"))
 
 
-def prompt_parts(sections: DataFrame, chars: int = 8000) -> DataFrame:
+# Characters of a section's text in a prompt, by what is asked; entries of each list of names.
+PROMPT_CHARS = {"relations": 8000, "observations": 12000, "equations": 1500}
+PROMPT_LINES = {"formula": 30, "symbol": 50, "definition": 30, "theorem": 20}
+
+
+def prompt_parts(sections: DataFrame, chars: int = PROMPT_CHARS["relations"]) -> DataFrame:
     """sections(paper_id, section_id, text) with the text that fits a prompt."""
     return sections.withColumn("text", F.substring("text", 1, chars))
 
 
+def prompt_lists(names: DataFrame, lines: dict[str, int] = PROMPT_LINES) -> DataFrame:
+    """(paper_id, formula, symbol, definition, theorem): the first of names(paper_id, type, pos, line) of each type, a line each; ``None found``
+    where a paper has none. No more than these leave a task."""
+    w = Window.partitionBy("paper_id", "type").orderBy("pos", "line")
+    kept = names.where(F.col("type").isin(list(lines))).withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(lines.values()))
+    one = lambda kind, most: F.array_sort(F.collect_list(F.when((F.col("type") == kind) & (F.col("n") <= most), F.struct("n", "line"))))
+    text = lambda c: F.when(F.size(c) == 0, "None found").otherwise(F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x["line"])), "\n"))
+    got = kept.groupBy("paper_id").agg(*[one(kind, most).alias(kind) for kind, most in lines.items()])
+    return got.select("paper_id", *[text(F.col(kind)).alias(kind) for kind in lines])
+
+
 def batches(rows: DataFrame, size: int = 10) -> DataFrame:
     """rows(paper_id, id) with ``batch``: so many to each, in order of id."""
     w = Window.partitionBy("paper_id").orderBy("id")

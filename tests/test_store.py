@@ -227,3 +227,24 @@ def test_merged_projections(spark):
     nodes, edges = views.merged((n("a", "b"), e), (n("z", "y", "b"), e), most=3)
     assert sorted(r["id"] for r in nodes.collect()) == ["a", "b", "z"] and edges.count() == 2
     assert G.degree(edges).count() == 3
+
+
+def test_tooltips_by_facets(spark):
+    schema = "kind string, label string, facets array<struct<kind: string, text: string, summary: string, latex: string, roles: array<string>>>"
+    f = lambda kind, text=None, summary=None, latex=None, roles=None: (kind, text, summary, latex, roles)
+    cases = [
+        (("formula", "Loss", [f("formula", None, "old", "a"), f("formula", None, "sum", "b")]), "Loss: sum\n\nFormula: b"), (("formula", None, [f("formula", None, "", "b")]), "b"), (("formula", None, [f("topic", "t")]), "Formula"),
+        (("symbol", "x", [f("symbol_scope", roles=["in", "out"])]), "in; out"), (("symbol", "x", [f("symbol_scope", roles=[])]), "Mathematical symbol: x"), (("topic", "T", [f("topic", ""), f("topic", "first"), f("topic", "second")]), "first"),
+        (("topic", "T", [f("topic", None)]), None), (("topic", "T", []), None), (("topic", "T", None), None),
+    ]
+    df = spark.createDataFrame([c for c, _ in cases], schema).coalesce(1)
+    assert [r["t"] for r in df.select(store.facet_text(*[F.col(c) for c in df.columns]).alias("t")).collect()] == [want for _, want in cases]
+
+
+def test_prompts_keep_to_their_budgets(spark):
+    rows = [("p", "formula", 99 - i, f"f{99 - i}") for i in range(100)] + [("p", "theorem", 1, "t"), ("p", "other", 0, "o"), ("q", "symbol", 1, None)] + [("q", "symbol", i, f"s{i}") for i in range(2, 60)]
+    got = {r["paper_id"]: r for r in store.prompt_lists(spark.createDataFrame(rows, "paper_id string, type string, pos int, line string")).collect()}
+    assert got["p"]["formula"].split("\n") == [f"- f{i}" for i in range(30)] and got["p"]["theorem"] == "- t" and got["p"]["definition"] == "None found"
+    assert len(got["q"]["symbol"].split("\n")) == 49 and got["q"]["formula"] == "None found"
+    s = spark.createDataFrame([("p", "s", "x" * 20_000)], "paper_id string, section_id string, text string")
+    assert [len(store.prompt_parts(s, n).first()["text"]) for n in store.PROMPT_CHARS.values()] == [8000, 12000, 1500]

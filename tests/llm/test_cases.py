@@ -66,13 +66,13 @@ def test_links_by_sql(spark):
 
 
 def test_redirects_carry_decisions(spark):
-    pages = spark.createDataFrame([(1, "http://old.net/a", None), (2, "http://mid.net/b", None), (3, "http://example.org/es/new", None), (4, "http://else.net/", None)], PAGES)
+    pages = spark.createDataFrame([(1, "http://old.net/a?x=1#top", None), (5, "http://old.net/a", None), (2, "http://mid.net/b", None), (3, "http://example.org/es/new", None), (4, "http://else.net/", None)], PAGES)
     redirects = spark.createDataFrame([("http://old.net/a?x=1", "http://mid.net/b"), ("http://mid.net/b", "http://example.org/es/new"), (None, "http://else.net/"), ("http://else.net/", None)], "from_url string, to_url string")
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, redirects=redirects).collect()}
-    assert got == {1: "block", 2: "block", 3: "block", 4: "allow"}
-    allowed = redirects.union(spark.createDataFrame([("http://old.net/a", "http://www.org/")], "from_url string, to_url string"))
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}  # another query string is another url
+    allowed = redirects.union(spark.createDataFrame([("http://old.net/a?x=1", "http://www.org/")], "from_url string, to_url string"))
     got = {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, redirects=allowed).collect()}
-    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow"}
+    assert got == {1: "allow", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
 
 
 def test_archive_by_sql(spark):

@@ -178,8 +178,8 @@ def test_links_relative_to_the_page(spark):
     pages = [(i, "http://a.net/d/e/f.html?q", f'<link rel="alternate canonical" href="{x}">') for i, x in enumerate(hrefs)]
     pages += [(90, "http://a.net", '<meta http-equiv="refresh" content="0; url=g">')]
     edges = url_filters.link_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
-    got = sorted((r["to_host"], r["to_path"]) for r in edges)
-    paths = ["/d/e/other.html", "/d/x", "/d/e/f.html", "/d/e/", "/", "/d/e/a//b", "/z", "/d/e/q", "/g"]
+    got = sorted((r["to_host"], r["to_tail"]) for r in edges)
+    paths = ["/d/e/other.html", "/d/x", "/d/e/f.html?p=1", "/d/e/", "/", "/d/e/a//b", "/z", "/d/e/q?u=http://w.org/", "/g"]
     assert got == sorted([("a.net", x) for x in paths] + [("h.net", "/k")])
     pages = [(1, "http://a.net/d/e.html", '<link rel=canonical href="../blocked/x">'), (2, "http://a.net/blocked/x", None)]
     told = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), [("block", "a.net", "/blocked/")])

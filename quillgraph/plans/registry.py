@@ -165,9 +165,14 @@ ranked AS (SELECT o.*, coalesce(degree, 0) AS degree, round(greatest(0.0::DOUBLE
 INFO = "CASE type WHEN 'depends_on' THEN 0.9 WHEN 'produces' THEN 0.85 WHEN 'part_of' THEN 0.7 ELSE 0 END"
 
 
+def lazy_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The star graph for queries that read each table once."""
+    return A.star_objects(spark, sf_dir), A.star_relations(spark, sf_dir)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The star graph, written once for all that a query joins it with."""
-    return written(A.star_objects(spark, sf_dir), "objects"), written(A.star_relations(spark, sf_dir), "relations")
+    return tuple(written(d, name) for d, name in zip(lazy_graph(spark, sf_dir), ("objects", "relations")))
 
 
 @query(f"WITH {DEGREE_SQL} SELECT * FROM deg")
@@ -177,13 +182,13 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {rank_sql(0.25)} SELECT paper_id, id, degree, rank FROM ranked WHERE NOT (familiarity >= 0.8 AND contribution < 0.8) AND rank >= 0.2")
 def entity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.expert_view(G.ranked(*graph(spark, sf_dir), "expert"), min_importance=0.2).select("paper_id", "id", "degree", "rank")
+    return G.expert_view(G.ranked(*lazy_graph(spark, sf_dir), "expert"), min_importance=0.2).select("paper_id", "id", "degree", "rank")
 
 
 @query(f"""WITH {rank_sql(0.1)}, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY rank DESC, lower(label), id) AS place FROM ranked)
 SELECT paper_id, place::INT AS place, id, rank FROM p WHERE place <= 20""")
 def entity_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.top(G.ranked(*graph(spark, sf_dir))).select("paper_id", "place", "id", "rank")
+    return G.top(G.ranked(*lazy_graph(spark, sf_dir))).select("paper_id", "place", "id", "rank")
 
 
 @query(f"""WITH {STAR}, p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY {INFO} DESC, confidence DESC, evidence DESC, id) AS place FROM relations)
@@ -197,7 +202,7 @@ def relation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY score DESC, lower(label), id) AS place FROM h)
 SELECT paper_id, place::INT AS place, id, score FROM p WHERE place <= 20""")
 def entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.search(*graph(spark, sf_dir), "Customer#00")
+    return G.search(*lazy_graph(spark, sf_dir), "Customer#00")
 
 
 SEEDS_SQL = """seeds AS (SELECT paper_id, id FROM objects WHERE kind = 'topic' AND id LIKE 'n%'),
@@ -333,7 +338,7 @@ def integrity_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {STAR} SELECT paper_id, 'node' AS facet, kind AS name, count(*) AS n FROM objects GROUP BY ALL UNION ALL SELECT paper_id, 'edge', type, count(*) FROM relations GROUP BY ALL")
 def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.facets(*graph(spark, sf_dir))
+    return G.facets(*lazy_graph(spark, sf_dir))
 
 
 @query(f"""WITH {STAR}, h AS (SELECT paper_id, id, lower(label) AS name, CASE WHEN lower(label) = 'a' THEN 0 WHEN starts_with(lower(label), 'a') THEN 1 WHEN contains(lower(label), 'a') THEN 2 END AS tier FROM objects),

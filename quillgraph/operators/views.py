@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 from . import document as D
 from . import graph as G
 
@@ -15,7 +15,7 @@ def of_document(d: D.Document) -> tuple[DataFrame, DataFrame, DataFrame]:
     objects = d.objects.withColumnRenamed("stable_id", "id")
     evidence = F.when(F.col("evidence_id").isNotNull(), 1).otherwise(0).cast("long").alias("evidence")
     relations = d.relations.select("paper_id", F.col("stable_id").alias("id"), "type", "source_id", "target_id", "confidence", evidence)
-    return objects, relations, d.facets.select("paper_id", F.col("object_id").alias("id"), "text")
+    return objects, written(relations, "relations"), d.facets.select("paper_id", F.col("object_id").alias("id"), "text")
 
 
 def overview(objects: DataFrame, relations: DataFrame, kinds: list[str] | None = None, in_section: DataFrame | None = None, min_importance: float = 0.0, expertise: str = "intermediate", show_familiar: bool = False, limit: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 from . import graph as G
 
 # Most isolates and least share of the largest component of an overview, least share of classified objects.
 MAX_ISOLATES, MIN_LARGEST, MIN_CLASSIFIED = 0.1, 0.7, 0.9
+#: A word, or one other character.
+UNITS = re.compile(r"\w+|\W")
 
 
 def rate(n, d):
@@ -103,47 +107,98 @@ def surface_forms(objects: DataFrame) -> DataFrame:
     return exact.unionByName(other).select("paper_id", "form", "subject_id", "surface", "category")
 
 
+def _fold(c: str) -> str:
+    """The letter that stands for all that equal it without regard to case, as patterns take it."""
+    up = c.upper()
+    low = (up if len(up) == 1 else c).lower()
+    return low if len(low) == 1 else c
+
+
+#: What to put for which character, so that texts are equal where a pattern without regard to case would match; one character for one.
+FOLD = {i: f for i in range(0x20000) if (f := _fold(chr(i))) != chr(i)} | {0x130: "i", 0x1FD3: "\u0390", 0x1FE3: "\u03b0", 0xFB05: "\ufb06"}
+
+
+def places_of_forms(text: str, forms: list[tuple[str, bool, str | None]]) -> list[tuple[int, int, str, bool, str | None]]:
+    """(start, end, form, exact, owner) of forms(form, exact, owner) in a text: exact ones that don't overlap, the earliest and longest
+    first, then of the others those beside them. Forms are a tree by words and single other characters; one walk from each
+    finds all forms that begin there."""
+    tree: dict = {}
+    for form in forms:
+        at = tree
+        for u in UNITS.findall(form[0]):
+            at = at.setdefault(u.translate(FOLD), {})
+        at.setdefault(None, []).append(form)
+    units = [(m.start(), m.end(), m[0].translate(FOLD)) for m in UNITS.finditer(text)]
+    word = [text[a].isalnum() or text[a] == "_" for a, _, _ in units]
+    ends: dict[str, int] = {}
+    places = []
+    for i, (start, _, u) in enumerate(units):
+        # what begins with a mark must not stand behind a word, what ends with one not before a word
+        if u not in tree or (not word[i] and i and word[i - 1]):
+            continue
+        at = tree
+        for k in range(i, len(units)):
+            at = at.get(units[k][2])
+            if at is None:
+                break
+            if None in at and (word[k] or k + 1 == len(units) or not word[k + 1]):
+                end = units[k][1]
+                for x, exact, owner in at[None]:
+                    # places of one form never overlap
+                    if start >= ends.get(x, 0):
+                        ends[x] = end
+                        places.append((not exact, start, start - end, owner or x, x, owner))
+    found, others, done = [], [], 0
+    for rest, start, length, _, x, owner in sorted(places, key=lambda p: p[:5]):
+        end = start - length
+        if rest:
+            others.append((start, end, x, owner))
+        elif start >= done:
+            found.append((start, end, x, True, owner))
+            done = end
+    starts, done, more = [f[0] for f in found], 0, []
+    for start, end, x, owner in others:
+        k = bisect.bisect_left(starts, end)
+        if start >= done and (not k or found[k - 1][1] <= start):
+            more.append((start, end, x, False, owner))
+            done = end
+    return found + more
+
+
 def found_forms(nodes: DataFrame, forms: DataFrame) -> DataFrame:
-    """(paper_id, node, start, form, text, exact, subject_id): forms in nodes(paper_id, node, text), not inside words: exact ones that
-    don't overlap, the earliest and longest first, then of the others those beside them. A node's words look up the forms."""
+    """(paper_id, form, text, exact, subject_id, n): how often ``places_of_forms`` finds forms in nodes(paper_id, node, text), not inside
+    words. A node's words look up the forms."""
     word = lambda c: F.regexp_extract(c, r"(?U)\w+", 0)
     f = forms.groupBy("paper_id", "form").agg(F.max(F.col("category") == "exact").alias("exact"), F.min(F.when(F.col("category") == "exact", F.col("subject_id"))).alias("subject_id")).withColumn("word", word(F.col("form")))
     words = nodes.select("paper_id", "node", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
     hit = words.join(f, ["paper_id", "word"]).groupBy("paper_id", "node").agg(F.collect_list(F.struct("form", "exact", "subject_id")).alias("f"))
-    both = nodes.join(hit, ["paper_id", "node"]).select("paper_id", "node", "text", F.col("f.form").alias("forms"), F.col("f.exact").alias("exacts"), F.col("f.subject_id").alias("owners"))
+    both = nodes.join(hit, ["paper_id", "node"]).select("paper_id", "text", F.col("f.form").alias("forms"), F.col("f.exact").alias("exacts"), F.col("f.subject_id").alias("owners"))
+    columns = ["paper_id", "form", "text", "exact", "subject_id"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for paper, node, text, forms, exacts, owners in zip(b["paper_id"], b["node"], b["text"], b["forms"], b["exacts"], b["owners"]):
-                own = {x: (e, o) for x, e, o in zip(forms, exacts, owners)}
-                places = []
-                for x, (e, o) in own.items():
-                    for m in re.finditer(rf"(?<!\w){re.escape(x)}(?!\w)", text, re.IGNORECASE):
-                        places.append((not e, m.start(), m.start() - m.end(), o or x, x))
-                used: list[tuple[int, int]] = []
-                for rest, start, length, _, x in sorted(places):
-                    end = start - length
-                    if not any(start < z and end > a for a, z in used):
-                        used.append((start, end))
-                        rows.append((paper, node, start, x, text[start:end], not rest, own[x][1]))
-            yield pd.DataFrame(rows, columns=["paper_id", "node", "start", "form", "text", "exact", "subject_id"])
+            counts: Counter = Counter()
+            for paper, text, forms, exacts, owners in zip(b["paper_id"], b["text"], b["forms"], b["exacts"], b["owners"]):
+                counts.update((paper, x, text[start:end], exact, owner) for start, end, x, exact, owner in places_of_forms(text, list(zip(forms, exacts, owners))))
+            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=[*columns, "n"])
 
     kinds = dict(nodes.dtypes)
-    return both.mapInPandas(run, f"paper_id {kinds['paper_id']}, node {kinds['node']}, start long, form string, text string, exact boolean, subject_id string")
+    found = both.mapInPandas(run, f"paper_id {kinds['paper_id']}, form string, text string, exact boolean, subject_id string, n long")
+    return found.groupBy(*columns).agg(F.sum("n").alias("n"))
 
 
 def occurrence_coverage(objects: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(totals, missed): per paper how many mentions the exact surfaces anchor and how many other forms would add, and the 25 most
     frequent of those forms. A form of several subjects is ambiguous and adds nothing."""
-    forms = checkpointed(surface_forms(objects))
-    seen = checkpointed(found_forms(nodes, forms))
+    forms = written(surface_forms(objects), "forms")
+    seen = written(found_forms(nodes, forms), "found-forms")
     owners = forms.groupBy("paper_id", "form").agg(F.countDistinct("subject_id").alias("owners"), F.min("subject_id").alias("owner"), F.min("category").alias("category"))
     more = seen.where("not exact").drop("subject_id").join(owners, ["paper_id", "form"])
     good = more.where("owners = 1")
-    e = seen.where("exact").groupBy("paper_id").agg(F.count(F.lit(1)).alias("exact"), F.countDistinct("subject_id").alias("exact_subjects"))
+    e = seen.where("exact").groupBy("paper_id").agg(F.sum("n").alias("exact"), F.countDistinct("subject_id").alias("exact_subjects"))
+    times = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
     m = more.groupBy("paper_id").agg(
-        F.sum(((F.col("owners") == 1) & (F.col("category") == "inflection")).cast("long")).alias("inflection"), F.sum(((F.col("owners") == 1) & (F.col("category") == "orthographic")).cast("long")).alias("orthographic"), F.sum((F.col("owners") > 1).cast("long")).alias("ambiguous")
+        times((F.col("owners") == 1) & (F.col("category") == "inflection")).alias("inflection"), times((F.col("owners") == 1) & (F.col("category") == "orthographic")).alias("orthographic"), times(F.col("owners") > 1).alias("ambiguous")
     )
     both = seen.where("exact").select("paper_id", "subject_id").union(good.select("paper_id", "owner")).groupBy("paper_id").agg(F.countDistinct("subject_id").alias("all_subjects"))
     n = objects.where("kind <> 'claim'").groupBy("paper_id").agg(F.count(F.lit(1)).alias("subjects"))
@@ -152,7 +207,7 @@ def occurrence_coverage(objects: DataFrame, nodes: DataFrame) -> tuple[DataFrame
     totals = t.select(
         "paper_id", "subjects", "exact", "inflection", "orthographic", "ambiguous", rate(c("exact"), c("exact") + c("inflection") + c("orthographic")).alias("recall"), rate(c("exact_subjects"), c("subjects")).alias("exact_rate"), rate(c("all_subjects"), c("subjects")).alias("possible_rate")
     )
-    g = good.groupBy("paper_id", "text", F.col("owner").alias("subject_id"), "category").agg(F.count(F.lit(1)).alias("n"))
+    g = good.groupBy("paper_id", "text", F.col("owner").alias("subject_id"), "category").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("paper_id").orderBy(F.desc("n"), F.lower("text"), "subject_id", "text")
     return totals, g.withColumn("place", F.row_number().over(w)).where("place <= 25")
 

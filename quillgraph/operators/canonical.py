@@ -102,7 +102,8 @@ def duplicate_signatures(obs: DataFrame) -> DataFrame:
 def surfaces(obs: DataFrame) -> DataFrame:
     """(paper_id, subject, surface, generated): labels of two characters at least, and their other number where one subject
     alone has it and no label says it."""
-    lab = obs.select("paper_id", F.lower("label").alias("subject")).distinct().where(F.length("subject") >= 2)
+    # written, as it is read three times
+    lab = written(obs.select("paper_id", F.lower("label").alias("subject")).distinct().where(F.length("subject") >= 2), "labels")
     made = lab.select("paper_id", "subject", T.plural_variant(F.col("subject")).alias("surface")).where("surface is not null")
     once = made.groupBy("paper_id", "surface").agg(F.min("subject").alias("subject"), F.countDistinct("subject").alias("n")).where("n = 1")
     free = once.join(lab.select("paper_id", F.col("subject").alias("surface")), ["paper_id", "surface"], "left_anti")

@@ -70,3 +70,7 @@ def test_few_pages_are_python_objects_at_a_time():
 def test_ids_of_blocks_over_several_slices(spark):
     pages = spark.range(3 * dom.SLICE + 1).selectExpr("id AS page_id", "'<p>x</p>' AS html").coalesce(1)
     assert dom.page_nodes(pages).selectExpr("count(DISTINCT node_id)", "count(DISTINCT page_id)").first() == (3 * dom.SLICE + 1,) * 2
+
+
+def test_surfaces_do_not_read_the_texts_again(spark):
+    assert not [f for f in registry.surfaces(spark, DATA).inputFiles() if "documents.parquet" in f]

@@ -5,10 +5,20 @@ The adapters are this engine's own; what the operators compute on their output i
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
+from .dom import slices
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,19 +128,41 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, id, section_id, pos, kind, label, alias, quote, confidence): a stand-in for extraction.
 
     The five most frequent long tokens of each document are its observations; their kind goes by their length. Texts are dealt
-    by document, so that words are counted and ordered where they are found.
+    and sorted by document, so that words are counted where they are found, one document at a time.
     """
-    d = read(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", "text").repartition("doc_id")
-    t = d.select(F.col("source").alias("paper_id"), "doc_id", F.explode(T.retrieval_tokens(F.col("text"))).alias("label")).where(F.length("label") >= 4)
-    t = t.groupBy("paper_id", "doc_id", "label").agg(F.count(F.lit(1)).alias("tf"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy(F.desc("tf"), "label")
-    t = t.withColumn("pos", F.row_number().over(w)).where("pos <= 5")
+    d = read(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.lower("text").alias("text")).repartition("doc_id").sortWithinPartitions("doc_id")
+    kinds = dict(d.dtypes)
+    out = f"paper_id {kinds['source']}, doc_id {kinds['doc_id']}, label string, tf long, pos int"
+    t = d.mapInArrow(frequent_words(out), out)
     kinds = F.array(*map(F.lit, ["topic", "claim", "procedure", "artifact", "quantity"]))
     return t.select("paper_id", F.concat(F.lit("o"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("-"), F.col("pos").cast("string")).alias("id"), F.col("doc_id").alias("section_id"), "pos", F.element_at(kinds, (F.pmod(F.length("label"), F.lit(5)) + 1).cast("int")).alias("kind"), "label", T.plural_variant(F.col("label")).alias("alias"), F.col("tf").alias("confidence_tf"), F.round(F.least(F.lit(1.0), F.col("tf") / 10), 6).alias("confidence"))
 
 
+def frequent_words(schema: str, most: int = 5, batch: int = 1000):
+    """A function of batches of (source, doc_id, lower-case text), rows of a document side by side: its most frequent words of four
+    characters at least that say something, by frequency and word."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    stop, word = set(T.STOP_WORDS), re.compile("[a-z0-9]{4,}")
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        rows = (r for b in slices(batches) for r in zip(*(c.to_pylist() for c in b.columns)))
+        for doc, own in itertools.groupby(rows, key=lambda r: r[1]):
+            counts: dict[str | None, Counter] = {}
+            for source, _, text in own:
+                counts.setdefault(source, Counter()).update(word.findall(text))
+            found = [(-n, w, source) for source, c in counts.items() for w, n in c.items() if w not in stop]
+            best = heapq.nsmallest(most, found, key=lambda x: x[:2])
+            yield [(source, doc, w, -n, k) for k, (n, w, source) in enumerate(best, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = documents(batches)
+        while some := list(itertools.islice(each, batch)):
+            columns = list(zip(*(r for rows in some for r in rows))) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    return run
+
+
 OBSERVATIONS_SQL = """
 otok AS (SELECT source AS paper_id, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS label FROM documents),
 otf AS (SELECT paper_id, doc_id, label, count(*) AS tf FROM otok WHERE length(label) >= 4 AND label NOT IN ('a', 'an', 'and', 'by', 'does', 'for', 'how', 'in', 'is', 'of', 'on', 'the', 'this', 'through', 'to', 'what', 'where', 'which', 'with') GROUP BY ALL),

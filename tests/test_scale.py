@@ -10,7 +10,7 @@ import pytest
 
 from quillgraph.operators import quality as Q
 from quillgraph.plans import registry
-from quillgraph.sources import dom
+from quillgraph.sources import adapters, dom
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -74,3 +74,15 @@ def test_ids_of_blocks_over_several_slices(spark):
 
 def test_surfaces_do_not_read_the_texts_again(spark):
     assert not [f for f in registry.surfaces(spark, DATA).inputFiles() if "documents.parquet" in f]
+
+
+def test_words_of_a_document_are_no_rows(spark):
+    plan = adapters.observations(spark, DATA)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
+def test_words_of_documents_that_share_an_id_are_counted_together(spark, tmp_path):
+    rows = [("s", 7, "beta beta beta alpha an"), ("s", 7, "Alpha alpha alpha the gamma"), (None, 8, "delta"), ("t", 7, "beta beta omega abc"), ("t", 9, None), ("t", 10, "")]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["section_id"], r["pos"], r["paper_id"], r["label"], r["confidence"]) for r in adapters.observations(spark, str(tmp_path)).collect())
+    assert got == [(7, 1, "s", "alpha", 0.4), (7, 2, "s", "beta", 0.3), (7, 3, "t", "beta", 0.2), (7, 4, "s", "gamma", 0.1), (7, 5, "t", "omega", 0.1), (8, 1, None, "delta", 0.1)]

@@ -8,6 +8,9 @@ import time
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from quillgraph.operators import document as D
 from quillgraph.operators import quality as Q
 from quillgraph.plans import registry
 from quillgraph.sources import adapters, dom
@@ -86,3 +89,16 @@ def test_words_of_documents_that_share_an_id_are_counted_together(spark, tmp_pat
     spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["section_id"], r["pos"], r["paper_id"], r["label"], r["confidence"]) for r in adapters.observations(spark, str(tmp_path)).collect())
     assert got == [(7, 1, "s", "alpha", 0.4), (7, 2, "s", "beta", 0.3), (7, 3, "t", "beta", 0.2), (7, 4, "s", "gamma", 0.1), (7, 5, "t", "omega", 0.1), (8, 1, None, "delta", 0.1)]
+
+
+def test_places_keep_their_own_section(spark):
+    """A node in two sections: before, each place of one text was given to both."""
+    found = spark.createDataFrame([("p", "topic:1", "nets", [])], "paper_id string, stable_id string, label string, aliases array<string>")
+    nodes = spark.createDataFrame([("p", "s1", "n", "nets"), ("p", "s2", "n", "two Nets"), ("p", "s3", "m", "none")], "paper_id string, section_id string, node_id string, text string")
+    assert sorted((r["scope_id"], r["start"], r["text"]) for r in D.anchored_occurrences(nodes, found).collect()) == [("s1", 0, "nets"), ("s2", 4, "Nets")]
+
+
+def test_ids_of_occurrences_are_stable_ids(spark):
+    places = [None, "", "--", "n1", "N 1", "é|x", "ſ", "a\u0301", "|", "ﬁ-7"]
+    rows = spark.createDataFrame([(s, p, n, n + 3) for s in ("topic:ab", "Ä:1") for p in places for n in (0, 12, -5)], "s string, p string, start long, end long")
+    assert rows.where(D.occurrence_id("s", "p") != D.stable("occurrence", F.col("s"), None, F.concat_ws("|", "p", "start", "end"))).count() == 0

@@ -126,24 +126,63 @@ def induced_all(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return relations.join(ends.withColumnRenamed("id", "source_id"), ["paper_id", "source_id"], "left_semi").join(ends.withColumnRenamed("id", "target_id"), ["paper_id", "target_id"], "left_semi")
 
 
-def components(objects: DataFrame, relations: DataFrame, rounds: int = 50) -> DataFrame:
-    """(paper_id, id, component): the least id reachable, by rounds of neighbours' minima and pointer jumps.
+def numbered(nodes: DataFrame, *order: Column | str) -> DataFrame:
+    """nodes, written with ``code``: a whole number each, growing in the order where one is given."""
+    return written((nodes.orderBy(*order) if order else nodes).withColumn("code", F.monotonically_increasing_id()), "numbered")
 
-    Each round is checkpointed to the folder that the cluster shares.
+
+def linked(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(paper_id, a, b, times): the pairs a < b of codes of nodes(paper_id, id, code) with relations between them, and how many. Loops and
+    unknown ends don't count."""
+    code = nodes.groupBy("paper_id", "id").agg(F.min("code").alias("code"))
+    e = relations.where("source_id <> target_id").select("paper_id", "source_id", "target_id")
+    for end in ("source", "target"):
+        e = e.join(code.select("paper_id", F.col("id").alias(f"{end}_id"), F.col("code").alias(end)), ["paper_id", f"{end}_id"]).drop(f"{end}_id")
+    return written(e.groupBy("paper_id", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("times")), "links")
+
+
+def link_ends(links: DataFrame) -> DataFrame:
+    """(paper_id, code, k, least): each end of links(paper_id, a, b), how many links it has, and the least code at their other ends."""
+    both = links.select("paper_id", F.col("a").alias("code"), F.col("b").alias("to")).union(links.select("paper_id", "b", "a"))
+    return written(both.groupBy("paper_id", "code").agg(F.count(F.lit(1)).alias("k"), F.min("to").alias("least")), "link-ends")
+
+
+def roots(links: DataFrame, ends: DataFrame | None = None) -> DataFrame:
+    """(paper_id, code, root): the least code that each end of links(paper_id, a, b) reaches; ends are ``link_ends(links)``.
+
+    Each code points to its least neighbour, or to itself where that is less. Pointers are followed to their last code, by doubling,
+    and links between different last codes make the graph of the next round. A code without less neighbours has
+    others pointing to it, or less neighbours in the next round: two rounds leave half of the codes at most.
     """
-    valid = induced_all(relations, objects)
-    e = valid.select("paper_id", F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    e = checkpointed(e.union(e.select("paper_id", "b", "a")).where("a <> b").distinct())
-    lab = checkpointed(objects.select("paper_id", "id", F.col("id").alias("component")))
-    for _ in range(rounds):
-        low = e.join(lab.select("paper_id", F.col("id").alias("b"), "component"), ["paper_id", "b"]).groupBy("paper_id", F.col("a").alias("id")).agg(F.min("component").alias("low"))
-        new = lab.join(low, ["paper_id", "id"], "left").select("paper_id", "id", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        up = new.select("paper_id", F.col("id").alias("component"), F.col("component").alias("over"))
-        new = checkpointed(new.join(up, ["paper_id", "component"], "left").select("paper_id", "id", F.least("component", "over").alias("component"), "moved"))
-        lab = new.select("paper_id", "id", "component")
-        if new.where("moved").isEmpty():
-            return lab
-    raise RuntimeError("components did not converge")
+    ends = link_ends(links) if ends is None else ends
+    up = ends.select("paper_id", "code", F.least("code", "least").alias("root"))
+    # only codes that are pointed to are followed
+    hop = written(up.join(up.select("paper_id", F.col("root").alias("code")).distinct(), ["paper_id", "code"], "left_semi"), "hops")
+    while True:
+        over = hop.select("paper_id", F.col("code").alias("root"), F.col("root").alias("over"))
+        hop = written(hop.join(over, ["paper_id", "root"]).select("paper_id", "code", F.col("over").alias("root"), (F.col("over") < F.col("root")).alias("moved")), "hops")
+        if hop.where("moved").isEmpty():
+            break
+    last = hop.select("paper_id", F.col("code").alias("root"), F.col("root").alias("over"))
+    found = written(up.join(last, ["paper_id", "root"]).select("paper_id", "code", F.col("over").alias("root")), "roots")
+    rest = links.select("paper_id", "a", "b")
+    for end in ("a", "b"):
+        rest = rest.join(found.select("paper_id", F.col("code").alias(end), F.col("root").alias(f"of_{end}")), ["paper_id", end])
+    rest = rest.where("of_a <> of_b").select("paper_id", F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+    rest = written(rest, "links")
+    if rest.isEmpty():
+        return found
+    more = roots(rest).select("paper_id", F.col("code").alias("root"), F.col("root").alias("over"))
+    return written(found.join(more, ["paper_id", "root"], "left").select("paper_id", "code", F.coalesce("over", "root").alias("root")), "roots")
+
+
+def components(objects: DataFrame, relations: DataFrame) -> DataFrame:
+    """(paper_id, id, component): the least id reachable. Ids are numbered once, so that rounds are over whole numbers."""
+    nodes = numbered(objects.select("paper_id", "id").distinct())
+    own = written(nodes.join(roots(linked(nodes, relations)), ["paper_id", "code"], "left").select("paper_id", "id", F.coalesce("root", "code").alias("root")), "rooted")
+    least = own.groupBy("paper_id", "root").agg(F.min("id").alias("component"))
+    known = own.join(least, ["paper_id", "root"]).select("paper_id", "id", "component")
+    return objects.select("paper_id", "id").join(known, ["paper_id", "id"], "left").select("paper_id", "id", F.coalesce("component", "id").alias("component"))
 
 
 def closure(relations: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
@@ -170,45 +209,55 @@ def overview(objects: DataFrame, relations: DataFrame, limit: int = 20) -> DataF
 
 
 def overview_of(r: DataFrame, relations: DataFrame, limit: int = 20) -> DataFrame:
-    """(paper_id, place, id, rank) of the overview's nodes among ranked objects: core contributions first, then the neighbourhood.
+    """``chosen`` of ranked objects."""
+    nodes = placed(r)
+    return chosen(nodes, linked(nodes, relations), limit)
+
+
+def placed(r: DataFrame) -> DataFrame:
+    """(paper_id, id, contribution, rank, code): ranked objects; codes grow as they are ordered by rank, name and id."""
+    order = written(r.select("paper_id", "id", F.lower("label").alias("name"), "contribution", "rank"), "overview-objects")
+    return numbered(order, F.desc("rank"), "name", "id").drop("name")
+
+
+def chosen(nodes: DataFrame, links: DataFrame, limit: int = 20) -> DataFrame:
+    """(paper_id, place, id, rank) of the overview's nodes among nodes as ``placed`` and links as ``linked``: core contributions first,
+    then the neighbourhood.
 
     A quarter of the places go to the best core contributions, or one to the best object. Each further place goes to the
     object with most neighbours among those chosen, the best of equal ones; without neighbours, to the best left. All papers
-    take a place in the same round, at most 30 rounds. A round adds to a written log the new node and its neighbours,
-    each with what it is ordered by, and chooses the next from the sums of the log: it holds the best of each paper, and
-    what the chosen ones touch, never a whole paper.
+    take a place in the same round, at most 30 rounds. A round adds to a written log the new node and its neighbours by their
+    codes, which are all that the order takes, and chooses the next from the sums of the log: it holds the best of
+    each paper, and what the chosen ones touch, never a whole paper.
     """
     limit = max(1, min(limit, 30))
-    kind = dict(r.dtypes)
-    r = written(r.select("paper_id", "id", F.lower("label").alias("name"), "contribution", "rank"), "overview-objects")
-    e = induced_all(relations, r).where("source_id <> target_id").select("paper_id", F.explode(F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))).alias("e"))
-    e = e.select("paper_id", "e.a", F.col("e.b").alias("id")).distinct()
-    near = written(e.join(r.select("paper_id", "id", "name", "rank"), ["paper_id", "id"]).select("paper_id", "a", "id", "name", "rank"), "overview-near")
 
     def touched(new: DataFrame) -> DataFrame:
         """The new nodes as chosen, and one tie for each of their neighbours."""
-        ties = near.join(new.select("paper_id", F.col("id").alias("a")), ["paper_id", "a"]).groupBy("paper_id", "id", "name", "rank").agg(F.count(F.lit(1)).alias("ties"))
-        return new.select("paper_id", "id", "name", "rank", F.lit(0).cast("long").alias("ties"), F.lit(True).alias("chosen")).unionByName(ties.withColumn("chosen", F.lit(False)))
+        ways = [links.select("paper_id", F.col(a).alias("by"), F.col(b).alias("code")).join(new.withColumnRenamed("code", "by"), ["paper_id", "by"]) for a, b in ("ab", "ba")]
+        ties = ways[0].union(ways[1]).groupBy("paper_id", "code").agg(F.count(F.lit(1)).alias("ties"))
+        return new.select("paper_id", "code", F.lit(0).cast("long").alias("ties"), F.lit(True).alias("chosen")).unionByName(ties.withColumn("chosen", F.lit(False)))
 
-    best = Window.partitionBy("paper_id").orderBy(F.desc("rank"), "name", "id")
-    first = r.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
+    best = Window.partitionBy("paper_id").orderBy("code")
+    n = nodes.select("paper_id", "code", "contribution")
+    first = n.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit)
     # half to even, as the budget is defined
     budget = max(1, min(limit, round(limit * 0.25)))
-    core = r.where(F.col("contribution") >= CORE).withColumn("place", F.row_number().over(best)).where(F.col("place") <= budget)
+    core = n.where(F.col("contribution") >= CORE).withColumn("place", F.row_number().over(best)).where(F.col("place") <= budget)
     seeds = core.unionByName(first.where("place = 1").join(core.select("paper_id").distinct(), "paper_id", "left_anti"))
-    log = Log(r.sparkSession, "overview")
-    log.add(first.select("paper_id", "id", "name", "rank", F.lit(0).cast("long").alias("ties"), F.lit(False).alias("chosen")))
-    seeds = written(seeds.select("paper_id", "id", "name", "rank"), "overview-seeds")
+    log = Log(nodes.sparkSession, "overview")
+    log.add(first.select("paper_id", "code", F.lit(0).cast("long").alias("ties"), F.lit(False).alias("chosen")))
+    seeds = written(seeds.select("paper_id", "code"), "overview-seeds")
     log.add(touched(seeds))
     had = seeds.groupBy("paper_id").count().agg(F.min("count")).first()[0] or limit
     for _ in range(limit - had):
-        seen = log.read().groupBy("paper_id", "id", "name", "rank").agg(F.sum("ties").alias("ties"), F.max("chosen").alias("chosen"))
-        order = F.struct((-F.col("ties")).alias("ties"), (-F.col("rank")).alias("rank"), "name", "id")
+        seen = log.read().groupBy("paper_id", "code").agg(F.sum("ties").alias("ties"), F.max("chosen").alias("chosen"))
+        order = F.struct((-F.col("ties")).alias("ties"), "code")
         next_ = seen.groupBy("paper_id").agg(F.min(F.when(~F.col("chosen"), order)).alias("x"), F.sum(F.col("chosen").cast("int")).alias("n"))
-        log.add(touched(next_.where(F.col("x").isNotNull() & (F.col("n") < limit)).select("paper_id", "x.id", "x.name", (-F.col("x.rank")).alias("rank"))))
-    chosen = log.read().where("chosen").select("paper_id", "id", "name", "rank").distinct()
-    place = F.row_number().over(best).alias("place")
-    return chosen.select("paper_id", place, "id", F.col("rank").cast(kind["rank"]).alias("rank"))
+        log.add(touched(written(next_.where(F.col("x").isNotNull() & (F.col("n") < limit)).select("paper_id", "x.code"), "overview-next")))
+    shown = written(log.read().where("chosen").select("paper_id", "code").distinct(), "overview-chosen")
+    shown = nodes.join(shown, ["paper_id", "code"]).withColumn("place", F.row_number().over(best))
+    return shown.select("paper_id", "place", "id", "rank")
 
 
 def backbone(objects: DataFrame, relations: DataFrame, nodes: DataFrame, budget: int = 100) -> DataFrame:

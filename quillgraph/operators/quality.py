@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import checkpointed, written
+from ..sources.shared import written
 from . import graph as G
 
 # Most isolates and least share of the largest component of an overview, least share of classified objects.
@@ -27,22 +27,28 @@ def rate(n, d):
 def connectivity(objects: DataFrame, relations: DataFrame) -> DataFrame:
     """(paper_id, nodes, edges, isolates, components, largest, mean_degree, density, ordinary, ordinary_mean, hubs, hub_mean, isolate_rate,
     largest_rate): degrees by distinct neighbours; nodes with more than two are hubs. Loops and unknown ends don't count."""
-    valid = checkpointed(G.induced_all(relations.where("source_id <> target_id"), objects).select("paper_id", "source_id", "target_id"))
-    pair = valid.select("paper_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    near = pair.select("paper_id", F.explode(F.array("a", "b")).alias("id")).groupBy("paper_id", "id").agg(F.count(F.lit(1)).alias("k"))
-    per = objects.select("paper_id", "id").distinct().join(near, ["paper_id", "id"], "left").na.fill(0, ["k"])
+    nodes = G.numbered(objects.select("paper_id", "id").distinct())
+    return connectivity_of(nodes, G.linked(nodes, relations))
+
+
+def connectivity_of(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``connectivity`` of nodes(paper_id, id) and links as ``graph.linked``. Nodes without links are those that the links' ends leave over."""
+    ends = G.link_ends(links)
     hub, k = F.col("k") > 2, F.col("k")
-    n = per.groupBy("paper_id").agg(
-        F.count(F.lit(1)).alias("nodes"), F.sum((k == 0).cast("long")).alias("isolates"), F.sum("k").alias("ends"), F.sum(F.when(~hub, 1).otherwise(0)).alias("ordinary"), F.sum(F.when(~hub, k).otherwise(0)).alias("o"),
-        F.sum(F.when(hub, 1).otherwise(0)).alias("hubs"), F.sum(F.when(hub, k).otherwise(0)).alias("h"), F.min("k").alias("least_degree"), F.max("k").alias("most_degree"),
+    n = nodes.where("paper_id is not null").groupBy("paper_id").agg(F.count(F.lit(1)).alias("nodes"))
+    d = ends.groupBy("paper_id").agg(
+        F.count(F.lit(1)).alias("linked"), F.sum("k").alias("ends"), F.sum(F.when(~hub, 1).otherwise(0)).alias("few"), F.sum(F.when(~hub, k).otherwise(0)).alias("o"),
+        F.sum(F.when(hub, 1).otherwise(0)).alias("hubs"), F.sum(F.when(hub, k).otherwise(0)).alias("h"), F.min("k").alias("least"), F.max("k").alias("most_degree"),
     )
-    c = G.components(objects, valid).groupBy("paper_id", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("components"), F.max("size").alias("largest"))
-    e = valid.groupBy("paper_id").agg(F.count(F.lit(1)).alias("edges"))
-    j = n.join(c, "paper_id").join(e, "paper_id", "left").na.fill(0, ["edges"])
+    c = G.roots(links, ends).groupBy("paper_id", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("paper_id").agg(F.count(F.lit(1)).alias("trees"), F.max("size").alias("size"))
+    e = links.groupBy("paper_id").agg(F.sum("times").alias("edges"))
     col = F.col
+    j = n.join(d, "paper_id", "left").join(c, "paper_id", "left").join(e, "paper_id", "left").na.fill(0).withColumn("isolates", col("nodes") - col("linked"))
+    alone = col("isolates") > 0
+    j = j.withColumn("components", col("trees") + col("isolates")).withColumn("largest", F.greatest("size", alone.cast("long"))).withColumn("ordinary", col("few") + col("isolates"))
     return j.select(
         "paper_id", "nodes", "edges", "isolates", "components", "largest", rate(col("ends"), col("nodes")).alias("mean_degree"), F.round(T.safe_rate(col("ends") / 2, F.floor(col("nodes") * (col("nodes") - 1) / 2)), 9).alias("density"),
-        "least_degree", "most_degree", "ordinary", rate(col("o"), col("ordinary")).alias("ordinary_mean"), "hubs", rate(col("h"), col("hubs")).alias("hub_mean"), rate(col("isolates"), col("nodes")).alias("isolate_rate"), rate(col("largest"), col("nodes")).alias("largest_rate"),
+        F.when(alone, 0).otherwise(col("least")).alias("least_degree"), "most_degree", "ordinary", rate(col("o"), col("ordinary")).alias("ordinary_mean"), "hubs", rate(col("h"), col("hubs")).alias("hub_mean"), rate(col("isolates"), col("nodes")).alias("isolate_rate"), rate(col("largest"), col("nodes")).alias("largest_rate"),
     )
 
 
@@ -70,10 +76,13 @@ def flat_quality(nodes: DataFrame, edges: DataFrame, duplicates: DataFrame, unsu
 def paper_quality(objects: DataFrame, relations: DataFrame, kinds: list[str], types: list[str], limit: int = 20) -> DataFrame:
     """(paper_id, and of the whole graph and of its overview nodes, edges, isolate and largest rates, what the overview keeps, the share of
     objects of known kinds, relations of unknown types, and whether the gates are passed)."""
-    nodes = checkpointed(G.overview(objects, relations, limit).select("paper_id", "id"))
-    kept = relations.join(G.backbone(objects, relations, nodes).select("paper_id", "id"), ["paper_id", "id"], "left_semi")
+    ranked = G.placed(G.ranked(objects, relations))
+    links = G.linked(ranked, relations)
+    nodes = written(G.chosen(ranked, links, limit).select("paper_id", "id"), "overview")
+    spanning = written(G.backbone(objects, relations, nodes).select("paper_id", "id"), "backbone")
+    kept = relations.join(spanning, ["paper_id", "id"], "left_semi")
     cols = ["nodes", "edges", "isolates", "largest", "isolate_rate", "largest_rate"]
-    full = connectivity(objects, relations).select("paper_id", *cols)
+    full = connectivity_of(ranked.select("paper_id", "id").distinct(), links).select("paper_id", *cols)
     view = connectivity(nodes, kept).select("paper_id", *[F.col(c).alias(f"view_{c}") for c in cols])
     known = objects.groupBy("paper_id").agg(F.sum(F.col("kind").isin(kinds).cast("long")).alias("classified"), F.count(F.lit(1)).alias("objects"))
     odd = relations.where(~F.col("type").isin(types)).groupBy("paper_id").agg(F.countDistinct("type").alias("unknown_types"))

@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -35,31 +35,52 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-def star_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: First letters of the star graph's ids.
+LETTERS = "rnscp"
+
+
+def named(letter: str, key) -> Column:
+    """The id of a node of the star graph."""
+    return F.concat(F.lit(letter), F.col(key))
+
+
+def coded(letter: str, key) -> Column:
+    """A whole number for that id, for rounds over many links."""
+    return F.col(key).cast("long") * 8 + LETTERS.index(letter)
+
+
+def decoded(code: Column) -> Column:
+    """The id that the number stands for."""
+    return F.concat(F.element_at(F.array(*map(F.lit, LETTERS)), (F.pmod(code, F.lit(8)) + 1).cast("int")), F.shiftright(code, 3))
+
+
+def star_objects(spark: SparkSession, sf_dir: str, made: DataFrame | None = None, key=named) -> DataFrame:
     """(paper_id, id, kind, label, contribution, prominence, recurrence, confidence, familiarity).
 
     A region is a paper. Region and nations are topics, suppliers procedures, customers claims, and parts
-    artifacts of each paper that has a supplier of them; signals are scaled balances, prices and counts.
+    artifacts of each paper that has a supplier of them; signals are scaled balances, prices and counts. ``made`` is what
+    ``produced`` gives, and ``key`` makes the ids.
     """
     n = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("paper_id"))
     r = read(spark, sf_dir, "region")
     unit = lambda c: F.round((F.col(c) + 1000) / 11000, 6)
     one = F.lit(1.0)
-    regions = r.select(F.col("r_regionkey").alias("paper_id"), F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("topic").alias("kind"), F.col("r_name").alias("label"), one.alias("contribution"), F.lit(0.5).alias("prominence"), one.alias("recurrence"), one.alias("confidence"), one.alias("familiarity"))
-    nations = n.select("paper_id", F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("topic").alias("kind"), F.col("n_name").alias("label"), F.lit(0.6).alias("contribution"), F.lit(0.4).alias("prominence"), one.alias("recurrence"), one.alias("confidence"), F.lit(0.9).alias("familiarity"))
+    regions = r.select(F.col("r_regionkey").alias("paper_id"), key("r", "r_regionkey").alias("id"), F.lit("topic").alias("kind"), F.col("r_name").alias("label"), one.alias("contribution"), F.lit(0.5).alias("prominence"), one.alias("recurrence"), one.alias("confidence"), one.alias("familiarity"))
+    nations = n.select("paper_id", key("n", "n_nationkey").alias("id"), F.lit("topic").alias("kind"), F.col("n_name").alias("label"), F.lit(0.6).alias("contribution"), F.lit(0.4).alias("prominence"), one.alias("recurrence"), one.alias("confidence"), F.lit(0.9).alias("familiarity"))
 
     def people(name: str, p: str, kind: str) -> DataFrame:
         d = read(spark, sf_dir, name).join(F.broadcast(n), F.col(f"{p}_nationkey") == F.col("n_nationkey"))  # 25 nations
-        key = F.col(f"{p}_{'suppkey' if p == 's' else 'custkey'}")
-        return d.select("paper_id", F.concat(F.lit(p), key).alias("id"), F.lit(kind).alias("kind"), F.col(f"{p}_name").alias("label"), unit(f"{p}_acctbal").alias("contribution"), F.round(F.pmod(key, F.lit(7)) / 7, 6).alias("prominence"), F.round(F.pmod(key, F.lit(3)) / 3, 6).alias("recurrence"), F.lit(0.8).alias("confidence"), F.round(F.pmod(key, F.lit(11)) / 10, 6).alias("familiarity"))
+        own = f"{p}_{'suppkey' if p == 's' else 'custkey'}"
+        k = F.col(own)
+        return d.select("paper_id", key(p, own).alias("id"), F.lit(kind).alias("kind"), F.col(f"{p}_name").alias("label"), unit(f"{p}_acctbal").alias("contribution"), F.round(F.pmod(k, F.lit(7)) / 7, 6).alias("prominence"), F.round(F.pmod(k, F.lit(3)) / 3, 6).alias("recurrence"), F.lit(0.8).alias("confidence"), F.round(F.pmod(k, F.lit(11)) / 10, 6).alias("familiarity"))
 
-    made = produced(spark, sf_dir).groupBy("paper_id", "l_partkey").agg(F.sum("evidence").alias("n"), F.count(F.lit(1)).alias("makers"))
+    made = (produced(spark, sf_dir) if made is None else made).groupBy("paper_id", "l_partkey").agg(F.sum("evidence").alias("n"), F.count(F.lit(1)).alias("makers"))
     span = lambda c, of: F.when(F.col(f"{of}_most") > F.col(f"{of}_least"), F.round((F.col(c) - F.col(f"{of}_least")) / (F.col(f"{of}_most") - F.col(f"{of}_least")), 6)).otherwise(0.0)
     p = read(spark, sf_dir, "part")
     prices = p.agg(F.min("p_retailprice").alias("p_least"), F.max("p_retailprice").alias("p_most"))
     degrees = made.agg(F.min("makers").alias("d_least"), F.max("makers").alias("d_most"))
     p = made.join(p, F.col("l_partkey") == F.col("p_partkey")).join(F.broadcast(prices)).join(F.broadcast(degrees))  # one row each
-    parts = p.select("paper_id", F.concat(F.lit("p"), "p_partkey").alias("id"), F.lit("artifact").alias("kind"), F.col("p_name").alias("label"), span("p_retailprice", "p").alias("contribution"), span("makers", "d").alias("prominence"), F.round(F.least(one, F.col("n") / 3), 6).alias("recurrence"), F.lit(0.8).alias("confidence"), span("makers", "d").alias("familiarity"))
+    parts = p.select("paper_id", key("p", "p_partkey").alias("id"), F.lit("artifact").alias("kind"), F.col("p_name").alias("label"), span("p_retailprice", "p").alias("contribution"), span("makers", "d").alias("prominence"), F.round(F.least(one, F.col("n") / 3), 6).alias("recurrence"), F.lit(0.8).alias("confidence"), span("makers", "d").alias("familiarity"))
     return regions.union(nations).union(people("supplier", "s", "procedure")).union(people("customer", "c", "claim")).union(parts)
 
 
@@ -72,13 +93,12 @@ def produced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(known, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("paper_id", "l_suppkey", "l_partkey", "evidence")
 
 
-def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star_relations(spark: SparkSession, sf_dir: str, made: DataFrame | None = None, key=named) -> DataFrame:
     """(paper_id, id, type, source_id, target_id, confidence, evidence): nations are part of regions, suppliers and
     customers of nations; a supplier produces parts; a customer depends on suppliers of the region that it ordered from."""
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("paper_id"))
     s = read(spark, sf_dir, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey")).select("paper_id", "s_suppkey", "s_nationkey")
     c = read(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("paper_id").alias("c_paper"), "c_custkey", "c_nationkey")
-    key = lambda p, k: F.concat(F.lit(p), F.col(k))
     part = [
         n.select("paper_id", F.lit("part_of").alias("type"), key("n", "n_nationkey").alias("source_id"), key("r", "paper_id").alias("target_id"), F.lit(1).cast("long").alias("evidence")),
         s.select("paper_id", F.lit("part_of"), key("s", "s_suppkey"), key("n", "s_nationkey"), F.lit(1).cast("long")),
@@ -89,7 +109,7 @@ def star_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     deals = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count(F.lit(1)).alias("evidence"))
     deals = deals.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(c, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("paper_id") == F.col("c_paper")))
     part.append(deals.select("paper_id", F.lit("depends_on"), key("c", "c_custkey"), key("s", "s_suppkey"), "evidence"))
-    part.append(produced(spark, sf_dir).select("paper_id", F.lit("produces"), key("s", "l_suppkey"), key("p", "l_partkey"), "evidence"))
+    part.append((produced(spark, sf_dir) if made is None else made).select("paper_id", F.lit("produces"), key("s", "l_suppkey"), key("p", "l_partkey"), "evidence"))
     out = part[0]
     for p in part[1:]:
         out = out.union(p)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.operators import document as D
+from quillgraph.operators import graph as G
 from quillgraph.operators import quality as Q
 from quillgraph.plans import registry
 from quillgraph.sources import adapters, dom
@@ -102,3 +103,62 @@ def test_ids_of_occurrences_are_stable_ids(spark):
     places = [None, "", "--", "n1", "N 1", "é|x", "ſ", "a\u0301", "|", "ﬁ-7"]
     rows = spark.createDataFrame([(s, p, n, n + 3) for s in ("topic:ab", "Ä:1") for p in places for n in (0, 12, -5)], "s string, p string, start long, end long")
     assert rows.where(D.occurrence_id("s", "p") != D.stable("occurrence", F.col("s"), None, F.concat_ws("|", "p", "start", "end"))).count() == 0
+
+
+def tables_written(monkeypatch, *modules):
+    """What is written from now on, as (name, types)."""
+    seen = []
+    for m in modules:
+        monkeypatch.setattr(m, "written", lambda d, name, w=m.written: (seen.append((name, dict(d.dtypes))), w(d, name))[1])
+    return seen
+
+
+def test_components_are_found_over_numbers(spark, monkeypatch):
+    """Before, each round wrote and joined all links by the ids of both ends."""
+    seen = tables_written(monkeypatch, registry, G)
+    assert registry.component_sizes(spark, DATA).count() == 5
+    assert {n for n, _ in seen} >= {"links", "hops"} and not [n for n, kinds in seen if "string" in kinds.values()]
+
+
+def least_reached(n, links):
+    low = list(range(n))
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    return low
+
+
+def test_roots_are_the_least_codes_reached(spark):
+    r = random.Random(3)
+    order = r.sample(range(300), 300)
+    path = list(zip(range(299), range(1, 300)))
+    star = [(299, i) for i in range(299)]
+    graphs = [path, [(order[a], order[b]) for a, b in path], star, [(r.randrange(300), r.randrange(300)) for _ in range(170)]]
+    rows = [(k, min(a, b), max(a, b)) for k, g in enumerate(graphs) for a, b in g if a != b]
+    got = {(x["paper_id"], x["code"]): x["root"] for x in G.roots(spark.createDataFrame(rows, "paper_id int, a long, b long")).collect()}
+    ends = {(k, x) for k, *ab in rows for x in ab}
+    assert got == {(k, x): low[x] for k, g in enumerate(graphs) for low in [least_reached(300, g)] for x in range(300) if (k, x) in ends}
+
+
+def test_components_of_repeated_unknown_and_missing_ids(spark):
+    o = spark.createDataFrame([("p", "c"), ("p", "b"), ("p", "b"), ("p", "a"), ("p", None), ("q", "b"), (None, "z")], "paper_id string, id string")
+    e = spark.createDataFrame([("p", "c", "b"), ("p", "b", "c"), ("p", "a", "x"), ("p", "x", "c"), ("q", "b", "b"), ("q", "b", "c"), (None, "z", "a")], "paper_id string, source_id string, target_id string")
+    got = sorted((str(x["paper_id"]), str(x["id"]), str(x["component"])) for x in G.components(o, e).collect())
+    assert got == [("None", "z", "z"), ("p", "None", "None"), ("p", "a", "a"), ("p", "b", "b"), ("p", "b", "b"), ("p", "c", "b"), ("q", "b", "b")]
+
+
+def test_overviews_take_links_as_numbers(spark, monkeypatch):
+    """Before, all links were written twice with names and ranks, and once more for the measures."""
+    seen = tables_written(monkeypatch, registry, G, Q)
+    assert registry.quality_papers(spark, DATA).count() == 5
+    assert len([n for n, _ in seen if n == "objects"]) == len([n for n, _ in seen if n == "relations"]) == 1
+    assert not [n for n, kinds in seen if n in ("links", "link-ends", "roots", "hops", "overview-next") and "string" in kinds.values()]
+    assert not [n for n, _ in seen if n == "overview-near"]
+
+
+def test_measures_of_graphs_with_isolates_repeats_and_loops(spark):
+    o = spark.createDataFrame([("p", x) for x in "abcdeee"] + [("lone", "a")], "paper_id string, id string")
+    e = spark.createDataFrame([("p", "a", "b"), ("p", "b", "a"), ("p", "a", "c"), ("p", "a", "d"), ("p", "e", "e"), ("p", "a", "z")], "paper_id string, source_id string, target_id string")
+    got = {x["paper_id"]: x.asDict() for x in Q.connectivity(o, e).collect()}
+    assert got["p"] == {"paper_id": "p", "nodes": 5, "edges": 4, "isolates": 1, "components": 2, "largest": 4, "mean_degree": 1.2, "density": 0.3, "least_degree": 0, "most_degree": 3, "ordinary": 4, "ordinary_mean": 0.75, "hubs": 1, "hub_mean": 3.0, "isolate_rate": 0.2, "largest_rate": 0.8}
+    assert got["lone"] == {"paper_id": "lone", "nodes": 1, "edges": 0, "isolates": 1, "components": 1, "largest": 1, "mean_degree": 0.0, "density": 0.0, "least_degree": 0, "most_degree": 0, "ordinary": 1, "ordinary_mean": 0.0, "hubs": 0, "hub_mean": 0.0, "isolate_rate": 1.0, "largest_rate": 1.0}

@@ -23,9 +23,10 @@ def degree(relations: DataFrame) -> DataFrame:
     return ends.groupBy("paper_id", "id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def ranked(objects: DataFrame, relations: DataFrame, expertise: str = "intermediate") -> DataFrame:
-    """objects with degree and rank (0 at least); what is a core contribution has no penalty for familiarity."""
-    d = degree(relations)
+def ranked(objects: DataFrame, relations: DataFrame, expertise: str = "intermediate", d: DataFrame | None = None) -> DataFrame:
+    """objects with degree and rank (0 at least); what is a core contribution has no penalty for familiarity. ``d`` is ``degree(relations)``,
+    where that is at hand: it is read twice."""
+    d = degree(relations) if d is None else d
     top = d.groupBy("paper_id").agg(F.max("degree").alias("most"))
     o = objects.join(d, ["paper_id", "id"], "left").join(top, "paper_id", "left").na.fill({"degree": 0, "most": 1})
     base = 0.35 * F.col("contribution") + 0.2 * F.col("prominence") + 0.15 * F.col("recurrence") + 0.15 * F.col("confidence") + 0.15 * F.col("degree") / F.greatest("most", F.lit(1))
@@ -214,10 +215,11 @@ def overview_of(r: DataFrame, relations: DataFrame, limit: int = 20) -> DataFram
     return chosen(nodes, linked(nodes, relations), limit)
 
 
-def placed(r: DataFrame) -> DataFrame:
-    """(paper_id, id, contribution, rank, code): ranked objects; codes grow as they are ordered by rank, name and id."""
-    order = written(r.select("paper_id", "id", F.lower("label").alias("name"), "contribution", "rank"), "overview-objects")
-    return numbered(order, F.desc("rank"), "name", "id").drop("name")
+def placed(r: DataFrame, name=F.col) -> DataFrame:
+    """(paper_id, id, contribution, rank, code): ranked objects; codes grow as they are ordered by rank, label and id, or what ``name``
+    makes of the id."""
+    order = written(r.select("paper_id", "id", F.lower("label").alias("label"), "contribution", "rank"), "overview-objects")
+    return numbered(order, F.desc("rank"), "label", name("id")).drop("label")
 
 
 def chosen(nodes: DataFrame, links: DataFrame, limit: int = 20) -> DataFrame:

@@ -73,10 +73,10 @@ def flat_quality(nodes: DataFrame, edges: DataFrame, duplicates: DataFrame, unsu
     )
 
 
-def paper_quality(objects: DataFrame, relations: DataFrame, kinds: list[str], types: list[str], limit: int = 20) -> DataFrame:
+def paper_quality(objects: DataFrame, relations: DataFrame, kinds: list[str], types: list[str], limit: int = 20, name=F.col) -> DataFrame:
     """(paper_id, and of the whole graph and of its overview nodes, edges, isolate and largest rates, what the overview keeps, the share of
-    objects of known kinds, relations of unknown types, and whether the gates are passed)."""
-    ranked = G.placed(G.ranked(objects, relations))
+    objects of known kinds, relations of unknown types, and whether the gates are passed). Equal objects are ordered by ``name`` of their id."""
+    ranked = G.placed(G.ranked(objects, relations, d=written(G.degree(relations), "degrees")), name)
     links = G.linked(ranked, relations)
     nodes = written(G.chosen(ranked, links, limit).select("paper_id", "id"), "overview")
     spanning = written(G.backbone(objects, relations, nodes).select("paper_id", "id"), "backbone")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.shared import checkpointed
+from ..sources.shared import written
 
 
 def term_stats(corpus: DataFrame) -> DataFrame:
@@ -28,27 +28,39 @@ def passage_scores(corpus: DataFrame, questions: DataFrame) -> DataFrame:
     asked = q.select("question_id", F.explode("tokens").alias("token")).groupBy("question_id", "token").agg(F.count(F.lit(1)).alias("times"))
     words = asked.select("token").distinct()
     t = corpus.select("id", F.explode(T.retrieval_tokens(F.col("text"))).alias("token")).join(words, "token", "left_semi")
-    tf = t.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    tf = written(t.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")), "token-counts")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weight = df.join(F.broadcast(n)).select("token", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))  # n: one row
-    s = tf.join(weight, "token").join(asked, "token").groupBy("question_id", "id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("score"), F.count(F.lit(1)).alias("shared"))
-    s = checkpointed(s)  # read several times
+    weight = written(weight.join(asked, "token"), "question-weights")
+    # a passage's tokens lie together, so the many rows of tokens by questions are summed where they are made
+    s = tf.repartition("id").join(weight, "token").groupBy("question_id", "id").agg(F.sum(F.col("times") * F.col("tf") * F.col("idf")).alias("score"), F.count(F.lit(1)).alias("shared"))
+    s = written(s, "lexical-scores")  # read several times
     phrase = q.select("question_id", F.array_join("tokens", " ").alias("phrase"), F.size(F.array_distinct("tokens")).alias("of"))
-    joined = corpus.select("id", F.array_join(T.retrieval_tokens(F.col("text")), " ").alias("joined"))
     near = s.join(phrase, "question_id").where((F.col("phrase") != "") & (F.col("shared") >= F.col("of") - 2)).select("question_id", "id", "phrase")
+    # texts are split once more only where a phrase may lie
+    joined = corpus.join(near.select("id").distinct(), "id", "left_semi").select("id", F.array_join(T.retrieval_tokens(F.col("text")), " ").alias("joined"))
     bonus = near.join(joined, "id").where(F.contains("joined", F.col("phrase"))).select("question_id", "id", F.lit(1.5).alias("bonus"))
     return s.join(bonus, ["question_id", "id"], "left").select("question_id", "id", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
-def passage_topk(corpus: DataFrame, questions: DataFrame, k: int = 2) -> DataFrame:
+def best_scores(scored: DataFrame, k: int) -> DataFrame:
+    """(question_id, rank, id, score): the k best of each question of scored(question_id, id, score), which is written, by nine digits and id.
+    Rounding is slow and moves no score by more than a billionth: what lies a millionth under the k-th score is not rounded."""
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"))
+    least = scored.select("question_id", "score").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("question_id").agg((F.min("score") - 1e-6).alias("least"))
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "id")
+    near = scored.join(written(least, "least-scores"), "question_id").where(F.col("score") >= F.col("least"))
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+def passage_topk(corpus: DataFrame, questions: DataFrame, k: int = 2, scores: DataFrame | None = None) -> DataFrame:
     """(question_id, rank, id, score): the k best passages of each question; passages without a shared token score 0
-    and come last, in corpus order."""
-    best = passage_scores(corpus, questions)
+    and come last, in corpus order. ``scores`` are the ``passage_scores``, where they are at hand."""
+    best = written(passage_scores(corpus, questions), "scores") if scores is None else scores
     first = corpus.select("id").orderBy("id").limit(k).withColumn("score", F.lit(0.0))
     rest = questions.select("question_id").join(F.broadcast(first))  # k rows
     rest = rest.join(best.select("question_id", "id"), ["question_id", "id"], "left_anti").select("question_id", "id", "score")
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return best.union(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+    return best_scores(best.union(rest), k)
 
 
 def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -63,7 +75,7 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
     word = lambda a, k: F.array_join(F.slice(F.split("item", " "), a, k), " ")
     keyed = items.where("item is not null and item <> ''").withColumn("wide", F.when(n >= 5, 3).when(n >= 3, 1).otherwise(0))
     keyed = keyed.select("question_id", "wide", F.when(n >= 5, word(2, 3)).when(n >= 3, word(2, 1)).otherwise(F.substring("item", 1, 1)).alias("key"))
-    keyed = checkpointed(keyed)
+    keyed = written(keyed, "item-keys")
     t = docs.select("id", F.split("text", " ").alias("w"))
     later = lambda k: F.slice("w", F.lit(k), F.greatest(F.size("w") - (k - 1), F.lit(0)))
     threes = t.select("id", F.explode(F.arrays_zip(F.col("w").alias("a"), later(2).alias("b"), later(3).alias("c"))).alias("x")).where("x.c is not null").select("id", F.lit(3).alias("wide"), F.concat_ws(" ", "x.a", "x.b", "x.c").alias("key"))
@@ -82,10 +94,13 @@ def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def by_class(classes: DataFrame, passage: DataFrame, hybrid: DataFrame, expected: DataFrame, corpus: DataFrame) -> DataFrame:
     """(class, recall_, faith_ and tokens_ of either way, decision) for classes(question_id, class): means over the questions."""
-    tokens = corpus.select("id", F.size(T.retrieval_tokens(F.col("text"))).alias("n"))
+    ways = [(name, written(found.select("question_id", "id"), f"found-{name}")) for name, found in (("passage", passage), ("hybrid", hybrid))]
+    shown = ways[0][1].union(ways[1][1]).select("id").distinct()
+    # only the texts that are shown are split
+    tokens = written(corpus.join(shown, "id", "left_semi").select("id", F.size(T.retrieval_tokens(F.col("text"))).alias("n")), "shown-tokens")
+    expected = written(expected, "expected")
     out = None
-    for name, found in (("passage", passage), ("hybrid", hybrid)):
-        found = checkpointed(found.select("question_id", "id"))
+    for name, found in ways:
         used = found.join(tokens, "id").groupBy("question_id").agg(F.sum("n").alias("n"))
         scored = evaluate_exact(found, expected)
         one = classes.join(scored, "question_id", "left").join(used, "question_id", "left").na.fill(1.0, ["recall", "faithfulness"]).na.fill(0, ["n"])
@@ -137,7 +152,7 @@ def entity_link(questions: DataFrame, labels: DataFrame, k: int = 3) -> DataFram
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def hybrid_topk(corpus: DataFrame, questions: DataFrame, labels: DataFrame, evidence: DataFrame, relations: DataFrame, k: int = 3, budget: int = 6) -> DataFrame:
+def hybrid_topk(corpus: DataFrame, questions: DataFrame, labels: DataFrame, evidence: DataFrame, relations: DataFrame, k: int = 3, budget: int = 6, scores: DataFrame | None = None) -> DataFrame:
     """(question_id, rank, id, score): passages by lexical score and by the graph around the entities that a question names.
 
     At most three named entities are seeds; their neighbours, by the best seed beside them, fill the budget. Each piece of
@@ -157,9 +172,9 @@ def hybrid_topk(corpus: DataFrame, questions: DataFrame, labels: DataFrame, evid
     a = chosen.select("question_id", F.col("entity").alias("source_id"), F.col("seed").alias("s1"))
     b = chosen.select("question_id", F.col("entity").alias("target_id"), F.col("seed").alias("s2"))
     ties = relations.join(a, "source_id").join(b, ["question_id", "target_id"]).where("s1 or s2").select("question_id", "id", F.lit(4.0))
-    total = passage_scores(corpus, questions).union(own).union(ties).groupBy("question_id", "id").agg(F.sum("score").alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question_id", "rank", "id", F.round("score", 6).alias("score"))
+    scores = passage_scores(corpus, questions) if scores is None else scores
+    total = scores.union(own).union(ties).groupBy("question_id", "id").agg(F.sum("score").alias("score"))
+    return best_scores(written(total, "total-scores"), k)
 
 
 def promotion(recall_a, recall_b, faith_a, faith_b, latency_a, latency_b, tokens_a, tokens_b):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators import document as D
 from quillgraph.operators import graph as G
 from quillgraph.operators import quality as Q
+from quillgraph.operators import retrieval as R
 from quillgraph.plans import registry
 from quillgraph.sources import adapters, dom
 
@@ -162,3 +163,19 @@ def test_measures_of_graphs_with_isolates_repeats_and_loops(spark):
     got = {x["paper_id"]: x.asDict() for x in Q.connectivity(o, e).collect()}
     assert got["p"] == {"paper_id": "p", "nodes": 5, "edges": 4, "isolates": 1, "components": 2, "largest": 4, "mean_degree": 1.2, "density": 0.3, "least_degree": 0, "most_degree": 3, "ordinary": 4, "ordinary_mean": 0.75, "hubs": 1, "hub_mean": 3.0, "isolate_rate": 0.2, "largest_rate": 0.8}
     assert got["lone"] == {"paper_id": "lone", "nodes": 1, "edges": 0, "isolates": 1, "components": 1, "largest": 1, "mean_degree": 0.0, "density": 0.0, "least_degree": 0, "most_degree": 0, "ordinary": 1, "ordinary_mean": 0.0, "hubs": 0, "hub_mean": 0.0, "isolate_rate": 1.0, "largest_rate": 1.0}
+
+
+def test_both_ways_of_retrieval_share_their_scores(spark, monkeypatch):
+    """Before, passages were scored once for each way, and rows of tokens by questions were shuffled."""
+    seen = tables_written(monkeypatch, registry, R)
+    assert registry.retrieval_classes(spark, DATA).count() == 2
+    assert [n for n, _ in seen].count("token-counts") == [n for n, _ in seen].count("lexical-scores") == 1
+
+
+def test_best_scores_are_those_of_nine_digits(spark):
+    r = random.Random(5)
+    near = [(1, i, 5.0 + r.choice([0, 1e-10, 4e-10, 6e-10, 2e-9, 1e-7, -3e-10])) for i in range(60)] + [(2, 7, 0.0), (3, 9, 0.0), (3, 8, 0.0), (3, 7, -1.0)]
+    scored = spark.createDataFrame(r.sample(near, len(near)), "question_id long, id long, score double")
+    for k in (1, 2, 20):
+        want = [(q, n, i) for q in (1, 2, 3) for n, (_, i) in enumerate(sorted((-round(s, 9), i) for p, i, s in near if p == q)[:k], 1)]
+        assert [tuple(x)[:3] for x in R.best_scores(scored, k).orderBy("question_id", "rank").collect()] == want
